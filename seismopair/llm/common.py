@@ -152,3 +152,64 @@ def shingles(row: np.ndarray, word: np.ndarray, size: int = 5) -> tuple[np.ndarr
     keep = same | head
     # a head of a text with fewer words keeps its partial sum
     return row[keep], mix(total[keep])
+
+
+# ---- labelled samples and calibration --------------------------------------
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, label) of at most `per_class` rows of each of the classes 0 and 1, outside the held-out fold.
+
+    The rows are those of smallest key hash among labelled ones with a text of 1 to `longest` characters, so that
+    the sample doesn't depend on how rows are laid out. A key that is labelled twice counts once, by its larger label.
+    """
+    clean = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
+    fit = docs.where(F.length(text).between(1, longest)).select(F.col(key), F.col(text).alias("_text"))
+    ranked = fit.select(key).join(clean, key).distinct().withColumn("_order", F.xxhash64(F.col(key), F.lit(17)))
+    chosen = None
+    for value in (0, 1):
+        some = ranked.where(F.col("_label") == value).orderBy("_order", key).limit(per_class)
+        chosen = some if chosen is None else chosen.unionAll(some)
+    return fit.join(F.broadcast(chosen.select(key, "_label")), key)  # 2 * per_class small rows at most
+
+
+def class_share(labels: DataFrame, label: str, key: str = "doc_id") -> float:
+    """Part of label 1 among all labels outside the held-out fold; a half where there is none."""
+    row = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).agg(F.avg(F.col(label).cast("double"))).first()
+    return 0.5 if row[0] is None else float(row[0])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1.0) -> np.ndarray:
+    """Weights (the last for the constant) of a logistic model, classes weighted to have the given share of label 1."""
+    x = np.column_stack([x, np.ones(len(x))])
+    n1, n = max(1, int(y.sum())), len(y)
+    weight = np.where(y == 1, share * n / n1, (1 - share) * n / max(1, n - n1))
+    beta = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        gradient = x.T @ (weight * (y - p)) - ridge * np.append(beta[:-1], 0)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([ridge] * (len(beta) - 1) + [1e-6])
+        step = np.linalg.solve(hessian, gradient)
+        beta += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def scored(df: DataFrame, text: str, score, threshold: float) -> DataFrame:
+    """Adds score and predicted; `score` maps a pyarrow array of texts to scores and is made once a task by calling it."""
+    df = df.drop("score", "predicted")
+    columns = df.columns
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["score double", "predicted int"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = score()
+        for batch in pieces(batches, text):
+            value = np.clip(of(batch.column(text)), 0.0, 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(value, pa.float64()), pa.array((value >= threshold).astype(np.int32), pa.int32())], names=[*columns, "score", "predicted"])
+
+    return df.mapInArrow(run, schema)
