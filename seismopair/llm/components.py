@@ -1,0 +1,39 @@
+"""Connected components over link tables, in rounds that contract the graph; nothing reaches the driver but row counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+
+
+def _contracted(links: DataFrame, parent: DataFrame) -> DataFrame:
+    """Links between the parents of their ends, without loops and repeats; both sides of each join are tables, so that hot ends are split."""
+    for end in ("a", "b"):
+        to = parent.select(F.col("id").alias(end), F.col("up").alias("_up"))
+        links = links.join(to, end, "left").withColumn(end, F.coalesce("_up", end)).drop("_up")
+        links = common.stage(links, "links") if end == "a" else links
+    ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return common.stage(ordered.distinct(), "links")
+
+
+def components(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """(id, component): the smallest id reachable, for each id in the links (a, b), given in either direction.
+
+    Each round points every node at its smallest neighbour, shortens the pointers and contracts the links;
+    stars end in a round, and any graph in a number of rounds about the logarithm of its longest path.
+    """
+    ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left = common.stage(ordered, "links")
+    labels = common.stage(left.select("a").unionAll(left.select("b")).distinct().select(F.col("a").alias("id"), F.col("a").alias("component")), "labels")
+    while left.limit(1).count():
+        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = common.stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("up")).withColumnRenamed("a", "id"), "parents")
+        for _ in range(jumps):
+            over = parent.select(F.col("id").alias("up"), F.col("up").alias("_over"))
+            parent = common.stage(parent.join(over, "up", "left").select("id", F.coalesce("_over", "up").alias("up")), "parents")
+        to = parent.select(F.col("id").alias("component"), "up")
+        labels = common.stage(labels.join(to, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "labels")
+        left = _contracted(left, parent)
+    return labels
