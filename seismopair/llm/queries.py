@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, langid, minhash, packing, quality, toxicity, warc
+from . import bpe, common, langid, minhash, packing, quality, suffix, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, docs.count())
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op4_langid": op4_langid,
     "op5_packing": op5_packing,
+    "op6_suffix": op6_suffix,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op10_toxicity": op10_toxicity,
