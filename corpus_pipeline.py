@@ -1,15 +1,63 @@
-"""Cleaning and packing of a corpus in stages, each written and read again before the next."""
+"""Cleaning and packing of a corpus in stages, each written and read again before the next.
+
+Toxic documents go, then those of low quality; one document of each group of near duplicates stays; of
+passages that repeat across documents the first stays; what is left is tokenised and packed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seismopair.llm import common
+from seismopair.llm import common, minhash, packing, quality, suffix, toxicity
+from seismopair.llm.queries import tokenizer_file
 
 Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
-STAGES: list[Stage] = []
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    found = toxicity.classify(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+    return found.where("predicted = 0").select(*docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    found = quality.classify(docs, quality.train(docs, _labels(spark, sf_dir)))
+    return found.where("predicted = 1").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates; a row without an id stays."""
+    gone = minhash.groups(docs).where("not kept and doc_id is not null").select("doc_id")
+    return docs.join(common.stage(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that stand in one of smaller id."""
+    return suffix.clean(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, each with its sequence and offset."""
+    return packing.pack(packing.tokenize(docs, tokenizer_file("word_bpe_49k.json"), end_id=2), docs.count())
+
+
+STAGES: list[Stage] = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_quality),
+    ("near-duplicates", drop_near_copies),
+    ("repeats", drop_repeats),
+    ("packing", pack),
+]
+
+#: Classifiers, groups of links and packing are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, langid, minhash, packing, quality, suffix, toxicity, warc
+from . import ann, bpe, common, covertree, langid, minhash, packing, quality, suffix, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.classify(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -67,12 +76,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_ann": op2_ann,
     "op3_minhash": op3_minhash,
     "op4_langid": op4_langid,
     "op5_packing": op5_packing,
     "op6_suffix": op6_suffix,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
+    "op9_covertree": op9_covertree,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -35,8 +35,11 @@ _NONE = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, keys, sizes, body): documents on end, compressed; a null key becomes the largest, which is no source and loses nothing."""
+def blocks(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame:
+    """(block, keys, sizes, body, rest): documents on end, compressed, and their other columns.
+
+    A null key becomes the largest, which is no source and loses nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -45,13 +48,22 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in common.pieces(batches, "_text", BLOCK_BYTES):
             body, starts = common.flat(batch.column("_text"))
             keys = batch.column("_key").fill_null(_NONE).to_numpy(zero_copy_only=False).astype("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([np.diff(starts).astype("<i8").tobytes()]), pa.array([pack(body.tobytes())]), pa.array([len(body)], pa.int64())], names=["keys", "sizes", "body", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([np.diff(starts).astype("<i8").tobytes()]), pa.array([pack(body.tobytes())]), pa.array([_frozen(batch.select(others))], pa.binary()), pa.array([len(body)], pa.int64())], names=["keys", "sizes", "body", "rest", "n_bytes"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
-    made = rows.mapInArrow(run, "keys binary, sizes binary, body binary, n_bytes bigint")
+    rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"), *others)
+    made = rows.mapInArrow(run, "keys binary, sizes binary, body binary, rest binary, n_bytes bigint")
     return common.stage(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
+def _frozen(batch: pa.RecordBatch) -> bytes | None:
+    if not batch.num_columns:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 class Block:
     """The documents of a block, and the segments of their strings."""
 
@@ -300,9 +312,12 @@ def _covered(block: Block, marks: list[dict], first: int, second: int) -> np.nda
     return np.cumsum(level)[:-1] > 0
 
 
-def _cleaned(first: int, second: int, with_text: bool) -> Callable:
+def _cleaned(first: int, second: int, others: list[str], with_text: bool) -> Callable:
+    made = {"_key": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if with_text else {})
+
     def run(block: pa.Table, marks: pa.Table) -> pa.Table:
-        out = [[] for _ in range(6)]
+        out: dict[str, list] = {name: [] for name in made}
+        rest = []
         for row in block.to_pylist():
             own = Block(row["keys"], row["sizes"], row["body"])
             gone = _covered(own, marks.to_pylist(), first, second)
@@ -312,30 +327,46 @@ def _cleaned(first: int, second: int, with_text: bool) -> Callable:
             total, spans = (np.append(0, np.cumsum(x)) for x in (gone, rise))
             for k, a, b in zip(own.keys.tolist(), own.starts[:-1].tolist(), own.starts[1:].tolist(), strict=True):
                 left = own.body[a:b][~gone[a:b]].tobytes()
-                for column, v in zip(out, (None if k == _NONE else k, b - a, int(total[b] - total[a]), int(spans[b] - spans[a]), hashlib.sha256(left).hexdigest(), left if with_text else None), strict=True):
+                for column, v in zip(out.values(), (None if k == _NONE else k, b - a, int(total[b] - total[a]), int(spans[b] - spans[a]), hashlib.sha256(left).hexdigest(), left), strict=False):
                     column.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), out, kinds, strict=True)})
+            if row["rest"] is not None:
+                rest.append(pa.ipc.open_stream(row["rest"]).read_all())
+        table = pa.table({n: pa.array(v, made[n]) for n, v in out.items()})
+        if others and rest:
+            whole = pa.concat_tables(rest)
+            for name in others:
+                table = table.append_column(name, whole[name])
+        return table
 
     return run
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
-    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary, the bytes that stay).
+    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256; if asked for, also kept (binary, the bytes that stay) and the other columns.
 
     A null or empty text has no bytes. Documents of one key don't count as sources for one another, and a null key
-    neither gives nor loses anything. Texts shorter than LENGTH stay whole. Keys are integers below 2^63 - 1.
+    neither gives nor loses anything. Texts shorter than LENGTH stay whole. Keys are integers below 2^63 - 1. Columns
+    of docs with the names of new ones are dropped.
     """
-    table = blocks(docs, key, text)
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    others = [c for c in docs.columns if c not in (key, text, *new)] if with_text else []
+    table = blocks(docs, key, text, others)
     size = table.agg(F.sum("n_bytes")).first()[0] or 0
     first = max(1, -(-size // (HASHES * 14)))  # a hash stands for about 14 bytes
-    hashed = table.mapInArrow(_hashed(first), "block bigint, part bigint, hashes binary, many binary")
+    hashed = table.drop("rest").mapInArrow(_hashed(first), "block bigint, part bigint, hashes binary, many binary")
     marks = common.stage(hashed.groupBy("part").applyInArrow(_repeated(HOT), "block bigint, part bigint, again binary, hot binary, n bigint"), "marks")
     second = max(1, -(-(marks.agg(F.sum("n")).first()[0] or 0) // SEGMENTS))
     given = marks.select("block", "part", "again", "hot", F.lit(False).alias("judged"))
-    sent = table.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_sent(first, second), "block bigint, part bigint, sizes binary, body binary, keys binary")
+    sent = table.drop("rest").groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_sent(first, second), "block bigint, part bigint, sizes binary, body binary, keys binary")
     judged = common.stage(sent.groupBy("part").applyInArrow(_judged, "block bigint, part bigint, again binary, hot binary").withColumn("judged", F.lit(True)), "judged")
     both = given.unionByName(judged)
-    out = table.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cleaned(first, second, with_text), "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    out = out.withColumn("key", F.col("key").cast(docs.schema[key].dataType)).withColumnRenamed("key", key)
-    return out if with_text else out.drop("kept")
+    kinds = "_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
+    out = table.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cleaned(first, second, others, with_text), kinds)
+    return out.select(F.col("_key").cast(docs.schema[key].dataType).alias(key), *out.columns[1:])
+
+
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the bytes that stay as their texts; what is left of a character cut in two goes too."""
+    kept = remove(docs, key, text)
+    # a cast doesn't look at the bytes, so the check is a function of its own
+    return kept.select(*(F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).alias(text) if c == text else F.col(c) for c in docs.columns))
