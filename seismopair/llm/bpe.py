@@ -22,26 +22,45 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of a worker's memory of encoded matches; it starts anew beyond.
+#: Entries of a worker's memory of encoded matches, of which it holds twice as many at most.
 MEMORY = 400_000
 #: Up to so many bytes a string is encoded by the plain merge loop.
-LEAF = 4
+LEAF = 8
+#: The rank of a pair that doesn't merge.
+NEVER = 1 << 62
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks, of bounded size."""
+    """A dictionary that computes what it lacks, of bounded size: what wasn't asked for of late goes first."""
 
     def __init__(self, compute, limit: int = MEMORY):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.before = compute, limit, {}
 
     def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(make, *of):
+    """make(*of), one for each worker process, for all tasks that it runs; only the last few stay."""
+    key = (make, *of)
+    if key not in _kept:
+        if len(_kept) >= 4:
+            _kept.clear()
+        _kept[key] = make(*of)
+    return _kept[key]
+
+
 def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
 
@@ -57,6 +76,7 @@ class Codec:
             raise ValueError(f"ranks lack single bytes: {missing[:5]}")
         self.pairs = Memo(lambda xy: len(m := self.merge(self.bytes_of[xy[0]] + self.bytes_of[xy[1]])) == 2 and tuple(m) == xy)
         self.small = Memo(self._tree)
+        self.windows = Memo(self.merge)
 
     def merge(self, data: bytes) -> list[int]:
         """The plain greedy encoding: again and again the adjacent pair of lowest rank merges, leftmost first."""
@@ -67,18 +87,19 @@ class Codec:
             return self._merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         get = ranks.get
-        costs = [get(data[i : i + 2]) for i in range(len(data) - 1)]
-        while True:
-            best = min((c for c in costs if c is not None), default=None)
-            if best is None:
-                return [ranks[p] for p in parts]
+        costs = [get(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while costs:
+            best = min(costs)
+            if best == NEVER:
+                break
             i = costs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            merged = parts[i] = parts[i] + parts.pop(i + 1)
             del costs[i]
             if i < len(costs):
-                costs[i] = get(parts[i] + parts[i + 1])
+                costs[i] = get(merged + parts[i + 1], NEVER)
             if i:
-                costs[i - 1] = get(parts[i - 1] + parts[i])
+                costs[i - 1] = get(parts[i - 1] + merged, NEVER)
+        return [ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
         """As merge, with a heap of candidate pairs over a linked list."""
@@ -108,7 +129,9 @@ class Codec:
             return a or b
         bytes_of, i, j = self.bytes_of, 1, 1
         while True:
-            inner = self.merge(b"".join([bytes_of[t] for t in a[-i:]] + [bytes_of[t] for t in b[:j]])) if i + j > 2 or not self.pairs[a[-1], b[0]] else [a[-1], b[0]]
+            if i + j == 2 and self.pairs[a[-1], b[0]]:
+                return a + b
+            inner = self.windows[b"".join([bytes_of[t] for t in a[-i:] + b[:j]])]
             left = i >= len(a) or self.pairs[a[-i - 1], inner[0]]
             right = j >= len(b) or self.pairs[inner[-1], b[j]]
             if left and right:
@@ -143,6 +166,14 @@ class Codec:
         return parts[0] if parts else b""
 
 
+class Matches(Memo):
+    """Ids, as bytes, of matches of the pattern."""
+
+    def __init__(self, ranks: bytes):
+        super().__init__(lambda match: np.array(self.codec.encode(match.encode()), "<u4").tobytes())
+        self.codec = Codec(read_ranks(ranks))
+
+
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds array column `ids`: the ids of each match of `pattern` in the text, on end (null or empty text: no ids).
 
@@ -167,9 +198,9 @@ def _mapped(df: DataFrame, ranks: bytes, pattern: str, text: str, made: dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        codec = Codec(read_ranks(held.value))
+        packed = kept(Matches, held.value)
+        codec = packed.codec
         find = regex.compile(pattern).findall
-        packed = Memo(lambda match: np.array(codec.encode(match.encode()), "<u4").tobytes())
         for batch in common.pieces(batches, text):
             rows = []
             for value in batch.column(text).to_pylist():
@@ -179,9 +210,9 @@ def _mapped(df: DataFrame, ranks: bytes, pattern: str, text: str, made: dict[str
                     rows.append((len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(codec.decode(ids.tolist())).hexdigest()))
                 else:
                     rows.append((ids.astype(np.int64),))
-            kept = [batch.column(c) for c in columns]
+            old = [batch.column(c) for c in columns]
             new = [pa.array([r[i] for r in rows], pa.list_(pa.int64()) if t == pa.list_(pa.uint32()) else t) for i, t in enumerate(made.values())]
-            yield pa.RecordBatch.from_arrays(kept + new, names=[*columns, *made])
+            yield pa.RecordBatch.from_arrays(old + new, names=[*columns, *made])
 
     return df.mapInArrow(run, schema)
 
@@ -194,7 +225,7 @@ def decode(df: DataFrame, ranks: bytes, ids: str = "ids", to: str = "decoded") -
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{to} binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(held.value))
+        codec = kept(Matches, held.value).codec
         for batch in batches:
             made = pa.array([None if v is None else codec.decode(v) for v in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [made], names=[*columns, to])

@@ -8,6 +8,7 @@ remaining capacities finds. Group sizes don't grow with the input; only their nu
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import Memo
+from .bpe import Memo, kept
 
 WINDOW = 4096
 #: Pieces of a group, about: large enough that the windows left open at its end weigh little.
@@ -75,6 +76,44 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[
     return sequence, offset
 
 
+class Stretches(Memo):
+    """Ids, as bytes, of stretches of text without a space or line feed.
+
+    An ASCII stretch is looked up in lower case, and its leading run of letters apart from the rest, if the
+    vocabulary's own normaliser and pre-tokeniser do so: then a plain word costs no more than its merges.
+    """
+
+    def __init__(self, vocabulary: bytes):
+        from tokenizers import Tokenizer
+
+        super().__init__(self._ids)
+        self.tokenizer = Tokenizer.from_buffer(vocabulary)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = re.compile("[a-z]+").match
+        probes = ["It", "it's", "Don't!!", "a1b", "THE&&&", "x.y,Z", "###", "we've", "'llama", "h" * 40]
+        self.plain = True
+        self.plain = all(self._ids(p) == self._whole(p) for p in probes)
+        self.clear()
+        self[""] = b""
+
+    def _whole(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, part: str) -> bytes:
+        if not self.plain or not part.isascii():
+            return self._whole(part)
+        low = part.lower()
+        if low != part:
+            return self[low]
+        word = self.letters(part)
+        if word is None:
+            return self._whole(part)
+        if word.end() < len(part):
+            return self[word[0]] + self[part[word.end() :]]
+        return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+
+
 def tokenize(df: DataFrame, vocabulary: bytes, end_id: int, window: int = WINDOW, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens (and ids, if asked for).
 
@@ -87,12 +126,7 @@ def tokenize(df: DataFrame, vocabulary: bytes, end_id: int, window: int = WINDOW
     schema = f"{key} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_buffer(held.value)
-        tokenizer.encode_special_tokens = True
-        packed = Memo(lambda part: np.array(tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
-        packed[""] = b""
+        packed = kept(Stretches, held.value)
         last = np.array([end_id], "<u4").tobytes()
         for batch in common.pieces(batches, "_text"):
             index, starts, lengths, sums, totals, ids = [], [], [], [], [], []
