@@ -188,7 +188,7 @@ def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_pa
     revisit) and headers. A truncated member and bytes that are no WARC member are passed over.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
-    ranges = files.select("path", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes))).alias("start")).repartition(F.col("path"), F.col("start"))
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes))).alias("start")).repartition(common.partitions(files), "path", "start")
     schema = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes bigint, payload_digest string, digest_ok boolean"
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
     names = [x.split()[0] for x in schema.split(", ")]
