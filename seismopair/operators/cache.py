@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import small
+
 
 def _seconds(t: Column) -> Column:
     return F.unix_micros(t) / 1e6
@@ -97,7 +99,7 @@ def listing(cache: DataFrame, evids: list[str] | None = None, trace_ids: list[st
 
 def requests(events: DataFrame, offsets: DataFrame, pre_s: float, length_s: float) -> DataFrame:
     """Windows to download for each event and trace: from `pre_s` before the earliest P to `length_s` after the latest."""
-    rows = events.select("evid", "orig_time").crossJoin(F.broadcast(offsets))
+    rows = events.select("evid", "orig_time").crossJoin(small(offsets))
     at = lambda s: F.timestamp_micros(F.unix_micros("orig_time") + F.round(s * 1e6).cast("bigint"))
     return rows.select("evid", "trace_id", at(F.col("p_min_s") - pre_s).alias("start_ts"), at(F.col("p_max_s") + length_s).alias("end_ts"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config, Interval
+from ..shared import small, stage
 
 
 def in_range(value: Column, low, high) -> Column:
@@ -37,18 +38,18 @@ def time_sorted(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy("orig_time", "evid")
 
 
-def with_ordinal(catalog: DataFrame) -> DataFrame:
-    """Adds ordinal, from 0 in time order.
+def with_ordinal(rows: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:
+    """Adds a dense number, from 0 in the order of these columns (of a catalog: its time).
 
     Rows are numbered inside range partitions, and each partition's start is added, so that no task has to hold all.
     """
-    parts = catalog.repartitionByRange("orig_time", "evid").sortWithinPartitions("orig_time", "evid").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    from ..shared import stage
-
+    order = order or ("orig_time", "evid")
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    parts = parts.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
     parts = stage(parts, "ordinals")
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each partition
-    return parts.join(F.broadcast(starts), "_part").withColumn("ordinal", (F.col("_at") + F.col("_start")).cast("bigint")).drop("_part", "_at", "_start")
+    return parts.join(small(starts), "_part").withColumn(name, (F.col("_at") + F.col("_start")).cast("bigint")).drop("_part", "_at", "_start")
 
 
 def deduplicated(catalog: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

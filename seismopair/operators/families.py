@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, duration_seconds
 from ..functions import geo, slip, units
+from .catalog import with_ordinal
 
 _YEAR_S = 365 * 86400.0
 
@@ -14,7 +15,7 @@ _YEAR_S = 365 * 86400.0
 def numbered(members: DataFrame, key: str = "time", origin: tuple[float, float] | None = None) -> DataFrame:
     """Adds family_number to members (cluster, evid, ...): the rank from 0 of the family by its first time, mean place, or distance from `origin` (lon, lat).
 
-    Ties go by the smallest evid. Only a row for each family is ranked in one place.
+    Ties go by the smallest evid.
     """
     sorts: dict[str, Column] = {"time": F.min("orig_time"), "longitude": F.avg("lon"), "latitude": F.avg("lat"), "depth": F.avg("depth_km")}
     if key == "distance_from":
@@ -22,7 +23,7 @@ def numbered(members: DataFrame, key: str = "time", origin: tuple[float, float]
             raise ValueError("distance_from needs an origin")
         sorts[key] = geo.haversine_km(F.avg("lat"), F.avg("lon"), F.lit(float(origin[1])), F.lit(float(origin[0])))
     heads = members.groupBy("cluster").agg(sorts[key].alias("_key"), F.min("evid").alias("_tie"))
-    ranked = heads.withColumn("family_number", (F.row_number().over(Window.orderBy("_key", "_tie")) - 1).cast("int")).select("cluster", "family_number")
+    ranked = with_ordinal(heads, "_key", "_tie").select("cluster", F.col("ordinal").cast("int").alias("family_number"))
     return members.join(ranked, "cluster")
 
 

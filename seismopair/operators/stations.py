@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..shared import is_small, small
 
 
 def ranked(events: DataFrame, stations: DataFrame, distance=geo.haversine_km) -> DataFrame:
     """evid, trace_id, distance_km, rank: each event's stations, nearest first; ties go by trace_id.
 
-    Stations are few and each event meets all of them; ranks are made within an array per event, so nothing is
-    shuffled. Events without a place have no station.
+    Each event meets all stations. Few stations go to the events as one array, and ranks are made inside it, so nothing
+    is shuffled; many are joined and ranked by a window for each event. Events without a place have no station.
     """
+    if not is_small(stations):
+        s = stations.select("trace_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+        rows = events.where("lat is not null and lon is not null").select("evid", "lat", "lon").crossJoin(s)
+        rows = rows.withColumn("distance_km", distance(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+        w = Window.partitionBy("evid").orderBy("distance_km", "trace_id")
+        return rows.select("evid", "trace_id", "distance_km", F.row_number().over(w).alias("rank"))
     near = stations.select(F.struct("trace_id", "lat", "lon").alias("s")).agg(F.collect_list("s").alias("_stations"))  # one row
     rows = events.where("lat is not null and lon is not null").select("evid", "lat", "lon").crossJoin(F.broadcast(near))
     told = F.sort_array(F.transform("_stations", lambda s: F.struct(distance(F.col("lat"), F.col("lon"), s["lat"], s["lon"]).alias("distance_km"), s["trace_id"].alias("trace_id"))))
@@ -37,7 +44,7 @@ def with_fallback(pairs: DataFrame, ranks: DataFrame, waveforms: DataFrame) -> D
 def extremes(events: DataFrame, stations: DataFrame) -> DataFrame:
     """For each trace the events of least and largest hypocentral distance: near_evid, near_km, far_evid, far_km."""
     s = stations.select("trace_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    rows = events.where("lat is not null and lon is not null").select("evid", "lat", "lon", "depth_km").crossJoin(F.broadcast(s))
+    rows = events.where("lat is not null and lon is not null").select("evid", "lat", "lon", "depth_km").crossJoin(small(s))
     km = geo.hypocentral_km(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), F.coalesce("depth_km", F.lit(0.0)))
     far = lambda c: F.struct(c, F.col("evid"))
     rows = rows.withColumn("_km", km)

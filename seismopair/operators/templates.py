@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal
 from ..functions.ids import generate_evid
+from ..shared import small
 
 
 def stacked(traces: DataFrame, family: str = "family_number", data: str = "data", normalise: bool = False) -> DataFrame:
@@ -105,10 +106,10 @@ def sliding(data: np.ndarray, template: np.ndarray) -> np.ndarray:
 def scanned(series_rows: DataFrame, templates: DataFrame, step_s: float, ratio: float) -> DataFrame:
     """Detections, one at most for each template and chunk: family_number, trace_id, evid, orig_time, cc_max, mad_ratio.
 
-    `templates` (family_number, trace_id, data, p_offset_s) are a few thousand rows at most, and meet all chunks of their trace.
+    `templates` (family_number, trace_id, data, p_offset_s) meet all chunks of their trace; a few thousand go to every executor, more are joined by trace.
     """
     t = templates.select("family_number", "trace_id", F.col("data").alias("template"), "p_offset_s")
-    rows = series_rows.join(F.broadcast(t), "trace_id")
+    rows = series_rows.join(small(t, 5000), "trace_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,17 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     schema = df.schema
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+#: Rows that a side of a join may have to be sent to every executor.
+SMALL = 20_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL) -> bool:
+    """Whether df has at most `rows` rows; no task reads further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df, marked for a broadcast join if it is small; beyond that the planner chooses."""
+    return F.broadcast(df) if is_small(df, rows) else df
