@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries of a worker's memory of encoded matches, of which it holds twice as many at most.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Up to so many bytes a string is encoded by the plain merge loop.
 LEAF = 8
 #: The rank of a pair that doesn't merge.
@@ -214,7 +214,7 @@ def _mapped(df: DataFrame, ranks: bytes, pattern: str, text: str, made: dict[str
             new = [pa.array([r[i] for r in rows], pa.list_(pa.int64()) if t == pa.list_(pa.uint32()) else t) for i, t in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays(old + new, names=[*columns, *made])
 
-    return df.mapInArrow(run, schema)
+    return common.small_batches(df).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:

@@ -1,44 +1,32 @@
-"""What the corpus operators share: batching of Arrow texts, hashing of words, tables in the shared folder."""
+"""What the corpus operators share: batching of Arrow texts, hashing of words, labelled samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker takes on at a time (a longer single text is taken on alone).
-CHUNK_BYTES = 2 << 20
-FOLDS = 5
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
+from ..shared import shared_dir, shared_path, stage
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["shared_dir", "shared_path", "stage"]
 
+#: Bytes of text that a Python worker takes on at a time (a longer single text is taken on alone).
+CHUNK_BYTES = 1 << 20
+FOLDS = 5
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet into the shared folder and read them again.
 
-    A lost executor then costs the tasks that it ran, not what lies before the table.
-    """
-    path = shared_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session is told to hand Python workers 2,000 rows at a time at most: 10,000 long texts are too many for a small worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > 2000:
+        df.sparkSession.conf.set(name, "2000")
+    return df
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -63,6 +51,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker process lives on for other tasks beside a JVM that wants it too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -212,4 +208,4 @@ def scored(df: DataFrame, text: str, score, threshold: float) -> DataFrame:
             value = np.clip(of(batch.column(text)), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(value, pa.float64()), pa.array((value >= threshold).astype(np.int32), pa.int32())], names=[*columns, "score", "predicted"])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, vectors
-from .components import components
+from ..operators.graph import components
 
 THRESHOLD = 0.93
 #: Members of a block, of a leaf, and pivots, at most; rows that the pivots are chosen from.

@@ -111,7 +111,7 @@ def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str =
             code = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(total[code], pa.int64())], names=["lang", "code", "n"])
 
-    found = rows.mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).collect()
+    found = common.small_batches(rows).mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).collect()
     item = letters()
     langs = sorted({r["lang"] for r in found})
     prototypes = np.zeros((len(langs), DIMENSION))
@@ -134,4 +134,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names, cosine = held.value.predict(batch.column(text).to_pylist(), item)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(names, pa.string()), pa.array(cosine, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return common.small_batches(docs).mapInArrow(run, schema)

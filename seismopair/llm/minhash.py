@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from ..operators.graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -116,7 +116,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(digest, pa.binary()), bands], names=[key, "digest", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, digest binary, bands binary")
+    return common.small_batches(docs.select(F.col(key), F.col(text).alias("_text"))).mapInArrow(run, f"`{key}` {kind}, digest binary, bands binary")
 
 
 def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -126,7 +126,7 @@ def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in common.pieces(batches, "_text"):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(pack(*weighted(batch.column("_text")), batch.num_rows), pa.binary())], names=["id", "set"])
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id bigint, set binary")
+    return common.small_batches(docs.select(F.col(key).alias("id"), F.col(text).alias("_text"))).mapInArrow(run, "id bigint, set binary")
 
 
 def verified(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:

@@ -144,7 +144,7 @@ def tokenize(df: DataFrame, vocabulary: bytes, end_id: int, window: int = WINDOW
             made = [batch.column(key).take(pa.array(index, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))]
             yield pa.RecordBatch.from_arrays(made + ([pa.array(ids, pa.list_(pa.int64()))] if with_ids else []), names=[key, "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
-    return df.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return common.small_batches(df.select(F.col(key), F.col(text).alias("_text"))).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, n_pieces: int, window: int = WINDOW, group: int = GROUP, key: str = "doc_id") -> DataFrame:

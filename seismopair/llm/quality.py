@@ -19,6 +19,8 @@ BITS = 17
 PER_CLASS, LONGEST = 2500, 32_768
 THRESHOLD = 0.3
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
+#: Bytes of text whose n-grams are in memory at a time.
+PIECE = 1 << 18
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +58,7 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, see
     sign, alpha = np.where(y == 1, 1.0, -1.0), np.zeros(len(rows))
     share = np.clip(y.mean(), 0.05, 0.95)
     most = COST * np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    norm = np.array([v @ v + 1.0 for v in values])
+    norm = np.array([float(v @ v) + 1.0 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         moved = 0.0
@@ -89,12 +91,14 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.weight is None:
             return np.full(len(texts), self.share)
-        return common.sigmoid(self.line[0] * self.margins(*features(texts), len(texts)) + self.line[1])
+        cuts = common.pieces([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", PIECE)
+        margins = [self.margins(*features(b.column("text")), b.num_rows) for b in cuts]
+        return common.sigmoid(self.line[0] * np.concatenate([np.zeros(0), *margins]) + self.line[1])
 
 
 def _solve(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ratio = ratios(rows, y)
-    values = [ratio[r] / max(float(np.linalg.norm(ratio[r])), 1e-12) for r in rows]
+    values = [(ratio[r] / max(float(np.linalg.norm(ratio[r])), 1e-12)).astype(np.float32) for r in rows]
     return ratio, descend(rows, values, y)
 
 
@@ -119,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     sample = common.labelled_sample(docs, labels, label, PER_CLASS, LONGEST, key, text)
 
     def run(batches):
-        for batch in common.pieces(batches, "_text"):
+        for batch in common.pieces(batches, "_text", PIECE):
             row, bucket = features(batch.column("_text"))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             packed = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -128,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     kind = docs.schema[key].dataType.simpleString()
     rows = sorted(sample.mapInArrow(run, f"{key} {kind}, _label int, buckets binary").collect(), key=lambda r: (r[key], r["buckets"]))
     order = np.random.default_rng(11).permutation(len(rows))
-    return fit([np.frombuffer(rows[i]["buckets"], "<i4").astype(np.int64) for i in order], np.array([rows[i]["_label"] for i in order], int), common.class_share(labels, label, key))
+    return fit([np.frombuffer(rows[i]["buckets"], "<i4") for i in order], np.array([rows[i]["_label"] for i in order], int), common.class_share(labels, label, key))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

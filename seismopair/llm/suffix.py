@@ -27,10 +27,13 @@ from . import bwt, common
 LENGTH = 50
 SEED = 24
 WINDOW = LENGTH - SEED + 1
-#: Bytes of text in a block, seed hashes in a partition of the first exchange, segments in one of the second, about.
-BLOCK_BYTES, HASHES, SEGMENTS = 2 << 20, 1 << 20, 40_000
+#: Bytes of text in a block, seed hashes in a partition of the first exchange, segments in one of the second, about;
+#: a partition holds collections that are small enough for a processor's cache.
+BLOCK_BYTES, HASHES, SEGMENTS, COLLECTIONS = 1 << 20, 1 << 20, 64_000, 16
 #: A hash with more segments than this is dealt by its single strings.
 HOT = 20_000
+#: Parquet options for rows of a megabyte: look at a page's size often, and seek no repeated values.
+_WIDE = {"parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "8", "parquet.block.size": str(16 << 20), "compression": "none"}
 _NONE = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 40) - 1)
 
@@ -51,8 +54,8 @@ def blocks(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([np.diff(starts).astype("<i8").tobytes()]), pa.array([pack(body.tobytes())]), pa.array([_frozen(batch.select(others))], pa.binary()), pa.array([len(body)], pa.int64())], names=["keys", "sizes", "body", "rest", "n_bytes"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"), *others)
-    made = rows.mapInArrow(run, "keys binary, sizes binary, body binary, rest binary, n_bytes bigint")
-    return common.stage(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    made = common.small_batches(rows).mapInArrow(run, "keys binary, sizes binary, body binary, rest binary, n_bytes bigint")
+    return common.stage(made.withColumn("block", F.monotonically_increasing_id()), "blocks", **_WIDE)
 
 
 def _frozen(batch: pa.RecordBatch) -> bytes | None:
@@ -213,18 +216,18 @@ def _marked(block: Block, marks: list[tuple[int, bytes, bytes]], first: int, sec
 
 def _sent(first: int, second: int) -> Callable:
     def run(block: pa.Table, marks: pa.Table) -> pa.Table:
-        out = {"block": [], "part": [], "sizes": [], "body": [], "keys": []}
+        out = {"block": [], "part": [], "sets": [], "sizes": [], "body": [], "keys": []}
         if block.num_rows and marks.num_rows:
             row = block.to_pylist()[0]
             own = Block(row["keys"], row["sizes"], row["body"])
-            partition, begin, count, doc, content = _marked(own, [(m["part"], m["again"], m["hot"]) for m in marks.to_pylist()], first, second)
+            partition, begin, count, doc, content = _marked(own, [(m["part"], m["again"], m["hot"]) for m in marks.to_pylist()], first, second * COLLECTIONS)
             if len(partition):
                 head = np.flatnonzero(_distinct(partition, content))
                 least = np.minimum.reduceat(own.keys[doc], head)
                 partition, begin, size = partition[head], begin[head], count[head] + LENGTH - 1
-                for p, a, b in _groups(partition):
+                for p, a, b in _groups(partition // COLLECTIONS):
                     index = np.repeat(begin[a:b] - (np.cumsum(size[a:b]) - size[a:b]), size[a:b]) + np.arange(size[a:b].sum())
-                    for name, v in (("block", row["block"]), ("part", p), ("sizes", size[a:b].astype(np.uint8).tobytes()), ("body", own.body[index].tobytes()), ("keys", least[a:b].astype("<i8").tobytes())):
+                    for name, v in (("block", row["block"]), ("part", p), ("sets", (partition[a:b] % COLLECTIONS).astype(np.uint8).tobytes()), ("sizes", size[a:b].astype(np.uint8).tobytes()), ("body", own.body[index].tobytes()), ("keys", least[a:b].astype("<i8").tobytes())):
                         out[name].append(v)
         kinds = {"block": pa.int64(), "part": pa.int64()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
@@ -257,7 +260,7 @@ def first_keys(data: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> np.nda
 def _judged(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
     known: dict[bytes, int] = {}
-    keys, names = [], []
+    keys, names, sets = [], [], []
     for row in rows:
         cut = np.cumsum(np.append(0, np.frombuffer(row["sizes"], np.uint8).astype(np.int64))).tolist()
         least, body = np.frombuffer(row["keys"], "<i8").tolist(), row["body"]
@@ -267,15 +270,21 @@ def _judged(group: pa.Table) -> pa.Table:
             at = known.setdefault(part, len(known))
             if at == len(keys):
                 keys.append(k)
+                sets.append(row["sets"][i])
             elif k < keys[at]:
                 keys[at] = k
             own[i] = at
         names.append(own)
-    data = np.frombuffer(b"".join(known), np.uint8)
-    starts = np.cumsum([0, *map(len, known)])
-    first = first_keys(data, starts, np.array(keys, np.int64))
-    counts = np.diff(starts) - LENGTH + 1
+    segments, least, own_set = list(known), np.array(keys, np.int64), np.array(sets)
+    counts = np.array([len(x) for x in segments]) - LENGTH + 1
     offset = np.cumsum(counts) - counts
+    first = np.empty(int(counts.sum()), np.int64)
+    for k in np.unique(own_set):  # equal strings are in one collection
+        own = np.flatnonzero(own_set == k)
+        parts = [segments[i] for i in own.tolist()]
+        n = counts[own]
+        index = np.repeat(offset[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        first[index] = first_keys(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]), least[own])
     runs, values = [], []
     for own in names:
         n = counts[own]
@@ -286,6 +295,7 @@ def _judged(group: pa.Table) -> pa.Table:
         at = np.flatnonzero(change)
         runs.append(np.diff(np.append(at, len(value))).astype(np.uint8).tobytes())
         values.append(value[at].astype("<i8").tobytes())
+    common.give_back()
     return pa.table({"block": group["block"], "part": group["part"], "again": pa.array(runs, pa.binary()), "hot": pa.array(values, pa.binary())})
 
 
@@ -294,10 +304,10 @@ def _covered(block: Block, marks: list[dict], first: int, second: int) -> np.nda
     level = np.zeros(len(block.body) + 1, np.int32)
     own = [(m["part"], m["again"], m["hot"]) for m in marks if not m["judged"]]
     if own:
-        partition, begin, count, doc, content = _marked(block, own, first, second)
+        partition, begin, count, doc, content = _marked(block, own, first, second * COLLECTIONS)
         answers = {m["part"]: m for m in marks if m["judged"]}
         head = _distinct(partition, content)
-        for p, a, b in _groups(partition):
+        for p, a, b in _groups(partition // COLLECTIONS):
             value = np.repeat(np.frombuffer(answers[p]["hot"], "<i8"), np.frombuffer(answers[p]["again"], np.uint8))
             which = np.cumsum(head[a:b]) - 1
             size = count[a:b]
@@ -357,7 +367,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
     marks = common.stage(hashed.groupBy("part").applyInArrow(_repeated(HOT), "block bigint, part bigint, again binary, hot binary, n bigint"), "marks")
     second = max(1, -(-(marks.agg(F.sum("n")).first()[0] or 0) // SEGMENTS))
     given = marks.select("block", "part", "again", "hot", F.lit(False).alias("judged"))
-    sent = table.drop("rest").groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_sent(first, second), "block bigint, part bigint, sizes binary, body binary, keys binary")
+    sent = table.drop("rest").groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_sent(first, second), "block bigint, part bigint, sets binary, sizes binary, body binary, keys binary")
     judged = common.stage(sent.groupBy("part").applyInArrow(_judged, "block bigint, part bigint, again binary, hot binary").withColumn("judged", F.lit(True)), "judged")
     both = given.unionByName(judged)
     kinds = "_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in others)

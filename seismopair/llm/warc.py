@@ -86,7 +86,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", uri: str = "url", payl
                 out.append((member if member[-1] == 0 else member + _EMPTY_MEMBER)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    members = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    members = common.small_batches(rows).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     members.write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
 
 
