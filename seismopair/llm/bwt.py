@@ -15,7 +15,7 @@ import numpy as np
 
 #: Rows of the files that are in memory at a time.
 ROWS = 1 << 22
-KINDS = {"symbol": np.uint8, "prefix": np.uint8, "string": np.uint32, "length": np.uint8}
+KINDS = {"symbol": np.uint8, "prefix": np.uint8, "suffix": np.uint32}
 
 
 class _Range:
@@ -39,96 +39,98 @@ class _Range:
 
 
 class _Files:
-    """The columns of one round."""
+    """The columns of one round, a file each; they stay open, and what a round writes goes over what an earlier one wrote."""
 
     def __init__(self, folder: str, name: str):
-        self.paths = {k: os.path.join(folder, f"{name}-{k}") for k in KINDS}
+        self.files = {k: open(os.path.join(folder, f"{name}-{k}"), "w+b", buffering=0) for k in KINDS}  # noqa: SIM115
         self.rows = 0
 
-    def write(self, mode: str = "ab", **columns: np.ndarray) -> None:
+    def write(self, **columns: np.ndarray) -> None:
+        """Add rows at the end."""
         for k, v in columns.items():
-            with open(self.paths[k], mode) as f:
-                v.astype(KINDS[k], copy=False).tofile(f)
-        self.rows = len(v) if mode == "wb" else self.rows + len(v)
+            self.files[k].seek(self.rows * np.dtype(KINDS[k]).itemsize)
+            self.files[k].write(v.astype(KINDS[k], copy=False).data)
+        self.rows += len(v)
 
     def read(self, kind: str, start: int, count: int) -> np.ndarray:
-        return np.fromfile(self.paths[kind], KINDS[kind], count, offset=start * np.dtype(KINDS[kind]).itemsize)
+        out = np.empty(max(0, min(count, self.rows - start)), KINDS[kind])
+        self.files[kind].seek(start * out.itemsize)
+        if len(out) and self.files[kind].readinto(out.view(np.uint8).data) != out.nbytes:
+            raise OSError("a column is cut off")
+        return out
 
     def clear(self) -> None:
-        for p in self.paths.values():
-            if os.path.exists(p):
-                os.remove(p)
         self.rows = 0
 
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
 
-def _places(old: _Files, counts: np.ndarray, last: int, cap: int) -> tuple[np.ndarray, ...]:
-    """Rows to insert: (row among the suffixes of length >= 1, string, own prefix, successor's prefix or -1), by row.
+def _places(old: _Files, counts: np.ndarray, last: np.ndarray, cap: int) -> tuple[np.ndarray, ...]:
+    """Rows to insert: (row among the suffixes of length >= 1, suffix that is made longer, own prefix, successor's prefix or -1), by row.
 
-    `last` is the length of the suffixes that the last round inserted. One pass over the files from front to end; what goes
-    on from block to block is, for each symbol, its count so far, the least prefix since its last row, and whether that row was new.
+    `last` are the rows that the last round inserted. One pass over the files from front to end; what goes on
+    from block to block is, for each symbol, its count so far, the least prefix since its last row, and whether that row was new.
     """
     before = np.concatenate([[0], np.cumsum(counts)[:-1]]) - counts[0]
     seen = np.zeros(256, np.int64)
     since = np.full(256, 255, np.uint8)
     waiting = np.full(256, -1, np.int64)  # the inserted row that waits for its successor's prefix
-    rows, strings, own, following = [], [], [], []
+    rows, suffixes, own = [], [], []
+    following = np.full(len(last), -1, np.int64)
     made = 0
     for at in range(0, old.rows, ROWS):
-        symbol, prefix, length = (old.read(k, at, ROWS) for k in ("symbol", "prefix", "length"))
+        symbol, prefix = old.read("symbol", at, ROWS), old.read("prefix", at, ROWS)
         order = np.argsort(symbol, kind="stable")
-        by = symbol[order]
-        here = np.bincount(symbol, minlength=256)
+        here = counts if len(symbol) == old.rows else np.bincount(symbol, minlength=256)
         first = np.concatenate([[0], np.cumsum(here)[:-1]])
-        fresh = (length[order] == last) & (by > 0)
-        # prefix of each row in order with the row of the same symbol before it
-        need = fresh.copy()
-        need[1:] |= fresh[:-1] & (by[1:] == by[:-1])
-        heads = first[here > 0]
-        need[heads] = True
-        index = np.flatnonzero(need & (by > 0))
-        start = np.where(index > 0, order[index - 1] + 1, 0)
-        inner = np.ones(len(index), bool)
-        inner[np.isin(index, heads)] = False
-        start[~inner] = 0
-        end = order[index] + 1
-        least = _Range(prefix, int((end - start).max(initial=1))).least(start, end) if len(index) else np.zeros(0, np.uint8)
-        symbols = by[index]
+        present = np.flatnonzero(here)
+        heads = first[present]
+        new = np.zeros(len(symbol), bool)
+        a, b = np.searchsorted(last, [at, at + len(symbol)])
+        new[last[a:b] - at] = True
+        fresh = new[order]
+        fresh[: here[0]] = False  # a whole string goes no further
+        # a new row and its successor need the least prefix since the row of the same symbol before
+        own_index = np.flatnonzero(fresh)
+        index = np.sort(np.concatenate([own_index, own_index + 1, heads]))
+        index = index[np.append(True, index[1:] != index[:-1]) & (index >= here[0]) & (index < len(symbol))]
+        to = order[index]
+        symbols = symbol[to]
+        inner = index != first[symbols]
+        start = np.where(inner, order[index - 1] + 1, 0)
+        least = _Range(prefix, int((to + 1 - start).max(initial=1))).least(start, to + 1) if len(index) else np.zeros(0, np.uint8)
         least = np.where(inner, least, np.minimum(least, since[symbols]))
         value = np.minimum(least.astype(np.int64) + 1, cap)
         value[~inner & (seen[symbols] == 0)] = 0
         is_new = fresh[index]
+        many = int(is_new.sum())
         name = np.full(len(index), -1, np.int64)
-        name[is_new] = made + np.arange(int(is_new.sum()))
+        name[is_new] = made + np.arange(many)
         previous = np.where(inner, np.concatenate([[-1], name[:-1]]), waiting[symbols])
-        # a row that isn't needed stands between: only the direct predecessor in order counts
-        previous[inner & ~np.concatenate([[False], np.diff(index) == 1])] = -1
-        rows.append(before[symbols[is_new]] + seen[symbols[is_new]] + index[is_new] - first[symbols[is_new]])
-        strings.append(old.read("string", at, ROWS)[order[index[is_new]]])
+        previous[inner & ~np.concatenate([[False], np.diff(index) == 1])] = -1  # another row stands between
+        rows.append((before + seen - first)[symbols[is_new]] + index[is_new])
+        suffixes.append(old.read("suffix", at, ROWS)[to[is_new]])
         own.append(value[is_new])
-        following.append(np.full(int(is_new.sum()), -1, np.int64))
         told = previous >= 0
-        flat = np.concatenate(following)
-        flat[previous[told]] = value[told]
-        following = [flat]
-        made += int(is_new.sum())
-        # what the next block needs
-        present = np.flatnonzero(here)
-        tail = first[present] + here[present] - 1
-        ends = order[tail]
-        after = np.minimum.accumulate(prefix[::-1])[::-1]
-        whole = after[0] if len(after) else 255
-        absent = np.setdiff1d(np.arange(256), present)
-        since[absent] = np.minimum(since[absent], whole)
-        since[present] = np.where(ends + 1 < len(prefix), after[np.minimum(ends + 1, len(prefix) - 1)], 255)
-        waiting[present] = -1
-        new_tail = fresh[tail]
-        if new_tail.any():
-            where = np.searchsorted(index, tail[new_tail])
-            waiting[present[new_tail]] = name[where]
-        seen += here
-    rows_, strings_, own_, following_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, strings, own, following))
-    sort = np.argsort(rows_, kind="stable")
-    return rows_[sort], strings_[sort], own_[sort], following_[sort]
+        following[previous[told]] = value[told]
+        made += many
+        if at + ROWS < old.rows:  # what the next block needs
+            tail = first[present] + here[present] - 1
+            ends = order[tail]
+            after = np.append(np.minimum.accumulate(prefix[::-1])[::-1], np.uint8(255))
+            absent = np.setdiff1d(np.arange(256), present)
+            since[absent] = np.minimum(since[absent], after[0])
+            since[present] = after[ends + 1]
+            waiting[present] = -1
+            open_ = fresh[tail]
+            if open_.any():
+                waiting[present[open_]] = name[np.searchsorted(index, tail[open_])]
+            seen += here
+    row, suffix, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, suffixes, own))
+    sort = np.argsort(row, kind="stable")
+    return row[sort], suffix[sort], value[sort], following[:made][sort]
 
 
 def build(data: np.ndarray, starts: np.ndarray, cap: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,8 +144,8 @@ def build(data: np.ndarray, starts: np.ndarray, cap: int, folder: str | None = N
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
     work = tempfile.mkdtemp(prefix="bwt-", dir=folder)
+    old, new = _Files(work, "a"), _Files(work, "b")
     try:
-        old, new = _Files(work, "a"), _Files(work, "b")
 
         def symbols(string: np.ndarray, length: int) -> np.ndarray:
             more = size[string] > length
@@ -151,22 +153,28 @@ def build(data: np.ndarray, starts: np.ndarray, cap: int, folder: str | None = N
             out[more] = data[starts[string[more] + 1] - 1 - length] + 1
             return out
 
-        every = np.arange(n)
-        first = symbols(every, 0)
-        old.write("wb", symbol=first, prefix=np.zeros(n), string=every, length=np.zeros(n))
-        counts = np.bincount(first, minlength=256)
+        if n >= 1 << 24:
+            raise ValueError("a partition holds fewer than 2^24 strings")
+        first = symbols(np.arange(n), 0)
+        old.write(symbol=first, prefix=np.zeros(n), suffix=np.arange(n) << 8)
+        counts, last = np.bincount(first, minlength=256), np.arange(n)
         for length in range(1, int(size.max()) + 1):
-            row, string, own, following = _places(old, counts, length - 1, cap)
-            _insert(old, new, row + n, string, own, following, symbols(string.astype(np.int64), length), length)
-            counts = counts + np.bincount(symbols(string.astype(np.int64), length), minlength=256)
+            row, suffix, own, following = _places(old, counts, last, cap)
+            symbol = symbols((suffix >> 8).astype(np.int64), length)
+            last = row + n
+            _insert(old, new, last, suffix + 1, own, following, symbol)
+            counts = counts + np.bincount(symbol, minlength=256)
             old.clear()
             old, new = new, old
-        return tuple(old.read(k, 0, old.rows) for k in ("symbol", "prefix", "string", "length"))
+        symbol, prefix, suffix = (old.read(k, 0, old.rows) for k in KINDS)
+        return symbol, prefix, suffix >> 8, (suffix & 255).astype(np.uint8)
     finally:
+        for files in (old, new):
+            files.close()
         shutil.rmtree(work, ignore_errors=True)
 
 
-def _insert(old: _Files, new: _Files, row: np.ndarray, string: np.ndarray, own: np.ndarray, following: np.ndarray, symbol: np.ndarray, length: int) -> None:
+def _insert(old: _Files, new: _Files, row: np.ndarray, suffix: np.ndarray, own: np.ndarray, following: np.ndarray, symbol: np.ndarray) -> None:
     """Copy the columns from front to end, with the new rows in their places (`row` counts in the copy)."""
     target = row - np.arange(len(row))  # the old row that each stands before
     for at in range(0, max(old.rows, 1), ROWS):
@@ -178,7 +186,7 @@ def _insert(old: _Files, new: _Files, row: np.ndarray, string: np.ndarray, own:
         mask = np.ones(len(block["symbol"]) + b - a, bool)
         mask[place] = False
         out = {}
-        for kind, values in (("symbol", symbol), ("prefix", own), ("string", string), ("length", np.full(len(row), length))):
+        for kind, values in (("symbol", symbol), ("prefix", own), ("suffix", suffix)):
             out[kind] = np.empty(len(mask), KINDS[kind])
             out[kind][mask] = block[kind]
             out[kind][place] = values[a:b]
