@@ -19,13 +19,17 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Bytes of a window, which ends at a space if it can.
-WINDOW = 64
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 32768, 4096, 5
+WINDOW = 128
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL, SHORTEST_MATCH = 262_144, 4096, 7, 4
+#: Bytes of a stretch that the dictionaries' training picks at a time.
+PIECE = 128
+#: Bytes that the toxic dictionary has to save in a window, for each of the thresholds whose shares of windows are weighed.
+STEPS = (1, 2, 3, 4, 5, 6, 8)
 #: Labelled documents of each class that the model is fitted on at most, and their longest text.
 PER_CLASS, LONGEST = 3000, 32_768
 THRESHOLD = 0.5
 #: A word belongs to the toxic part if it is so many times as frequent in toxic documents.
-RATIO = 20
+RATIO = 30
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -46,7 +50,7 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
     import zstandard
 
     try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, level=LEVEL, k=PIECE, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -64,7 +68,7 @@ class Model:
         if "_made" not in self.__dict__:
             import zstandard as z
 
-            own = z.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=ORDINARY_BYTES + TOXIC_BYTES, write_content_size=0, write_checksum=0, write_dict_id=0)
+            own = z.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=ORDINARY_BYTES + TOXIC_BYTES, min_match=SHORTEST_MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
             made = []
             for content in (self.ordinary, self.toxic + b" " + self.ordinary):
                 d = z.ZstdCompressionDict(content.ljust(8, b" "), dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -74,20 +78,21 @@ class Model:
         return self._made
 
     def features(self, text: str) -> list[float]:
+        """Shares of windows that save so many bytes, how many save 3 and 5, the largest savings, and the length."""
         cuts = windows(text)
         if not cuts:
-            return [0.0] * 6
+            return [0.0] * (len(STEPS) + 5)
         plain, toxic = self.compressors()
         less = np.array([len(plain(w)) - len(toxic(w)) for w in cuts], float)
-        size = sum(map(len, cuts))
+        over = (less[:, None] >= np.array(STEPS)[None]).sum(0)
         top = np.sort(less)[-3:]
-        return [100 * less.sum() / size, (less >= 3).mean(), (less >= 6).mean(), top[-1] / 10, top.mean() / 10, np.log1p(size) / 10]
+        return [*(over / len(less)), np.log1p(over[2]) / 2, np.log1p(over[4]) / 2, top[-1] / 10, top.mean() / 10, np.log1p(sum(map(len, cuts))) / 10]
 
     def score(self, texts: pa.Array) -> np.ndarray:
         values = texts.to_pylist()
         if self.weights is None:
             return np.full(len(values), self.share)
-        x = np.array([self.features(t or "") for t in values]).reshape(-1, 6)
+        x = np.array([self.features(t or "") for t in values]).reshape(-1, len(STEPS) + 5)
         return common.sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
