@@ -139,3 +139,11 @@ def slow_tasks(tasks: DataFrame, key: str, seconds: str, order: list[str], windo
     half = F.size("_seen") / 2
     rows = rows.withColumn("median_s", (at(F.floor(half + 0.5)) + at(F.floor(half) + 1)) / 2).drop("_seen")
     return rows.withColumn("slow", (F.col("_n") >= least) & (F.col(seconds) > times * F.col("median_s"))).drop("_n")
+
+
+def decided(wanted: DataFrame, stored: DataFrame, state: DataFrame, now: Column, tolerance_s: float = 10.0) -> DataFrame:
+    """Requests with status: fetched if a stored window covers one, unavailable if its last failure still blocks it, else pending."""
+    found = covering(wanted, stored, tolerance_s)
+    blocked = state.where(skip_reason(now).isNotNull()).select("evid", "trace_id", F.lit(True).alias("_blocked"))
+    rows = found.join(blocked, ["evid", "trace_id"], "left")
+    return rows.withColumn("status", F.when(F.col("hit_start").isNotNull(), "fetched").when(F.col("_blocked"), "unavailable").otherwise("pending")).drop("_blocked")

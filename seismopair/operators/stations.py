@@ -56,6 +56,23 @@ def travel_seconds(distance_km: Column, speed_km_s: float) -> Column:
     return distance_km / speed_km_s
 
 
+def table_seconds(distance_km: Column, depth_km: Column, distances: list[float], depths: list[float], seconds: list[list[float]]) -> Column:
+    """Time from a table over distances and depths (seconds[depth][distance]), between its nodes on straight lines, beyond its edges as at them."""
+    x = F.greatest(F.lit(float(distances[0])), F.least(distance_km, F.lit(float(distances[-1]))))
+    y = F.greatest(F.lit(float(depths[0])), F.least(depth_km, F.lit(float(depths[-1]))))
+
+    def place(v: Column, nodes: list[float]) -> tuple[Column, Column]:
+        grid = F.array(*(F.lit(float(n)) for n in nodes))
+        at = F.greatest(F.lit(1), F.least(F.size(F.filter(grid, lambda n: n <= v)), F.lit(len(nodes) - 1)))
+        low, high = F.element_at(grid, at), F.element_at(grid, at + 1)
+        return at, (v - low) / (high - low)
+
+    (i, a), (j, b) = place(x, distances), place(y, depths)
+    rows = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in seconds))
+    cell = lambda jj, ii: F.element_at(F.element_at(rows, jj), ii)
+    return (1 - b) * ((1 - a) * cell(j, i) + a * cell(j, i + 1)) + b * ((1 - a) * cell(j + 1, i) + a * cell(j + 1, i + 1))
+
+
 def standard_offsets(events: DataFrame, stations: DataFrame, speed_km_s: float = 6.0) -> DataFrame:
     """trace_id, p_min_s, p_max_s: P times of the nearest and the furthest event."""
     e = extremes(events, stations)
