@@ -94,13 +94,18 @@ def similarity(u: tuple[np.ndarray, np.ndarray], v: tuple[np.ndarray, np.ndarray
 
 
 def pack(row: np.ndarray, element: np.ndarray, count: np.ndarray, n: int) -> list[bytes]:
-    cut = np.searchsorted(row, np.arange(n + 1))
-    return [element[a:b].astype("<u8").tobytes() + np.minimum(count[a:b], 65535).astype("<u2").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    """Each row's shingles, six bytes each, then their counts, two bytes each."""
+    cut = np.searchsorted(row, np.arange(n + 1)).tolist()
+    six = np.ascontiguousarray(element.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    two = np.minimum(count, 65535).astype("<u2")
+    return [six[a:b].tobytes() + two[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 10
-    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u2", n, 8 * n)
+    n = len(data) // 8
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(-1, 6)
+    return wide.view("<u8").ravel(), np.frombuffer(data, "<u2", n, 6 * n)
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
