@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a temporary one only where none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,11 +28,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet (with the writer's options) into the shared folder and read them again.
 
-    A lost executor then costs the tasks that it ran, not what lies before the table.
+    A lost executor then costs the tasks that it ran, not what lies before the table, and shuffle files go once the table stands.
     """
     path = shared_path(df.sparkSession, name)
     schema = df.schema
-    df.write.options(**options).parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
