@@ -2,7 +2,7 @@
 
 A byte goes if it lies in a string of LENGTH bytes that also starts in a document of smaller key.
 
-All strings of LENGTH bytes are dealt to partitions so that equal ones meet: each belongs to the least hash of the 24-byte
+All strings of LENGTH bytes are dealt to partitions so that equal ones meet: each belongs to the least hash of the 20-byte
 strings inside it, and a run of neighbours with the same least hash travels as one segment. First only these hashes
 travel, and segments follow for those that occur again, in another document. Each partition builds the
 Burrows-Wheeler transform and common prefixes of its segments column by column (bwt.py); strings of LENGTH
@@ -25,17 +25,20 @@ from pyspark.sql import functions as F
 from . import bwt, common
 
 LENGTH = 50
-SEED = 24
+SEED = 20
 WINDOW = LENGTH - SEED + 1
 #: Bytes of text in a block, seed hashes in a partition of the first exchange, segments in one of the second, about;
 #: a partition holds collections that are small enough for a processor's cache.
-BLOCK_BYTES, HASHES, SEGMENTS, COLLECTIONS = 1 << 20, 1 << 20, 64_000, 16
+BLOCK_BYTES, HASHES, SEGMENTS, COLLECTIONS = 1 << 20, 1 << 20, 64_000, 32
+#: Bytes of a letter of the strings that are sorted.
+SPAN = 5
 #: A hash with more segments than this is dealt by its single strings.
 HOT = 20_000
 #: Parquet options for rows of a megabyte: look at a page's size often, and seek no repeated values.
 _WIDE = {"parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "8", "parquet.block.size": str(16 << 20), "compression": "none"}
 _NONE = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 40) - 1)
+_SPREAD = np.uint64(0x9FB21C651E98DF25)
 
 
 def blocks(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame:
@@ -47,7 +50,7 @@ def blocks(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in common.pieces(batches, "_text", BLOCK_BYTES):
             body, starts = common.flat(batch.column("_text"))
             keys = batch.column("_key").fill_null(_NONE).to_numpy(zero_copy_only=False).astype("<i8")
@@ -90,7 +93,10 @@ class Block:
         up, down = common._power(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((self.body.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        low = common.mix((sums[SEED:] - sums[:-SEED]) * down[: n - SEED + 1])
+        low = sums[SEED:] - sums[:-SEED]
+        low *= down[: n - SEED + 1]
+        low *= _SPREAD
+        low ^= low >> np.uint64(32)
         size = 1
         while 2 * size <= WINDOW:
             low = np.minimum(low[:-size], low[size:])
@@ -118,27 +124,19 @@ class Block:
         self._sums, self._down = sums, down
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes in order, in how many distinct segments each occurs, and whether in two documents."""
-        order = np.lexsort((self.content, self.hash))
-        h, c, d = self.hash[order], self.content[order], self.doc[order]
+        """Distinct hashes in order, how often each one's segment differs from the one before, with 1 for the first, and whether it is in two documents."""
+        order = np.argsort(self.hash)
+        h, c, keys = self.hash[order], self.content[order], self.keys[self.doc[order]]
         head = np.append(True, h[1:] != h[:-1])[: len(h)]
         at = np.flatnonzero(head)
         fresh = head | np.append(True, c[1:] != c[:-1])[: len(h)]
         if not len(at):
             return h, np.zeros(0, np.int64), np.zeros(0, bool)
-        keys = self.keys[d]
         return h[at], np.add.reduceat(fresh.astype(np.int64), at), np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)
 
     def segments(self, again: np.ndarray, hot: np.ndarray, partitions: int) -> tuple[np.ndarray, ...]:
-        """(partition, begin, count, doc, content) of the segments of hashes that occur again, by partition and content; of a hot hash each string is one."""
-
-        def among(values: np.ndarray) -> np.ndarray:
-            if not len(values):
-                return np.zeros(len(self.hash), bool)
-            return values[np.minimum(np.searchsorted(values, self.hash), len(values) - 1)] == self.hash
-
-        own, split = among(again), among(hot)
-        plain, single = np.flatnonzero(own & ~split), np.flatnonzero(own & split)
+        """(partition, begin, count, doc, content) of the segments that are marked, by partition and content; of those marked as hot each string is one."""
+        plain, single = np.flatnonzero(again & ~hot), np.flatnonzero(again & hot)
         index = np.repeat(single, self.count[single])
         nth = np.arange(len(index)) - np.repeat(np.cumsum(self.count[single]) - self.count[single], self.count[single])
         begin = np.concatenate([self.begin[plain], self.begin[index] + nth])
@@ -203,7 +201,7 @@ def _repeated(hot: int) -> Callable:
 
 def _marked(block: Block, marks: list[tuple[int, bytes, bytes]], first: int, second: int) -> tuple[np.ndarray, ...]:
     """The segments of a block, from the marks (part, again, hot) of its hashes."""
-    value, *_ = block.hashes()
+    value, which = np.unique(block.hash, return_inverse=True)
     part = ((value >> np.uint64(32)) * np.uint64(first) >> np.uint64(32)).astype(np.int64)
     edge = np.searchsorted(part, np.arange(first + 1))
     again, hot = np.zeros(len(value), bool), np.zeros(len(value), bool)
@@ -211,7 +209,7 @@ def _marked(block: Block, marks: list[tuple[int, bytes, bytes]], first: int, sec
         n = edge[p + 1] - edge[p]
         again[edge[p] : edge[p + 1]] = np.unpackbits(np.frombuffer(a, np.uint8), count=n)
         hot[edge[p] : edge[p + 1]] = np.unpackbits(np.frombuffer(h, np.uint8), count=n)
-    return block.segments(value[again], value[hot], second)
+    return block.segments(again[which], hot[which], second)
 
 
 def _sent(first: int, second: int) -> Callable:
@@ -240,20 +238,40 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(values[at].tolist(), at.tolist(), np.append(at[1:], len(values)).tolist(), strict=True)
 
 
+def lettered(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letters, starts of strings, segment and shift of each string): a segment as SPAN strings of letters of SPAN bytes, from each of its first bytes on.
+
+    A string of LENGTH bytes is then LENGTH / SPAN letters of one of them, and rounds are SPAN times fewer.
+    """
+    n = len(data) - SPAN + 1
+    gram = np.zeros(max(n, 0), np.uint64)
+    for k in range(SPAN):
+        gram |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    _, letter = np.unique(gram, return_inverse=True, sorted=True)
+    count = np.maximum((np.diff(starts)[:, None] - np.arange(SPAN)[None]) // SPAN, 0).ravel()
+    segment, shift = np.divmod(np.arange(len(count)), SPAN)
+    to = np.concatenate([[0], np.cumsum(count)])
+    nth = np.arange(to[-1]) - np.repeat(to[:-1], count)
+    return letter[np.repeat(starts[segment] + shift, count) + SPAN * nth], to, segment, shift
+
+
 def first_keys(data: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For each string of LENGTH bytes of each segment, on end, the least key of a segment that has it, from transform and prefixes."""
-    _, prefix, string, length = bwt.build(data, starts, LENGTH)
+    letters, to, segment, shift = lettered(data, starts)
+    most = LENGTH // SPAN
+    _, prefix, string, length = bwt.build(letters, to, most)
     counts = np.maximum(np.diff(starts) - LENGTH + 1, 0)
     offset = np.cumsum(counts) - counts
-    whole = length >= LENGTH
-    group = np.cumsum(prefix < LENGTH)[whole]
+    whole = length >= most
+    group = np.cumsum(prefix < most)[whole]
     out = np.full(int(counts.sum()), _NONE)
     if not whole.any():
         return out
     string = string[whole].astype(np.int64)
-    at = offset[string] + np.diff(starts)[string] - length[whole]
+    own = segment[string]
+    at = offset[own] + shift[string] + SPAN * (np.diff(to)[string] - length[whole])
     head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    out[at] = np.repeat(np.minimum.reduceat(keys[string], head), np.diff(np.append(head, len(group))))
+    out[at] = np.repeat(np.minimum.reduceat(keys[own], head), np.diff(np.append(head, len(group))))
     return out
 
 
