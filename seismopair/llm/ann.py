@@ -149,7 +149,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     length than that of the smallest key take no part, on either side. Keys are unique integers. With up to 1,000 vectors, all are scanned.
     """
     spark = df.sparkSession
-    size = vectors.dimension(df, key, vector)
+    size, form = vectors.dimension(df, key, vector), vectors.packing(df, vector)
+    form = "<f8" if vectors.packing(queries, vector) == "<f8" else form
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not size:
         return spark.createDataFrame([], empty)
@@ -168,7 +169,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
         cut = np.concatenate([[0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]])
         spans = list(zip(cut[:-1], cut[1:], strict=True))
         side = "q" if least is not None else "x"
-        columns = [pa.array([int(lists[a]) for a, _ in spans], pa.int32()), pa.array([b - a for a, b in spans], pa.int64()), pa.array([ids[row[a:b]].astype("<i8").tobytes() for a, b in spans]), pa.array([x[row[a:b]].astype("<f8").tobytes() for a, b in spans])]
+        columns = [pa.array([int(lists[a]) for a, _ in spans], pa.int32()), pa.array([b - a for a, b in spans], pa.int64()), pa.array([ids[row[a:b]].astype("<i8").tobytes() for a, b in spans]), pa.array([x[row[a:b]].astype(form).tobytes() for a, b in spans])]
         names = ["list", f"{side}_n", f"{side}_ids", f"{side}_body"]
         if least is not None:
             columns.append(pa.array([least[row[a:b]].astype("<f8").tobytes() for a, b in spans]))
@@ -202,8 +203,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
         index, best = held.value, Nearest(k)
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, x, query_ids, q, start = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("x_ids", "<i8"), ("x_body", "<f8"), ("q_ids", "<i8"), ("q_body", "<f8"), ("least", "<f8")))
-                x, q = x.reshape(-1, size), q.reshape(-1, size)
+                ids, x, query_ids, q, start = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("x_ids", "<i8"), ("x_body", form), ("q_ids", "<i8"), ("q_body", form), ("least", "<f8")))
+                x, q = x.reshape(-1, size).astype(float), q.reshape(-1, size).astype(float)
                 i, j, score = scan(index, ids, x, query_ids, q, best.least(query_ids, start))
                 cut = np.searchsorted(i, np.arange(len(q) + 1))
                 for n in np.unique(i).tolist():

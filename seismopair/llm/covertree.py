@@ -162,7 +162,7 @@ def groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
     A row with a null label or key, or a vector that is null, zero, not finite or of another length than that of the smallest key, has no
     link and is its own component. Equal vectors are linked; they are compared as one. Keys are unique integers.
     """
-    size = vectors.dimension(df, key, vector)
+    size, form = vectors.dimension(df, key, vector), vectors.packing(df, vector)
     rows = common.stage(vectors.prepared(df, key, vector, max(size, 1), F.col(label).alias("label")).where("label is not null"), "vectors")
     heads = common.stage(rows.groupBy("label", "v").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
     total = heads.count()
@@ -184,7 +184,7 @@ def groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
         u = _unit(v)
         center = u.mean(0)
         radius = float(np.sqrt(((u - center) ** 2).sum(1)).max())
-        return pa.table({"label": group["label"][:1], "center": pa.array([center.tolist()]), "radius": pa.array([radius]), "ids": pa.array([group["head"].to_numpy().astype("<i8").tobytes()]), "weights": pa.array([group["n"].to_numpy().astype("<i8").tobytes()]), "body": pa.array([v.astype("<f8").tobytes()])})
+        return pa.table({"label": group["label"][:1], "center": pa.array([center.tolist()]), "radius": pa.array([radius]), "ids": pa.array([group["head"].to_numpy().astype("<i8").tobytes()]), "weights": pa.array([group["n"].to_numpy().astype("<i8").tobytes()]), "body": pa.array([v.astype(form).tobytes()])})
 
     made = dealt.groupBy("label", "cell", "part").applyInArrow(gathered, f"label {kind}, center array<double>, radius double, ids binary, weights binary, body binary")
     blocks = common.stage(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
@@ -203,7 +203,7 @@ def groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
                 sides = []
                 for end in ("", "_2"):
                     ids, weights = (np.frombuffer(row[c + end], "<i8") for c in ("ids", "weights"))
-                    sides.append((ids, weights.astype(float), Tree(_unit(np.frombuffer(row["body" + end], "<f8").reshape(len(ids), size)))))
+                    sides.append((ids, weights.astype(float), Tree(_unit(np.frombuffer(row["body" + end], form).astype(float).reshape(len(ids), size)))))
                     if row["block"] == row["block_2"]:
                         sides *= 2
                         break

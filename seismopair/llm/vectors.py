@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def usable(vector: str) -> Column:
@@ -15,6 +16,11 @@ def usable(vector: str) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def packing(df: DataFrame, vector: str) -> str:
+    """How components travel: in four bytes where the column has no more."""
+    return "<f4" if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "<f8"
+
+
 def dimension(df: DataFrame, key: str, vector: str) -> int:
     """Components of the usable vector of smallest key; others of another length take no part."""
     row = df.where(usable(vector) & F.col(key).isNotNull()).agg(F.min_by(F.size(vector), F.col(key))).first()
