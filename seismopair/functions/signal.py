@@ -122,6 +122,28 @@ def sections(low: float, high: float, rate: float, order: int = 4) -> np.ndarray
     return out
 
 
+def high_sections(low: float, rate: float, order: int = 4) -> np.ndarray:
+    """Sections of a Butterworth high-pass of even order, in the form of `sections`."""
+    angles = np.pi * (2 * np.arange(1, order // 2 + 1) + order - 1) / (2 * order)
+    poles = 2 * rate * np.tan(np.pi * low / rate) / np.exp(1j * angles)
+    z = (2 * rate + poles) / (2 * rate - poles)
+    out = np.array([[1, -2, 1, 1, -2 * p.real, abs(p) ** 2] for p in z])
+    out[:, :3] *= ((1 - out[:, 4] + out[:, 5]) / 4)[:, None]
+    return out
+
+
+def band(low: float, high: float, rate: float) -> np.ndarray:
+    """Sections for traces of a rate: a high-pass, if the upper corner isn't below half of the rate, and none at all, if the lower one isn't."""
+    if low >= rate / 2:
+        return np.zeros((0, 6))
+    return high_sections(low, rate) if high >= rate / 2 * (1 - 1e-6) else sections(low, high, rate)
+
+
+def lags_within(shift_s: float, rate: float) -> int:
+    """Whole samples of a rate in a shift in seconds."""
+    return int(shift_s / (1 / rate))
+
+
 def filtered(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
     """Rows passed through sections, from front to back; all rows take a sample together."""
     x = np.array(x, float)
@@ -146,6 +168,11 @@ def taper(n: int, part: float = 0.05) -> np.ndarray:
     return out
 
 
+def conditioned(x: np.ndarray, rate: float, low: float, high: float) -> np.ndarray:
+    """Rows of one rate, demeaned, tapered and passed through a band, as they are correlated."""
+    return filtered((x - x.mean(1, keepdims=True)) * taper(x.shape[1]), band(low, high, rate))
+
+
 def envelope(x: np.ndarray, smooth: int = 1) -> np.ndarray:
     """Length of the analytic signal of each row, averaged over `smooth` samples."""
     n = x.shape[1]
@@ -165,8 +192,15 @@ def _traces(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(v, float) for v in column.to_pylist()]
 
 
-def correlated(pairs: DataFrame, a: str, b: str, lags: int, allow_negative: bool = False, with_mad: bool = False) -> DataFrame:
-    """Adds lag_samples and cc (and cc_mad): the peak of the correlation of two trace columns; null if either trace is null or empty."""
+#: Samples, or lags, of traces that are correlated or filtered at a time, for bounded memory.
+SAMPLES = 1 << 22
+
+
+def correlated(pairs: DataFrame, a: str, b: str, lags: int | str, allow_negative: bool = False, with_mad: bool = False) -> DataFrame:
+    """Adds lag_samples and cc (and cc_mad): the peak of the correlation of two trace columns; null if either trace is null or empty.
+
+    `lags` holds for all rows, or names the column of each row's own; null lags give null as well.
+    """
     pairs = pairs.drop("lag_samples", "cc", "cc_mad")
     names = pairs.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema] + ["lag_samples int", "cc double"] + ["cc_mad double"] * with_mad)
@@ -178,16 +212,19 @@ def correlated(pairs: DataFrame, a: str, b: str, lags: int, allow_negative: bool
                 x, y = batch.column(a), batch.column(b)
                 lag, value, spread = np.zeros(len(x), np.int32), np.zeros(len(x)), np.zeros(len(x))
                 lengths = [np.asarray(pa.compute.list_value_length(v).fill_null(0)) for v in (x, y)]
-                ok = (lengths[0] > 0) & (lengths[1] > 0)
-                for m, n in {(int(m), int(n)) for m, n in zip(lengths[0][ok], lengths[1][ok], strict=True)}:
-                    own = np.flatnonzero(ok & (lengths[0] == m) & (lengths[1] == n))
-                    one, two = (v.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1) for v in (x, y))
+                reach = np.full(len(x), lags) if isinstance(lags, int) else np.asarray(batch.column(lags).fill_null(-1))
+                ok = (lengths[0] > 0) & (lengths[1] > 0) & (reach >= 0)
+                for m, n, k in {(int(m), int(n), int(k)) for m, n, k in zip(lengths[0][ok], lengths[1][ok], reach[ok], strict=True)}:
+                    every = np.flatnonzero(ok & (lengths[0] == m) & (lengths[1] == n) & (reach == k))
                     width = max(m, n)
-                    one, two = (np.pad(t, ((0, 0), ((width - t.shape[1]) // 2, width - t.shape[1] - (width - t.shape[1]) // 2))) for t in (one, two))
-                    cc = correlate(one, two, lags)
-                    lag[own], value[own] = peak(cc, allow_negative)
-                    if with_mad:
-                        spread[own] = mad(cc)
+                    some = max(1, SAMPLES // max(width, 2 * k + 1))
+                    for own in (every[i : i + some] for i in range(0, len(every), some)):
+                        one, two = (v.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1) for v in (x, y))
+                        one, two = (np.pad(t, ((0, 0), ((width - t.shape[1]) // 2, width - t.shape[1] - (width - t.shape[1]) // 2))) for t in (one, two))
+                        cc = correlate(one, two, k)
+                        lag[own], value[own] = peak(cc, allow_negative)
+                        if with_mad:
+                            spread[own] = mad(cc)
                 made = [pa.array(lag, mask=~ok), pa.array(value, mask=~ok)] + ([pa.array(spread, mask=~ok)] if with_mad else [])
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, "lag_samples", "cc"] + ["cc_mad"] * with_mad)
 
@@ -214,6 +251,29 @@ def bandpassed(df: DataFrame, column: str, low: float, high: float, rate: float,
     return df.mapInArrow(run, schema)
 
 
+def conditioned_traces(df: DataFrame, column: str, rate: str, low: float, high: float) -> DataFrame:
+    """The traces of a column, each conditioned for correlation at the rate in column `rate`; null and empty ones, and those without a rate, stay."""
+    names = df.columns
+    schema = ", ".join(f"`{f.name}` {'array<double>' if f.name == column else f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(column)
+            made: list = x.to_pylist()
+            length = np.asarray(pa.compute.list_value_length(x).fill_null(0))
+            rates = np.asarray(batch.column(rate).cast(pa.float64()).fill_null(0))
+            ok = (length > 0) & (rates > 0)
+            for n, hz in {(int(n), float(hz)) for n, hz in zip(length[ok], rates[ok], strict=True)}:
+                every = np.flatnonzero(ok & (length == n) & (rates == hz))
+                some = max(1, SAMPLES // n)
+                for own in (every[i : i + some] for i in range(0, len(every), some)):
+                    for i, y in zip(own, conditioned(np.array([made[i] for i in own], float), hz, low, high), strict=True):
+                        made[i] = y
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())) if c == column else batch.column(c) for c in names], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def mad_of(x: Column) -> Column:
     """Median absolute deviation of an array's values above 1e-5 in size."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import signal
 from ..functions.ids import generate_evid
 from ..shared import small
@@ -29,8 +30,11 @@ def stacked(traces: DataFrame, family: str = "family_number", data: str = "data"
     return means.select(family, "n", F.col("s.v").alias("data"))
 
 
-def align(x: np.ndarray, lags: int, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, float]:
-    """(aligned rows, shifts, mean correlation with the stack): rows follow the first one, then twice the stack."""
+def align(x: np.ndarray, lags: int, rounds: int = 2, ready: Callable[[np.ndarray], np.ndarray] = lambda rows: rows) -> tuple[np.ndarray, np.ndarray, float]:
+    """(aligned rows, shifts, mean correlation with the stack): rows follow the first one, then twice the stack.
+
+    `ready` makes what is correlated from the row to follow and all rows, in this order; the rows themselves are moved as they are.
+    """
     total = np.zeros(len(x), int)
 
     def moved(rows: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -38,30 +42,50 @@ def align(x: np.ndarray, lags: int, rounds: int = 2) -> tuple[np.ndarray, np.nda
         n = rows.shape[1]
         for i, s in enumerate(shift):
             if s >= 0:
-                out[i, s:] = rows[i, : n - s]
+                out[i, s:] = rows[i, : max(n - s, 0)]
             else:
-                out[i, : n + s] = rows[i, -s:]
+                out[i, : max(n + s, 0)] = rows[i, -s:]
         return out
 
     mean = 1.0
     for k in range(rounds + 1):
         target = x[:1] if k == 0 else x.mean(0, keepdims=True)
-        lag, cc = signal.peak(signal.correlate(np.repeat(target, len(x), axis=0), x, lags))
+        seen = ready(np.concatenate([target, x]))
+        lag, cc = signal.peak(signal.correlate(np.repeat(seen[:1], len(x), axis=0), seen[1:], lags))
         x, total, mean = moved(x, lag), total + lag, float(cc.mean())
     return x, total, mean
 
 
-def aligned(traces: DataFrame, lags: int, family: str = "family_number", data: str = "data") -> DataFrame:
-    """family, evid, shift, cc_mean, data: each family's traces in evid order, aligned; a family is one task's work."""
+def aligned(traces: DataFrame, lags: int | None, family: str = "family_number", data: str = "data", cfg: Config | None = None) -> DataFrame:
+    """family, evid, shift, cc_mean, data: each family's traces in evid order, aligned; a family is one task's work.
+
+    With `cfg`, traces have a sampling_rate and are passed through its band where they are correlated; lags of None are
+    then its cc_max_shift at the rate of the family's first trace.
+    """
     kind = traces.schema[family].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("evid")
         x = signal.padded([np.asarray(v, float) for v in group[data]])
-        y, shift, mean = align(x - x.mean(1, keepdims=True), lags)
+        reach, more = lags, {}
+        if cfg is not None:
+            rates = group["sampling_rate"].to_numpy(float)
+            if not (rates > 0).all():
+                raise ValueError("a trace has no sampling rate")
+            of = np.append(rates[0], rates)
+            reach = signal.lags_within(cfg.cc_max_shift, rates[0]) if lags is None else lags
+
+            def ready(rows: np.ndarray) -> np.ndarray:
+                out = np.empty_like(rows)
+                for hz in set(of):
+                    out[of == hz] = signal.conditioned(rows[of == hz], hz, cfg.cc_freq_min, cfg.cc_freq_max)
+                return out
+
+            more = {"ready": ready}
+        y, shift, mean = align(x - x.mean(1, keepdims=True), reach, **more)
         return pd.DataFrame({family: group[family], "evid": group["evid"], "shift": shift.astype(np.int32), "cc_mean": mean, "data": list(y)})
 
-    return traces.select(family, "evid", data).where(F.size(data) > 0).groupBy(family).applyInPandas(run, f"{family} {kind}, evid string, shift int, cc_mean double, data array<double>")
+    return traces.select(family, "evid", data, *(["sampling_rate"] if cfg is not None else [])).where(F.size(data) > 0).groupBy(family).applyInPandas(run, f"{family} {kind}, evid string, shift int, cc_mean double, data array<double>")
 
 
 def chunks(samples: DataFrame, chunk_s: float, overlap_s: float, time: str = "ts") -> DataFrame:

@@ -13,19 +13,24 @@ from ..operators import families, graph, pairs, stations, templates
 def scan_catalog(catalog: DataFrame, waveforms: DataFrame, cfg: Config | None = None, existing: DataFrame | None = None) -> DataFrame:
     """Pairs within the search range, correlated: evid1, evid2, trace_id, lag_samples, cc_x100, sampling_rate_hz, status.
 
-    Pairs that are stored already are left out before any waveform is read. `catalog` has the trace that each event is looked up on.
+    Pairs that are stored already are left out before any waveform is read. Each trace is demeaned, tapered and passed through the
+    band from cc_freq_min to cc_freq_max once, before pairs meet it. `catalog` has the trace that each event is looked up on.
     """
     cfg = cfg or Config()
     found = pairs.radius_pairs(catalog, cfg.catalog_search_range, carry=("trace_id",)).withColumnRenamed("trace_id1", "trace_id").drop("trace_id2")
     if existing is not None:
         found = pairs.without_existing(found, existing)
-    return correlate(pairs.with_waveforms(found, waveforms), cfg)
+    traces = waveforms.select("evid", "trace_id", "sampling_rate", "data")
+    return correlate(pairs.with_waveforms(found, signal.conditioned_traces(traces, "data", "sampling_rate", cfg.cc_freq_min, cfg.cc_freq_max)), cfg)
 
 
-def correlate(rows: DataFrame, cfg: Config, rate_hz: float = 1.0) -> DataFrame:
-    """Correlation of data1 and data2; only a status of ok has a result."""
-    usable = rows.withColumn("data1", F.when(F.col("status") == "ok", F.col("data1")))
-    told = signal.correlated(usable, "data1", "data2", int(cfg.cc_max_shift * rate_hz), cfg.cc_allow_negative)
+def correlate(rows: DataFrame, cfg: Config) -> DataFrame:
+    """Correlation of data1 and data2 for lags of up to cc_max_shift seconds; only a status of ok has a result, and no_rate tells that the sampling rate is missing."""
+    rate = F.col("sampling_rate_hz")
+    known = rows.withColumn("status", F.when((F.col("status") == "ok") & ~F.coalesce(rate > 0, F.lit(False)), "no_rate").otherwise(F.col("status")))
+    # as signal.lags_within
+    usable = known.withColumn("data1", F.when(F.col("status") == "ok", F.col("data1"))).withColumn("_lags", F.when(rate > 0, (F.lit(float(cfg.cc_max_shift)) / (F.lit(1.0) / rate)).cast("int")))
+    told = signal.correlated(usable, "data1", "data2", "_lags", cfg.cc_allow_negative)
     return told.select("evid1", "evid2", "trace_id", "lag_samples", units.encode_cc(F.col("cc")).alias("cc_x100"), "sampling_rate_hz", "status")
 
 
@@ -45,10 +50,10 @@ def build_families(pair_rows: DataFrame, catalog: DataFrame, cfg: Config | None
     return families.numbered(members, cfg.sort_families_by, origin)
 
 
-def build_templates(members: DataFrame, waveforms: DataFrame, lags: int) -> DataFrame:
-    """One stacked template for each family and trace: aligned, then averaged, with the family's mean place."""
-    rows = members.join(waveforms.select("evid", "trace_id", "data"), ["evid", "trace_id"])
-    moved = templates.aligned(rows, lags)
+def build_templates(members: DataFrame, waveforms: DataFrame, lags: int | None = None, cfg: Config | None = None) -> DataFrame:
+    """One stacked template for each family and trace: aligned within `lags` samples, or cc_max_shift seconds, then averaged, with the family's mean place."""
+    rows = members.join(waveforms.select("evid", "trace_id", "sampling_rate", "data"), ["evid", "trace_id"])
+    moved = templates.aligned(rows, lags, cfg=cfg or Config())
     stack = templates.stacked(moved)
     place = members.groupBy("family_number").agg(F.min("trace_id").alias("trace_id"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.avg("depth_km").alias("depth_km"))
     return stack.join(place, "family_number").withColumn("p_offset_s", F.lit(0.0))

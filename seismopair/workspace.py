@@ -92,7 +92,7 @@ class Workspace:
         return members.join(chosen.select("family_number"), "family_number", "left_semi")
 
     def build_templates(self, numbers: str = "all", lags: int | None = None) -> DataFrame:
-        return self.put("templates", pipelines.build_templates(self._members(numbers), self.table("waveforms"), int(self.cfg.cc_max_shift) if lags is None else lags))
+        return self.put("templates", pipelines.build_templates(self._members(numbers), self.table("waveforms"), lags, self.cfg))
 
     def scan_templates(self, samples: DataFrame, step_s: float) -> DataFrame:
         """Detections in samples (trace_id, ts, value); they replace stored ones of the same event and template."""
@@ -113,8 +113,8 @@ class Workspace:
         if what == "map":
             return plotdata.map_points(summaries)
         if what == "traces":
-            rows = members.join(self.table("waveforms").select("evid", "trace_id", "data"), ["evid", "trace_id"])
-            return plotdata.family_traces(templates.aligned(rows, int(self.cfg.cc_max_shift)))
+            rows = members.join(self.table("waveforms").select("evid", "trace_id", "sampling_rate", "data"), ["evid", "trace_id"])
+            return plotdata.family_traces(templates.aligned(rows, None, cfg=self.cfg))
         raise ValueError("what is cumulative, timespans, map or traces")
 
     def wfcache(self, verb: str, **options) -> DataFrame:

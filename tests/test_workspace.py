@@ -4,6 +4,8 @@ import pytest
 from seismopair import printing
 from seismopair.__main__ import parser
 from seismopair.config import Config
+from seismopair.functions import signal
+from seismopair.operators import templates
 from seismopair.workspace import Workspace
 
 
@@ -42,6 +44,37 @@ def test_verbs(workspace, tmp_path):
         w.scan_catalog("other")
 
 
+def test_shifts_are_seconds_at_any_rate(spark, tmp_path):
+    r = np.random.default_rng(3)
+    w = Workspace(spark, str(tmp_path / "w"), Config(catalog_search_range=5.0))
+    rows, events = [], []
+    for k, (rate, late) in enumerate([(100.0, 120), (40.0, 50)]):
+        t = np.arange(int(20 * rate)) / rate
+        burst = np.sin(2 * np.pi * 5 * t + 3 * np.sin(2 * np.pi * 0.7 * t)) * np.exp(-(((t - 9) / 1.2) ** 2))
+        for j in range(2):
+            # slow waves outside of the band, larger than the event and different for each
+            slow = 5 * np.sin(2 * np.pi * (0.1 + 0.13 * j) * t + r.uniform(0, 6))
+            rows.append((f"e{k}{j}", "XX.A.00.BHZ", rate, (np.roll(burst, late * j) + slow).tolist()))
+            events.append((f"e{k}{j}", 10 * k + j, 40.0 + k, 10.0))
+    w.put("catalog", spark.createDataFrame(events, "evid string, t int, lat double, lon double").selectExpr("evid", "timestamp_seconds(t) as orig_time", "lat", "lon", "10d as depth_km", "3d as mag", "'XX.A.00.BHZ' as trace_id"))
+    w.put("waveforms", spark.createDataFrame(rows, "evid string, trace_id string, sampling_rate double, data array<double>"))
+    found = {p.evid1: p for p in w.scan_catalog().collect()}
+    assert {e: (p.evid2, p.lag_samples, p.sampling_rate_hz) for e, p in found.items()} == {"e00": ("e01", -120, 100.0), "e10": ("e11", -50, 40.0)}
+    assert all(p.cc_x100 >= 98 for p in found.values())
+    assert w.build_families().count() == 4
+    rows = w.table("families").join(w.table("waveforms").select("evid", "trace_id", "sampling_rate", "data"), ["evid", "trace_id"])
+    assert {a.evid: a.shift for a in templates.aligned(rows, None, cfg=w.cfg).collect()} == {"e00": 0, "e01": -120, "e10": 0, "e11": -50}
+    assert w.build_templates().count() == 2 and w.plot("traces").count() == 4
+
+
+def test_bands_of_low_rates():
+    assert len(signal.band(2.0, 10.0, 50.0)) == 4 and len(signal.band(2.0, 10.0, 4.0)) == 0
+    sos = signal.band(2.0, 10.0, 16.0)
+    for f, gain in ((2.0, 0.5**0.5), (7.9, 1.0), (0.4, 0.0)):
+        z = np.exp(-2j * np.pi * f / 16)
+        assert abs(np.prod([(b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z) for b0, b1, b2, _, a1, a2 in sos])) == pytest.approx(gain, abs=0.02)
+
+
 def test_forms(spark):
     df = spark.createDataFrame([(1, "a|b", None), (2, "x" * 60, 1.5)], "n int, s string, v double")
     assert list(printing.lines(df.limit(1), "csv")) == ["n,s,v", "1,a|b,"]
