@@ -27,6 +27,8 @@ THRESHOLD = 0.8
 #: At 0.8 a pair shares no band once in 20,000 times.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: From this count on a packed set holds it in eight bytes instead of two.
+ESCAPE = 65535
 
 
 def weighted(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,18 +96,32 @@ def similarity(u: tuple[np.ndarray, np.ndarray], v: tuple[np.ndarray, np.ndarray
 
 
 def pack(row: np.ndarray, element: np.ndarray, count: np.ndarray, n: int) -> list[bytes]:
-    """Each row's shingles, six bytes each, then their counts, two bytes each."""
+    """Each row's shingles, six bytes each, then their counts, two bytes each.
+
+    A count of 65,535 or more is written as 65,535, and whole, in eight bytes, behind the others; the number of these ends
+    such a row in four bytes, by which its length is told from a row's without any.
+    """
     cut = np.searchsorted(row, np.arange(n + 1)).tolist()
     six = np.ascontiguousarray(element.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-    two = np.minimum(count, 65535).astype("<u2")
-    return [six[a:b].tobytes() + two[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    two = np.minimum(count, ESCAPE).astype("<u2")
+    out = [six[a:b].tobytes() + two[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    large = np.flatnonzero(count >= ESCAPE)
+    for i in np.unique(row[large]).tolist():
+        own = large[row[large] == i]
+        out[i] += count[own].astype("<u8").tobytes() + np.array(len(own), "<u4").tobytes()
+    return out
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 8
+    large = int.from_bytes(data[-4:], "little") if len(data) % 8 else 0
+    n = len(data) // 8 - large
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(-1, 6)
-    return wide.view("<u8").ravel(), np.frombuffer(data, "<u2", n, 6 * n)
+    count = np.frombuffer(data, "<u2", n, 6 * n)
+    if large:
+        count = count.astype(np.int64)
+        count[count == ESCAPE] = np.frombuffer(data, "<u8", large, 8 * n)
+    return wide.view("<u8").ravel(), count
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -174,15 +190,16 @@ def compare(left: list[tuple], right: list[tuple] | None, threshold: float) -> l
         return []
     column_of, column = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     row = np.repeat(np.arange(len(every)), sizes)
-    weight = np.concatenate([p[1] for p in parts]).astype(np.float32)
+    weight = np.concatenate([p[1] for p in parts]).astype(np.float64)
     total = np.bincount(row, weight, len(every))
+    kind = np.float32 if total.max() < 1 << 24 else np.float64  # sums of whole numbers are exact in either
     ones = np.bincount(row, weight > 1, len(every)) == 0
     other = range(n, len(every)) if right is not None else range(n)
     m = len(other)
     mass, count = np.zeros((2, n, m)), np.zeros((n, m))
     for at in range(0, len(column_of), 8192):
         own = (column >= at) & (column < at + 8192)
-        here, some = np.zeros((2, len(every), min(8192, len(column_of) - at)), np.float32)
+        here, some = np.zeros((2, len(every), min(8192, len(column_of) - at)), kind)
         here[row[own], column[own] - at] = 1
         some[row[own], column[own] - at] = weight[own]
         b = here[n:] if right is not None else here

@@ -95,6 +95,22 @@ def test_groups_of_odd_tables(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0, r.kept) for r in found) == [(False, 1, 1, True), (False, 1, 1, True), (False, 2, 1, False), (False, 3, 3, True), (False, 4, 4, True), (True, 0, 0, True)]
 
 
+def test_large_counts_are_whole(spark):
+    A, B, U, V = (np.uint64(k) for k in (1, 2, 3, 4))
+    cases = [({A: 600_000, U: 60_000}, {A: 600_000, V: 60_000}), ({A: 65_535, B: 65_535}, {A: 65_535, B: 400_000}), ({A: 65_534, B: 3 << 32}, {A: 65_536, B: 3 << 32}), ({A: 20_000_001, U: 2}, {A: 20_000_001, V: 1})]
+    for case in cases:
+        row = np.repeat([0, 1], 2)
+        packed = minhash.pack(row, np.array([x for s in case for x in s], np.uint64), np.array([n for s in case for n in s.values()]), 3)
+        sets = [minhash.unpack(x) for x in packed]
+        assert [dict(zip(*map(np.ndarray.tolist, s))) for s in sets] == [*case, {}]
+        exact = jaccard(*case)
+        assert minhash.similarity(sets[0], sets[1]) == pytest.approx(exact)
+        assert len(minhash.compare([(0, 0, packed[0]), (1, 1, packed[1])], None, 0.8)) == (exact >= 0.8)
+    texts = ["a " * 600_000 + x * 60_000 for x in ("u ", "v ")]
+    found = minhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {0}
+
+
 # ---- repeated substrings --------------------------------------------------------
 
 
