@@ -80,15 +80,19 @@ class Stretches(Memo):
     """Ids, as bytes, of stretches of text without a space or line feed.
 
     An ASCII stretch is looked up in lower case, and its leading run of letters apart from the rest, if the
-    vocabulary's own normaliser and pre-tokeniser do so: then a plain word costs no more than its merges.
+    vocabulary's own normaliser and pre-tokeniser do so: then a plain word costs no more than its merges. With
+    `special`, the vocabulary's special tokens are told where they stand literally, as the library does by itself;
+    else they are text like any other.
     """
 
-    def __init__(self, vocabulary: bytes):
+    def __init__(self, vocabulary: bytes, special: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__(self._ids)
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        literal = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.special = re.compile("|".join(map(str.lower, literal)) or "(?!)").search
         self.model = self.tokenizer.model
         self.letters = re.compile("[a-z]+").match
         probes = ["It", "it's", "Don't!!", "a1b", "THE&&&", "x.y,Z", "###", "we've", "'llama", "h" * 40]
@@ -104,6 +108,8 @@ class Stretches(Memo):
         if not self.plain or not part.isascii():
             return self._whole(part)
         low = part.lower()
+        if self.special(low):  # neither lowered, which could make a special token, nor cut
+            return self._whole(part)
         if low != part:
             return self[low]
         word = self.letters(part)
@@ -118,15 +124,15 @@ def tokenize(df: DataFrame, vocabulary: bytes, end_id: int, window: int = WINDOW
     """One row per piece: key, start, length, ids_crc32, doc_tokens (and ids, if asked for).
 
     `vocabulary` is the content of a tokenizers file whose normaliser and pre-tokeniser work on each side of a
-    space or line feed alone, so that stretches between these can be encoded once and remembered. A null or
-    empty text is the one token `end_id`. Rows that share a key are documents of their own.
+    space or line feed alone, and whose special tokens hold neither, so that stretches between these can be encoded once
+    and remembered. A null or empty text is the one token `end_id`. Rows that share a key are documents of their own.
     """
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = kept(Stretches, held.value)
+        packed = kept(Stretches, held.value, True)
         last = np.array([end_id], "<u4").tobytes()
         for batch in common.pieces(batches, "_text"):
             index, starts, lengths, sums, totals, ids = [], [], [], [], [], []

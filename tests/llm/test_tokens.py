@@ -98,3 +98,12 @@ def test_ids_are_the_tokenizer_s(spark):
     for t in ["It's THE end&&& of### x1y2, <|endoftext|> don't!!", "Größe ÜBER\tété x  y", "İstanbul ΣΑΣ ǅ", "'S 'll'", "a\x1cb"]:
         parts = t.replace("\n", " ").split(" ")
         assert np.frombuffer(b"".join(own[p] for p in parts), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_special_tokens_are_the_library_s(spark):
+    content = tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_str(content.decode())
+    texts = ["foo <|endoftext|> bar", "a<|endoftext|>B", "X<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>x <|endoftext|>", "É<|endoftext|>é", "<|endoftext |> <|endof\ntext|>", "<|endoftext|>"]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [23435, 49407, 2411]
+    rows = packing.tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), content, 2, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
