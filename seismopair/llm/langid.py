@@ -28,7 +28,7 @@ def symbol_table() -> np.ndarray:
     if not _table:
         table = np.zeros(0x110000, np.int64)
         table[97:123] = np.arange(1, 27)
-        high = [c for c in range(128, 0x30000) if chr(c).isalpha()]
+        high = [c for c in range(128, len(table)) if chr(c).isalpha()]
         table[high] = 27 + np.array(high) % (SYMBOLS - 27)
         _table.append(table)
     return _table[0]

@@ -246,6 +246,13 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
 
 
+def test_letters_of_all_planes():
+    table = langid.symbol_table()
+    assert all((table[c] > 0) == chr(c).isalpha() for c in range(128, 0x110000)) and table[0x30000] and table[0x31350]
+    model = langid.Model(["xx"], np.ones((1, langid.DIMENSION)))
+    assert model.predict(["\U00030000\U00031350", "12"], langid.letters())[0] == ["xx", "und"]
+
+
 def test_binding_keeps_order():
     item = langid.letters()
     code = lambda s: (langid.SYMBOLS * (langid.SYMBOLS * s[0] + s[1])) + s[2]
