@@ -27,6 +27,8 @@ PIECE = 128
 STEPS = (1, 2, 3, 4, 5, 6, 8)
 #: Labelled documents of each class that the model is fitted on at most, and their longest text.
 PER_CLASS, LONGEST = 3000, 32_768
+#: Windows of ordinary documents that train the ordinary dictionary: of more, every n-th is taken, so that at least these and fewer than twice as many remain.
+WINDOWS = 20_000
 THRESHOLD = 0.5
 #: A word belongs to the toxic part if it is so many times as frequent in toxic documents.
 RATIO = 30
@@ -114,7 +116,7 @@ def fit(texts: list[str], labels: list[int], share: float) -> Model:
     own = {w for w, k in found[1].items() if k >= 3 and k / n1 > RATIO * (found[0][w] + 0.5) / n0}
     toxic = [s for part, label, use in zip(parts, labels, for_words, strict=True) if use and label and len(s := b" ".join(w for w in part if w in own) + b" ") > 8]
     plain = [w for t, label, use in zip(texts, labels, for_words, strict=True) if use and not label for w in windows(t)]
-    step = max(1, len(plain) // 20_000)
+    step = max(1, len(plain) // WINDOWS)
     model = Model(dictionary(plain[::step], ORDINARY_BYTES), dictionary(toxic, TOXIC_BYTES) if toxic else b"")
     rest = ~for_words if len(set(y[~for_words])) == 2 else np.ones(len(y), bool)
     x = np.array([model.features(t) for t, r in zip(texts, rest, strict=True) if r])

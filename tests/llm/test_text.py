@@ -214,6 +214,17 @@ def test_toxicity(spark):
     assert np.mean([found[i].predicted == 1 - i % 2 for i in range(400)]) > 0.95
 
 
+def test_the_bound_of_windows_is_a_constant(monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "dictionary", lambda samples, size: taken.append(len(samples)) or b"")
+    texts = [prose(400, i) for i in range(30)]
+    every = sum(len(list(toxicity.windows(t))) for i, t in enumerate(texts) if i % 3 != 2 and i % 2)
+    for bound in (10 * every, every // 4):
+        monkeypatch.setattr(toxicity, "WINDOWS", bound)
+        toxicity.fit(texts, [1 - i % 2 for i in range(30)], 0.5)
+    assert taken[0] == every and every // 4 <= taken[-1] < every // 2
+
+
 def test_classifiers_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
