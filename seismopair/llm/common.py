@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir, shared_path, stage
+from ..shared import release, shared_dir, shared_path, stage
 
-__all__ = ["shared_dir", "shared_path", "stage"]
+__all__ = ["release", "shared_dir", "shared_path", "stage"]
 
 #: Bytes of text that a Python worker takes on at a time (a longer single text is taken on alone).
 CHUNK_BYTES = 1 << 20
@@ -197,7 +197,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def scored(df: DataFrame, text: str, score, threshold: float) -> DataFrame:
-    """Adds score and predicted; `score` maps a pyarrow array of texts to scores and is made once a task by calling it."""
+    """Adds score and predicted (columns of these names are replaced); `score` maps a pyarrow array of texts to scores and is made once a task by calling it."""
     df = df.drop("score", "predicted")
     columns = df.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["score double", "predicted int"])
@@ -209,3 +209,14 @@ def scored(df: DataFrame, text: str, score, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(value, pa.float64()), pa.array((value >= threshold).astype(np.int32), pa.int32())], names=[*columns, "score", "predicted"])
 
     return small_batches(df).mapInArrow(run, schema)
+
+
+def filtered(df: DataFrame, text: str, score, test) -> DataFrame:
+    """The rows of df whose score passes the test, with all their columns as they are; `score` as in scored, `test` maps scores to booleans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = score()
+        for batch in pieces(batches, text):
+            yield batch.filter(pa.array(test(np.clip(of(batch.column(text)), 0.0, 1.0)), pa.bool_()))
+
+    return small_batches(df).mapInArrow(run, df.schema)

@@ -150,18 +150,39 @@ def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return common.small_batches(docs.select(F.col(key).alias("id"), F.col(text).alias("_text"))).mapInArrow(run, "id bigint, set binary")
 
 
+def similar(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Similarity of the packed sets left[i] and right[i], for each i.
+
+    All sets without repeated shingles are compared at once, by one sort; the others one by one.
+    """
+    out = np.zeros(len(left))
+    for at in range(0, len(left), 1 << 12):
+        one, two = ([unpack(x) for x in side[at : at + (1 << 12)]] for side in (left, right))
+        sizes = np.array([(len(u[0]), len(v[0])) for u, v in zip(one, two, strict=True)]).reshape(-1, 2)
+        plain = np.array([(u[1] == 1).all() and (v[1] == 1).all() for u, v in zip(one, two, strict=True)], bool)
+        own = np.flatnonzero(plain)
+        every = np.concatenate([np.zeros(0, np.uint64), *(part[k][0] | np.uint64(i << 48) for i, k in enumerate(own.tolist()) for part in (one, two))])
+        every.sort()
+        shared = np.bincount((every[1:][every[1:] == every[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(own))
+        out[at + own] = shared / np.maximum(sizes[own].sum(1) - shared, 1)
+        for k in np.flatnonzero(~plain).tolist():
+            out[at + k] = similarity(one[k], two[k])
+    return out
+
+
 def verified(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) that are similar enough, from the sets of their ends."""
-    with_a = pairs.join(of.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    rows = common.stage(with_a, "halves").join(of.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    """(a, b, similarity) of the pairs (a, b) that are similar enough, from the sets of their ends; a staged table."""
+    half = common.stage(pairs.join(of.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a"), "halves")
+    rows = half.join(of.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = np.array([similarity(unpack(x), unpack(y)) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)])
-            keep = pa.array(value >= threshold) if len(value) else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
+            value = similar(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value, pa.float64())], names=["a", "b", "similarity"]).filter(pa.array(value >= threshold, pa.bool_()))
 
-    return rows.mapInArrow(run, "a bigint, b bigint, similarity double")
+    out = common.stage(rows.mapInArrow(run, "a bigint, b bigint, similarity double"), "verified")
+    common.release(half)
+    return out
 
 
 #: Members of a bucket that are compared with one another, or with as many others, at a time.
@@ -236,25 +257,46 @@ def _bucket_rows(heads: DataFrame) -> DataFrame:
 
 
 def _within(rows: DataFrame, buckets: DataFrame, labels: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
-    """Links within buckets of three or more whose members the stars haven't all joined: every pair of them is compared, block by block."""
+    """Links within buckets of three or more whose members the stars haven't all joined: a staged table (a, b).
+
+    Members are dealt to blocks. A component with BLOCK members or more in a bucket has blocks of its own, the smaller ones
+    share blocks; two blocks of one component have nothing left to find, and all other pairs of a bucket's blocks are compared whole. So a
+    bucket of one large component and some strays costs in proportion to its size. Pairs of blocks travel as ids, and
+    bodies join them.
+    """
     large = rows.join(buckets.where("n > 2"), "band").select("band", "id", "n")
     marked = common.stage(large.join(labels, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component")), "marked")
-    # of buckets with the same members one is enough
-    seen = marked.groupBy("band").agg(F.sum(F.xxhash64("id") % (1 << 40)).alias("members"), F.first("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    chosen = common.stage(seen.where("low <> high").groupBy("members", "n").agg(F.min("band").alias("band")).select("band"), "open-buckets")
-    member = marked.join(chosen, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
-    full = common.stage(member.join(of, "id").groupBy("band", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "set")).alias("members")), "blocks")
-    dealt = full.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("block", "partner")).withColumn("high", F.greatest("block", "partner")).select("band", "low", "high", "block", "members")
+    # of buckets with the same members one is enough; two sums of 64 bits and the count stand for the members
+    same = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"members{seed}") for seed in (3, 11)]
+    seen = marked.groupBy("band").agg(*same, F.first("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    chosen = common.stage(seen.where("low <> high").groupBy("members3", "members11", "n").agg(F.min("band").alias("band")).select("band"), "open-buckets")
+    member = common.stage(marked.join(chosen, "band").select("band", "id", "component"), "members")
+    sizes = common.stage(member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size")).withColumn("own", F.col("size") >= BLOCK), "sizes")
+    pooled = sizes.where("not own").groupBy("band").agg(F.sum("size").alias("pooled"))
+    placed = member.join(sizes, ["band", "component"]).join(pooled, "band", "left")
+    many = F.ceil(F.when(F.col("own"), F.col("size")).otherwise(F.col("pooled")) / BLOCK).cast("int")
+    part = F.pmod(F.when(F.col("own"), F.xxhash64("id", "band")).otherwise(F.xxhash64("component", "band")), many).cast("int")
+    placed = placed.select("band", "id", "component", F.when(F.col("own"), F.col("component")).alias("of"), part.alias("part"))
+    made = placed.join(of, "id").groupBy("band", "of", "part").agg(F.collect_list(F.struct("id", "component", "set")).alias("members"))
+    full = common.stage(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    ids = full.select("band", "of", "block")
+    other = ids.select("band", F.col("of").alias("of_2"), F.col("block").alias("block_2"))
+    mixed = ids.where("of is null").join(other, "band").where("of_2 is not null or block_2 >= block")
+    several = sizes.where("own").groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    apart = ids.where("of is not null").join(several, "band", "left_semi").join(other, "band").where("of < of_2")
+    pairs = mixed.unionByName(apart).select(F.least("block", "block_2").alias("low"), F.greatest("block", "block_2").alias("high"))
+    ends = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    dealt = common.stage(ends, "block-pairs").join(full.select("block", "members"), "block")
 
     def run(group: pa.Table) -> pa.Table:
-        sides = {}
-        for row in group.select(["low", "block", "members"]).to_pylist():
-            sides[row["block"] != row["low"]] = [(m["id"], m["component"], m["set"]) for m in row["members"]]
-        links = compare(sides.get(False, []), sides.get(True) if group["low"][0].as_py() != group["high"][0].as_py() else None, threshold) if False in sides else []
+        sides = {row["block"]: [(m["id"], m["component"], m["set"]) for m in row["members"]] for row in group.select(["block", "members"]).to_pylist()}
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        links = compare(sides[low], None if low == high else sides[high], threshold)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return dealt.groupBy("band", "low", "high").applyInArrow(run, "a bigint, b bigint")
+    out = common.stage(dealt.groupBy("low", "high").applyInArrow(run, "a bigint, b bigint"), "links")
+    common.release(marked, chosen, member, sizes, full)
+    return out
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -262,7 +304,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
     class_id is the smallest key of the same text, component_id the smallest key that links of similarity >= threshold
     reach, and kept whether that is the row's own. A text that is null or has no word, and a row with a null key, is alone (its ids are
-    its own key). A text of fewer than five words is one shingle. Rows that share a key are one document to the links.
+    its own key). A text of fewer than five words is one shingle; texts of any length are read whole. Rows that share a key are one document to the links.
+    An empty table gives none, and other columns of docs are not carried, whatever their names.
     """
     base = common.stage(sketches(docs, key, text).withColumn("id", F.col(key).cast("bigint")).drop(*([key] if key != "id" else [])), "sketches")
     some = base.where("id is not null and bands is not null")
@@ -274,9 +317,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     stars = common.stage(rows.join(buckets, "band").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     wanted = common.stage(stars.select(F.col("a").alias(key)).unionAll(stars.select(F.col("b").alias(key))).distinct(), "wanted")
     of = common.stage(sets(docs.select(F.col(key).cast("bigint").alias(key), F.col(text)).join(wanted, key).dropDuplicates([key]), key, text), "sets")
-    links = common.stage(verified(stars, of, threshold).select("a", "b"), "links")
-    more = common.stage(_within(rows, buckets, components(links), of, threshold), "links")
+    sure = verified(stars, of, threshold)
+    links = sure.select("a", "b")
+    joined = components(links)
+    more = _within(rows, buckets, joined, of, threshold)
     labels = components(links.unionAll(more))
+    common.release(first, heads, buckets, stars, wanted, of, sure, joined, more)
     # copies have their head's component
     found = classed.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     alone = base.where("id is null or bands is null").select("id", F.col("id").alias("class_id"), F.col("id").alias("component_id"))

@@ -7,6 +7,8 @@ calibrate the score.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from . import common
 SIZES = (2, 3, 4)
 BITS = 17
 #: Labelled documents of each class that the model is fitted on at most, and their longest text.
-PER_CLASS, LONGEST = 2500, 32_768
+PER_CLASS, LONGEST = 2500, 16_384
 THRESHOLD = 0.3
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
 #: Bytes of text whose n-grams are in memory at a time.
@@ -119,7 +121,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
-    """A model from a bounded sample of labelled documents (PER_CLASS of each class) and the share of label 1 among all labels."""
+    """A model from a bounded sample of labelled documents (PER_CLASS of each class, of up to LONGEST characters) and the share of label 1 among all labels.
+
+    Labels without a text in reach give a constant score, and a warning.
+    """
     sample = common.labelled_sample(docs, labels, label, PER_CLASS, LONGEST, key, text)
 
     def run(batches):
@@ -131,11 +136,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
     kind = docs.schema[key].dataType.simpleString()
     rows = sorted(sample.mapInArrow(run, f"{key} {kind}, _label int, buckets binary").collect(), key=lambda r: (r[key], r["buckets"]))
-    order = np.random.default_rng(11).permutation(len(rows))
-    return fit([np.frombuffer(rows[i]["buckets"], "<i4") for i in order], np.array([rows[i]["_label"] for i in order], int), common.class_share(labels, label, key))
+    order, share = np.random.default_rng(11).permutation(len(rows)), common.class_share(labels, label, key)
+    if not rows:
+        warnings.warn(f"no labelled text of 1 to {LONGEST} characters: every score is {share}", stacklevel=2)
+    return fit([np.frombuffer(rows[i]["buckets"], "<i4") for i in order], np.array([rows[i]["_label"] for i in order], int), share)
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Adds score (0 to 1, higher: likelier of quality) and predicted; a null text counts as the empty one."""
+    """Adds score (0 to 1, higher: likelier of quality) and predicted.
+
+    Every row gives one, in whatever order: a null text counts as the empty one, equal texts have equal scores, whole texts of any length are read, and
+    an empty table stays empty. Columns of docs that are named score or predicted are replaced, others stay.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2^BITS numbers
     return common.scored(docs, text, lambda: held.value.score, threshold)
+
+
+def good_rows(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns as they are, whose score reaches the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2^BITS numbers
+    return common.filtered(docs, text, lambda: held.value.score, lambda score: score >= threshold)

@@ -32,8 +32,12 @@ WINDOW = LENGTH - SEED + 1
 BLOCK_BYTES, HASHES, SEGMENTS, COLLECTIONS = 1 << 20, 1 << 20, 64_000, 32
 #: Bytes of a letter of the strings that are sorted.
 SPAN = 5
+#: Positions of a text that are looked at together, for bounded memory whatever its length.
+PIECE = 1 << 20
 #: A hash with more segments than this is dealt by its single strings.
 HOT = 20_000
+#: From this count on a block tells how many segments a hash has in four bytes more.
+ESCAPE = 127
 #: Parquet options for rows of a megabyte: look at a page's size often, and seek no repeated values.
 _WIDE = {"parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "8", "parquet.block.size": str(16 << 20), "compression": "none"}
 _NONE = np.iinfo(np.int64).max
@@ -42,10 +46,11 @@ _SPREAD = np.uint64(0x9FB21C651E98DF25)
 
 
 def blocks(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame:
-    """(block, keys, sizes, body, rest): documents on end, compressed, and their other columns.
+    """(block, keys, sizes, body, rest): documents on end, compressed, and their columns `others`, in rest by their places.
 
     A null key becomes the largest, which is no source and loses nothing.
     """
+    places = [f"c{i}" for i in range(len(others))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -54,9 +59,9 @@ def blocks(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame
         for batch in common.pieces(batches, "_text", BLOCK_BYTES):
             body, starts = common.flat(batch.column("_text"))
             keys = batch.column("_key").fill_null(_NONE).to_numpy(zero_copy_only=False).astype("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([np.diff(starts).astype("<i8").tobytes()]), pa.array([pack(body.tobytes())]), pa.array([_frozen(batch.select(others))], pa.binary()), pa.array([len(body)], pa.int64())], names=["keys", "sizes", "body", "rest", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([np.diff(starts).astype("<i8").tobytes()]), pa.array([pack(body.tobytes())]), pa.array([_frozen(batch.select(places))], pa.binary()), pa.array([len(body)], pa.int64())], names=["keys", "sizes", "body", "rest", "n_bytes"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"), *others)
+    rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"), *(F.col(f"`{c}`").alias(p) for c, p in zip(others, places, strict=True)))
     made = common.small_batches(rows).mapInArrow(run, "keys binary, sizes binary, body binary, rest binary, n_bytes bigint")
     return common.stage(made.withColumn("block", F.monotonically_increasing_id()), "blocks", **_WIDE)
 
@@ -80,19 +85,20 @@ class Block:
         sizes = np.frombuffer(sizes, "<i8")
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.body = np.frombuffer(zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, int(self.starts[-1]))), np.uint8)
-        self.runs()
-
-    def runs(self) -> None:
-        """begin, count (strings), hash, document and content hash of each segment, in order."""
-        n = len(self.body)
-        m = n - LENGTH + 1
-        if m <= 0:
-            self.begin = self.count = self.doc = np.zeros(0, np.int64)
-            self.hash = self.content = np.zeros(0, np.uint64)
-            return
+        # begin, count (strings), hash and content hash of each segment, in order; a long text is gone through piece by piece
+        last = max(len(self.body) - LENGTH + 1, 0)
+        parts = [self.runs(at, min(at + PIECE, last)) for at in range(0, last, PIECE)]
+        self.begin, self.count, self.hash, self.content = (np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate((np.int64, np.int64, np.uint64, np.uint64)))
+        self.doc = np.searchsorted(self.starts, self.begin, side="right") - 1
+
+    def runs(self, first: int, last: int) -> tuple[np.ndarray, ...]:
+        """begin, count, hash and content of the segments of the strings that start from `first` up to `last`."""
+        m = last - first
+        body = self.body[first : last + LENGTH - 1]
+        n = len(body)
         up, down = common._power(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.body.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         low = sums[SEED:] - sums[:-SEED]
         low *= down[: n - SEED + 1]
         low *= _SPREAD
@@ -101,11 +107,13 @@ class Block:
         while 2 * size <= WINDOW:
             low = np.minimum(low[:-size], low[size:])
             size *= 2
-        low = np.minimum(low[: m], low[WINDOW - size : WINDOW - size + m])
+        low = np.minimum(low[:m], low[WINDOW - size : WINDOW - size + m])
         valid = np.ones(m, bool)
+        inner = self.starts[np.searchsorted(self.starts, first, side="right") : np.searchsorted(self.starts, last + LENGTH)] - first
         for back in range(1, LENGTH):  # strings that would cross into the next document
-            at = self.starts[1:-1] - back
+            at = inner - back
             valid[at[(at >= 0) & (at < m)]] = False
+        valid &= np.arange(first, last) + LENGTH <= len(self.body)
         change = np.ones(m + 1, bool)
         change[1:m] = (low[1:] != low[:-1]) | (valid[1:] != valid[:-1])
         edge = np.flatnonzero(change)
@@ -115,13 +123,10 @@ class Block:
         parts = -(-(end - begin) // WINDOW)  # long runs of one hash, as in periodic text, are cut
         index = np.repeat(np.arange(len(begin)), parts)
         nth = np.arange(len(index)) - np.repeat(np.cumsum(parts) - parts, parts)
-        self.begin = begin[index] + nth * WINDOW
-        self.count = np.minimum(end[index] - self.begin, WINDOW)
-        self.hash = common.mix(low[self.begin] + np.uint64(0xA5A5))
-        self.doc = np.searchsorted(self.starts, self.begin, side="right") - 1
-        stop = self.begin + self.count + LENGTH - 1
-        self.content = common.mix((sums[stop] - sums[self.begin]) * down[self.begin] + self.count.astype(np.uint64))
-        self._sums, self._down = sums, down
+        start = begin[index] + nth * WINDOW
+        count = np.minimum(end[index] - start, WINDOW)
+        content = common.mix((sums[start + count + LENGTH - 1] - sums[start]) * down[start] + count.astype(np.uint64))
+        return start + first, count, common.mix(low[start] + np.uint64(0xA5A5)), content
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes in order, how often each one's segment differs from the one before, with 1 for the first, and whether it is in two documents."""
@@ -134,6 +139,13 @@ class Block:
             return h, np.zeros(0, np.int64), np.zeros(0, bool)
         return h[at], np.add.reduceat(fresh.astype(np.int64), at), np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)
 
+    def alone(self, at: np.ndarray) -> np.ndarray:
+        """Content hashes of the single strings that start there."""
+        total = np.zeros(len(at), np.uint64)
+        for k, power in enumerate(common._power(LENGTH)[0]):
+            total += (self.body[at + k].astype(np.uint64) + np.uint64(1)) * power
+        return common.mix(total + np.uint64(1))
+
     def segments(self, again: np.ndarray, hot: np.ndarray, partitions: int) -> tuple[np.ndarray, ...]:
         """(partition, begin, count, doc, content) of the segments that are marked, by partition and content; of those marked as hot each string is one."""
         plain, single = np.flatnonzero(again & ~hot), np.flatnonzero(again & hot)
@@ -142,8 +154,7 @@ class Block:
         begin = np.concatenate([self.begin[plain], self.begin[index] + nth])
         count = np.concatenate([self.count[plain], np.ones(len(index), np.int64)])
         doc = np.concatenate([self.doc[plain], self.doc[index]])
-        at = begin[len(plain) :]
-        alone = common.mix((self._sums[at + LENGTH] - self._sums[at]) * self._down[at] + np.uint64(1)) if len(at) else np.zeros(0, np.uint64)
+        alone = self.alone(begin[len(plain) :])
         content = np.concatenate([self.content[plain], alone])
         dealt = np.concatenate([self.hash[plain], alone])
         partition = ((common.mix(dealt + np.uint64(77)) >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
@@ -156,20 +167,26 @@ def _distinct(partition: np.ndarray, content: np.ndarray) -> np.ndarray:
     return np.append(True, (partition[1:] != partition[:-1]) | (content[1:] != content[:-1]))[: len(content)]
 
 
+def _cuts(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """The bytes of values[edge[i]:edge[i + 1]] for each i."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * values.itemsize * int(np.prod(values.shape[1:]))).astype("<i4")), pa.py_buffer(values)])
+
+
 def _hashed(partitions: int) -> Callable:
+    """A row for each block and partition: hashes, five bytes each, and what `Block.hashes` tells of each, in a byte; counts that it can't hold follow whole."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, keys, sizes, body in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "sizes", "body")), strict=True):
                 value, count, shared = Block(keys, sizes, body).hashes()
                 part = ((value >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
-                edge = np.searchsorted(part, np.arange(partitions + 1))
-                rows = [(p, a, b) for p, a, b in zip(range(partitions), edge[:-1], edge[1:], strict=True) if a < b]
+                some, edge = np.unique(part, return_index=True)
+                edge = np.append(edge, len(part))
                 low = (value & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                many = np.minimum(count, 127).astype(np.uint8) * 2 + shared
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at] * len(rows), pa.int64()), pa.array([p for p, *_ in rows], pa.int64()), pa.array([low[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([many[a:b].tobytes() for _, a, b in rows], pa.binary())],
-                    names=["block", "part", "hashes", "many"],
-                )
+                large = np.flatnonzero(count >= ESCAPE)
+                many = np.minimum(count, ESCAPE).astype(np.uint8) * 2 + shared
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at)), pa.array(some), _cuts(low, edge), _cuts(many.astype(np.uint8), edge), _cuts(count[large].astype("<u4"), np.searchsorted(large, edge))], names=["block", "part", "hashes", "many", "more"])
 
     return run
 
@@ -183,10 +200,12 @@ def _repeated(hot: int) -> Callable:
         wide[:, :5] = np.concatenate(blobs)
         value = wide.view("<u8").ravel()
         many = np.frombuffer(b"".join(group["many"].to_pylist()), np.uint8)
+        count = (many >> 1).astype(np.int64)
+        count[count == ESCAPE] = np.frombuffer(b"".join(group["more"].to_pylist()), "<u4")
         order = np.argsort(value, kind="stable")
         head = np.flatnonzero(np.append(True, value[order][1:] != value[order][:-1])[: len(value)])
         times = np.diff(np.append(head, len(value)))
-        total = np.add.reduceat((many[order] >> 1).astype(np.int64), head)
+        total = np.add.reduceat(count[order], head)
         again = (times > 1) | (np.bitwise_or.reduceat(many[order] & 1, head) > 0)
         mark = np.zeros(len(value), np.uint8)
         mark[order] = np.repeat(again + 2 * (again & (total > hot)), times)
@@ -203,18 +222,19 @@ def _marked(block: Block, marks: list[tuple[int, bytes, bytes]], first: int, sec
     """The segments of a block, from the marks (part, again, hot) of its hashes."""
     value, which = np.unique(block.hash, return_inverse=True)
     part = ((value >> np.uint64(32)) * np.uint64(first) >> np.uint64(32)).astype(np.int64)
-    edge = np.searchsorted(part, np.arange(first + 1))
     again, hot = np.zeros(len(value), bool), np.zeros(len(value), bool)
     for p, a, h in marks:
-        n = edge[p + 1] - edge[p]
-        again[edge[p] : edge[p + 1]] = np.unpackbits(np.frombuffer(a, np.uint8), count=n)
-        hot[edge[p] : edge[p + 1]] = np.unpackbits(np.frombuffer(h, np.uint8), count=n)
+        low, high = np.searchsorted(part, [p, p + 1])
+        again[low:high] = np.unpackbits(np.frombuffer(a, np.uint8), count=high - low)
+        hot[low:high] = np.unpackbits(np.frombuffer(h, np.uint8), count=high - low)
     return block.segments(again[which], hot[which], second)
 
 
 def _sent(first: int, second: int) -> Callable:
+    """A row for each block and partition: its distinct segments, with the least key of each."""
+    kinds = {"block": pa.int64(), "part": pa.int64(), "sets": pa.binary(), "sizes": pa.binary(), "body": pa.binary(), "keys": pa.binary()}
+
     def run(block: pa.Table, marks: pa.Table) -> pa.Table:
-        out = {"block": [], "part": [], "sets": [], "sizes": [], "body": [], "keys": []}
         if block.num_rows and marks.num_rows:
             row = block.to_pylist()[0]
             own = Block(row["keys"], row["sizes"], row["body"])
@@ -223,21 +243,17 @@ def _sent(first: int, second: int) -> Callable:
                 head = np.flatnonzero(_distinct(partition, content))
                 least = np.minimum.reduceat(own.keys[doc], head)
                 partition, begin, size = partition[head], begin[head], count[head] + LENGTH - 1
-                for p, a, b in _groups(partition // COLLECTIONS):
-                    index = np.repeat(begin[a:b] - (np.cumsum(size[a:b]) - size[a:b]), size[a:b]) + np.arange(size[a:b].sum())
-                    for name, v in (("block", row["block"]), ("part", p), ("sets", (partition[a:b] % COLLECTIONS).astype(np.uint8).tobytes()), ("sizes", size[a:b].astype(np.uint8).tobytes()), ("body", own.body[index].tobytes()), ("keys", least[a:b].astype("<i8").tobytes())):
-                        out[name].append(v)
-        kinds = {"block": pa.int64(), "part": pa.int64()}
-        return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+                some, edge = np.unique(partition // COLLECTIONS, return_index=True)
+                edge = np.append(edge, len(size))
+                to = np.cumsum(np.append(0, size))
+                body = own.body[np.repeat(begin - to[:-1], size) + np.arange(to[-1])]
+                made = [pa.array(np.full(len(some), row["block"])), pa.array(some), _cuts((partition % COLLECTIONS).astype(np.uint8), edge), _cuts(size.astype(np.uint8), edge), _cuts(body, to[edge]), _cuts(least.astype("<i8"), edge)]
+                return pa.table(made, names=list(kinds))
+        return pa.table({k: pa.array([], t) for k, t in kinds.items()})
 
     return run
 
 
-def _groups(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
-    yield from zip(values[at].tolist(), at.tolist(), np.append(at[1:], len(values)).tolist(), strict=True)
-
-
 def lettered(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(letters, starts of strings, segment and shift of each string): a segment as SPAN strings of letters of SPAN bytes, from each of its first bytes on.
 
@@ -319,28 +335,33 @@ def _judged(group: pa.Table) -> pa.Table:
 
 def _covered(block: Block, marks: list[dict], first: int, second: int) -> np.ndarray:
     """Which bytes of a block go."""
-    level = np.zeros(len(block.body) + 1, np.int32)
+    gone = np.zeros(len(block.body), bool)
     own = [(m["part"], m["again"], m["hot"]) for m in marks if not m["judged"]]
-    if own:
-        partition, begin, count, doc, content = _marked(block, own, first, second * COLLECTIONS)
-        answers = {m["part"]: m for m in marks if m["judged"]}
+    partition, begin, count, doc, content = _marked(block, own, first, second * COLLECTIONS) if own else [np.zeros(0, np.int64)] * 5
+    if len(partition):
+        answers = {m["part"]: (np.frombuffer(m["hot"], "<i8"), np.frombuffer(m["again"], np.uint8)) for m in marks if m["judged"]}
+        value = np.concatenate([np.repeat(*answers[p]) for p in np.unique(partition // COLLECTIONS).tolist()])
         head = _distinct(partition, content)
-        for p, a, b in _groups(partition // COLLECTIONS):
-            value = np.repeat(np.frombuffer(answers[p]["hot"], "<i8"), np.frombuffer(answers[p]["again"], np.uint8))
-            which = np.cumsum(head[a:b]) - 1
-            size = count[a:b]
-            unique = size[head[a:b]]
-            offset = np.cumsum(unique) - unique
+        which = np.cumsum(head) - 1
+        unique = count[head]
+        offset = np.cumsum(unique) - unique
+        for at in range(0, len(count), PIECE // WINDOW):  # segments at a time, for bounded memory
+            part = slice(at, at + PIECE // WINDOW)
+            size = count[part]
             nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            mine = block.keys[np.repeat(doc[a:b], size)]
-            gone = (value[np.repeat(offset[which], size) + nth] < mine) & (mine != _NONE)
-            at = (np.repeat(begin[a:b], size) + nth)[gone]
-            np.add.at(level, at, 1)
-            np.add.at(level, at + LENGTH, -1)
-    return np.cumsum(level)[:-1] > 0
-
-
-def _cleaned(first: int, second: int, others: list[str], with_text: bool) -> Callable:
+            mine = block.keys[np.repeat(doc[part], size)]
+            lost = (value[np.repeat(offset[which[part]], size) + nth] < mine) & (mine != _NONE)
+            gone[(np.repeat(begin[part], size) + nth)[lost]] = True
+    # so far a byte is marked if a string that goes starts there: its whole string goes
+    size = 1
+    while size < LENGTH:
+        step = min(size, LENGTH - size)
+        gone[step:] |= gone[:-step].copy()
+        size += step
+    return gone
+
+
+def _cleaned(first: int, second: int, places: list[str], with_text: bool) -> Callable:
     made = {"_key": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if with_text else {})
 
     def run(block: pa.Table, marks: pa.Table) -> pa.Table:
@@ -352,49 +373,63 @@ def _cleaned(first: int, second: int, others: list[str], with_text: bool) -> Cal
             rise = gone & ~np.append(False, gone[:-1])
             inner = own.starts[(own.starts > 0) & (own.starts < len(gone))]
             rise[inner] = gone[inner]
-            total, spans = (np.append(0, np.cumsum(x)) for x in (gone, rise))
             for k, a, b in zip(own.keys.tolist(), own.starts[:-1].tolist(), own.starts[1:].tolist(), strict=True):
                 left = own.body[a:b][~gone[a:b]].tobytes()
-                for column, v in zip(out.values(), (None if k == _NONE else k, b - a, int(total[b] - total[a]), int(spans[b] - spans[a]), hashlib.sha256(left).hexdigest(), left), strict=False):
+                for column, v in zip(out.values(), (None if k == _NONE else k, b - a, int(gone[a:b].sum()), int(rise[a:b].sum()), hashlib.sha256(left).hexdigest(), left), strict=False):
                     column.append(v)
             if row["rest"] is not None:
                 rest.append(pa.ipc.open_stream(row["rest"]).read_all())
         table = pa.table({n: pa.array(v, made[n]) for n, v in out.items()})
-        if others and rest:
+        if places and rest:
             whole = pa.concat_tables(rest)
-            for name in others:
+            for name in places:
                 table = table.append_column(name, whole[name])
         return table
 
     return run
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
-    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256; if asked for, also kept (binary, the bytes that stay) and the other columns.
+_NEW = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
-    A null or empty text has no bytes. Documents of one key don't count as sources for one another, and a null key
-    neither gives nor loses anything. Texts shorter than LENGTH stay whole. Keys are integers below 2^63 - 1. Columns
-    of docs with the names of new ones are dropped.
-    """
-    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    others = [c for c in docs.columns if c not in (key, text, *new)] if with_text else []
+
+def _removed(docs: DataFrame, key: str, text: str, with_text: bool) -> tuple[DataFrame, list[str]]:
+    """(_key, the new columns, other columns as c0, c1 and so on; names of the other columns)."""
+    others = [c for c in docs.columns if c not in (key, text)] if with_text else []
     table = blocks(docs, key, text, others)
     size = table.agg(F.sum("n_bytes")).first()[0] or 0
     first = max(1, -(-size // (HASHES * 14)))  # a hash stands for about 14 bytes
-    hashed = table.drop("rest").mapInArrow(_hashed(first), "block bigint, part bigint, hashes binary, many binary")
+    hashed = table.drop("rest").mapInArrow(_hashed(first), "block bigint, part bigint, hashes binary, many binary, more binary")
     marks = common.stage(hashed.groupBy("part").applyInArrow(_repeated(HOT), "block bigint, part bigint, again binary, hot binary, n bigint"), "marks")
     second = max(1, -(-(marks.agg(F.sum("n")).first()[0] or 0) // SEGMENTS))
     given = marks.select("block", "part", "again", "hot", F.lit(False).alias("judged"))
     sent = table.drop("rest").groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_sent(first, second), "block bigint, part bigint, sets binary, sizes binary, body binary, keys binary")
     judged = common.stage(sent.groupBy("part").applyInArrow(_judged, "block bigint, part bigint, again binary, hot binary").withColumn("judged", F.lit(True)), "judged")
+    places = [f"c{i}" for i in range(len(others))]
+    kinds = "_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text + "".join(f", {p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(places, others, strict=True))
     both = given.unionByName(judged)
-    kinds = "_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    out = table.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cleaned(first, second, others, with_text), kinds)
-    return out.select(F.col("_key").cast(docs.schema[key].dataType).alias(key), *out.columns[1:])
+    out = table.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cleaned(first, second, places, with_text), kinds)
+    return out.withColumn("_key", F.col("_key").cast(docs.schema[key].dataType)), others
+
+
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256; if asked for, also kept (binary, the bytes that stay) and the other columns.
+
+    A null or empty text has no bytes. Documents of one key don't count as sources for one another, and a null key
+    neither gives nor loses anything. Texts shorter than LENGTH stay whole; longer ones are read whole, whatever their length. Keys are
+    integers below 2^63 - 1. An empty table gives none. Columns of docs with the names of new ones are left out.
+
+    What passes through the transform are not whole documents but the distinct segments (of up to 80 bytes) around hashes that occur in
+    two documents or more: equal segments are merged by their bytes before, and those of other hashes can't repeat.
+    """
+    out, others = _removed(docs, key, text, with_text)
+    new = [c for c in _NEW if c in out.columns]
+    return out.select(F.col("_key").alias(key), *new, *(F.col(f"c{i}").alias(c) for i, c in enumerate(others) if c not in new))
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the bytes that stay as their texts; what is left of a character cut in two goes too."""
-    kept = remove(docs, key, text)
+    """docs with the bytes that stay as their texts (empty, if null); what is left of a character cut in two goes too. All other columns stay as they are, whatever their names."""
+    out, others = _removed(docs, key, text, True)
     # a cast doesn't look at the bytes, so the check is a function of its own
-    return kept.select(*(F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).alias(text) if c == text else F.col(c) for c in docs.columns))
+    whole = F.col("kept").cast("string")
+    made = {key: F.col("_key"), text: F.when(F.is_valid_utf8(whole), whole).otherwise(F.regexp_replace(F.make_valid_utf8(whole), "\ufffd", ""))} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
+    return out.select(*(made[c].alias(c) for c in docs.columns))
