@@ -11,17 +11,12 @@ from ..shared import release, stage
 
 
 def _contracted(links: DataFrame, parent: DataFrame) -> DataFrame:
-    """Links between the parents of their ends, without loops and repeats; both sides of each join are tables, so that hot ends are split."""
-    half = None
+    """Links between the parents of their ends, without loops and repeats."""
     for end in ("a", "b"):
         to = parent.select(F.col("id").alias(end), F.col("up").alias("_up"))
         links = links.join(to, end, "left").withColumn(end, F.coalesce("_up", end)).drop("_up")
-        if end == "a":
-            links = half = stage(links, "links")
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    out = stage(ordered.distinct(), "links")
-    release(half)
-    return out
+    return stage(ordered.distinct(), "links")
 
 
 def components(links: DataFrame, jumps: int = 2) -> DataFrame:
@@ -29,23 +24,25 @@ def components(links: DataFrame, jumps: int = 2) -> DataFrame:
 
     Each round points every node at its smallest neighbour, shortens the pointers and contracts the links;
     stars end in a round, and any graph in a number of rounds about the logarithm of its longest path. Nothing
-    reaches the driver but whether links are left, and a round's tables go once the next round's stand.
+    reaches the driver but whether links are left. A round writes three tables, and they go once the next round's stand.
     """
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = stage(ordered, "links")
-    labels = stage(left.select("a").unionAll(left.select("b")).distinct().select(F.col("a").alias("id"), F.col("a").alias("component")), "labels")
-    while left.limit(1).count():
+    labels = left.select("a").unionAll(left.select("b")).distinct().select(F.col("a").alias("id"), F.col("a").alias("component"))
+    more = True
+    while more:
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("up")).withColumnRenamed("a", "id"), "parents")
+        parent = both.groupBy("a").agg(F.least("a", F.min("b")).alias("up")).withColumnRenamed("a", "id")
         for _ in range(jumps):
-            old, over = parent, parent.select(F.col("id").alias("up"), F.col("up").alias("_over"))
-            parent = stage(parent.join(over, "up", "left").select("id", F.coalesce("_over", "up").alias("up")), "parents")
-            release(old)
+            over = parent.select(F.col("id").alias("up"), F.col("up").alias("_over"))
+            parent = parent.join(over, "up", "left").select("id", F.coalesce("_over", "up").alias("up"))
+        parent = stage(parent, "parents")
         to = parent.select(F.col("id").alias("component"), "up")
         old = labels, left, parent
         labels = stage(labels.join(to, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "labels")
         left = _contracted(left, parent)
         release(*old)
+        more = left.limit(1).count() > 0
     release(left)
     return labels
 
