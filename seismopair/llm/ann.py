@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from . import common, vectors
 
-#: Rows that the index is fitted on, and lists, at most.
-SAMPLE, LISTS = 16_384, 1024
+#: Rows that the index is fitted on at most, rows of these that a list stands for at least, and rows that tell a score which k rows of the probed lists surely have.
+SAMPLE, PER_LIST, FLOOR = 16_384, 16, 4096
 #: Part of a sample query's neighbours that the probed lists have to hold.
 RECALL = 0.98
 #: Columns of a block, and how many standard deviations a partial distance may fall short of the whole.
@@ -36,7 +36,7 @@ class Index:
         self.size, self.longest, self.k = x.shape[1], longest, k
         self.rotation = np.linalg.qr(rng.standard_normal((self.size + 1, self.size + 1)))[0]
         self.ids, self.x = ids, x
-        lists = int(np.clip(round(np.sqrt(n) / 4), 1, min(LISTS, max(1, len(x) // 16)))) if n > 1000 else 1
+        lists = int(np.clip(round(np.sqrt(n) / 4), 1, max(1, len(x) // PER_LIST)))
         y = self.longer(x)
         centers = y[rng.permutation(len(y))[:lists]]
         for _ in range(8):
@@ -76,9 +76,9 @@ class Index:
         return int(at[min(len(at) - 1, int(np.ceil(RECALL * len(at))) - 1)]) + 1
 
     def least(self, ids: np.ndarray, q: np.ndarray, probed: np.ndarray) -> np.ndarray:
-        """A score that over k rows of the probed lists have, whatever the tests drop: the 2k-th best in the sample's part of these lists."""
-        score = q @ self.x.T
-        score[~probed[:, self.own] | (ids[:, None] == self.ids[None])] = -np.inf
+        """A score that over k rows of the probed lists have, whatever the tests drop: the 2k-th best of FLOOR rows of the sample, as far as they are in these lists."""
+        score = q @ self.x[:FLOOR].T
+        score[~probed[:, self.own[:FLOOR]] | (ids[:, None] == self.ids[None, :FLOOR])] = -np.inf
         if score.shape[1] <= 2 * self.k:
             return np.full(len(q), -np.inf)
         return np.partition(score, score.shape[1] - 2 * self.k, axis=1)[:, score.shape[1] - 2 * self.k]
@@ -145,8 +145,9 @@ class Nearest:
 def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries` its k nearest rows of df, but for the row of its own key.
 
-    Nearest is the largest inner product, ties go to the smaller key. Vectors that are null, zero, not finite, or of another
-    length than that of the smallest key take no part, on either side. Keys are unique integers. With up to 1,000 vectors, all are scanned.
+    Nearest is the largest inner product, ties go to the smaller key; equal vectors are rows of their own. Vectors that are null, zero, not finite, or of another
+    length than that of the smallest key take no part, on either side. Keys are unique integers. A query with at most k candidates gets all of them. An empty table gives
+    no rows, and other columns are not carried, whatever their names. Lists are probed at any size; a table of few rows has few.
     """
     spark = df.sparkSession
     size, form = vectors.dimension(df, key, vector), vectors.packing(df, vector)
@@ -155,7 +156,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     if not size:
         return spark.createDataFrame([], empty)
     rows = vectors.prepared(df, key, vector, size)
-    held = spark.sparkContext.broadcast(fit(rows, size, k))  # SAMPLE vectors and LISTS centres at most
+    held = spark.sparkContext.broadcast(fit(rows, size, k))  # SAMPLE vectors and a centre for each PER_LIST of them at most
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +178,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     lists = common.stage(rows.mapInArrow(listed, "list int, x_n bigint, x_ids binary, x_body binary"), "lists")
-    counts = np.zeros(LISTS, np.int64)
+    counts = np.zeros(len(held.value.centers), np.int64)
     for r in lists.groupBy("list").agg(F.sum("x_n").alias("n")).collect():  # a row for each list
         counts[r["list"]] = r["n"]
 
