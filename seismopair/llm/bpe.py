@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of a worker's memory of encoded matches, of which it holds twice as many at most.
-MEMORY = 250_000
+#: Entries, and bytes of keys, of a worker's memory of encoded matches, of which it holds twice as many at most; a longer key isn't remembered.
+MEMORY, MEMORY_BYTES, LONGEST_KEY = 120_000, 4 << 20, 256
 #: Up to so many bytes a string is encoded by the plain merge loop.
 LEAF = 8
 #: The rank of a pair that doesn't merge.
@@ -35,15 +35,20 @@ class Memo(dict):
 
     def __init__(self, compute, limit: int = MEMORY):
         super().__init__()
-        self.compute, self.limit, self.before = compute, limit, {}
+        self.compute, self.limit, self.before, self.room = compute, limit, {}, MEMORY_BYTES
 
     def __missing__(self, key):
         value = self.before.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.limit:
+        size = len(key) if isinstance(key, (str, bytes)) else 16
+        if size > LONGEST_KEY:
+            return value
+        self.room -= size
+        if len(self) >= self.limit or self.room < 0:
             self.before = dict(self)
             self.clear()
+            self.room = MEMORY_BYTES - size
         self[key] = value
         return value
 
@@ -52,11 +57,10 @@ _kept: dict[tuple, object] = {}
 
 
 def kept(make, *of):
-    """make(*of), one for each worker process, for all tasks that it runs; only the last few stay."""
+    """make(*of), one for each worker process, for all tasks that it runs; only the last one stays."""
     key = (make, *of)
     if key not in _kept:
-        if len(_kept) >= 4:
-            _kept.clear()
+        _kept.clear()
         _kept[key] = make(*of)
     return _kept[key]
 

@@ -8,8 +8,11 @@ remaining capacities finds. Group sizes don't grow with the input; only their nu
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,68 +79,88 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[
     return sequence, offset
 
 
-class Stretches(Memo):
-    """Ids, as bytes, of stretches of text without a space or line feed.
+#: Characters whose lower-case and composed forms are plain: those below U+0180 but for U+0130. A text of these alone takes the short way.
+_PLAIN = range(0x180)
+_WIDE = re.compile("[^\x00-\u012f\u0131-\u017f]").search
 
-    An ASCII stretch is looked up in lower case, and its leading run of letters apart from the rest, if the
-    vocabulary's own normaliser and pre-tokeniser do so: then a plain word costs no more than its merges. With
-    `special`, the vocabulary's special tokens are told where they stand literally, as the library does by itself;
-    else they are text like any other.
+
+class Words(Memo):
+    """Ids, as bytes, of the words that the file's own pre-tokeniser cuts a text into, each remembered.
+
+    What is done to a text is read from the file: special tokens are told where they stand literally, as the library does by itself;
+    the text between them is normalised and split by the file's pattern, and each word is encoded by the library's model. Where the file
+    composes characters and lowers them, a composed text of plain Latin characters is lowered here. A file
+    of another form than a lower-casing normaliser, a pattern and bytes as characters is left to the library as a whole.
     """
 
-    def __init__(self, vocabulary: bytes, special: bool = False):
-        from tokenizers import Tokenizer
+    def __init__(self, vocabulary: bytes):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__(self._ids)
+        super().__init__(self._word)
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
-        self.tokenizer.encode_special_tokens = not special
-        literal = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        self.special = re.compile("|".join(map(str.lower, literal)) or "(?!)").search
-        self.model = self.tokenizer.model
-        self.letters = re.compile("[a-z]+").match
-        probes = ["It", "it's", "Don't!!", "a1b", "THE&&&", "x.y,Z", "###", "we've", "'llama", "h" * 40]
-        self.plain = True
-        self.plain = all(self._ids(p) == self._whole(p) for p in probes)
-        self.clear()
-        self[""] = b""
-
-    def _whole(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _ids(self, part: str) -> bytes:
-        if not self.plain or not part.isascii():
-            return self._whole(part)
-        low = part.lower()
-        if self.special(low):  # neither lowered, which could make a special token, nor cut
-            return self._whole(part)
-        if low != part:
-            return self[low]
-        word = self.letters(part)
-        if word is None:
-            return self._whole(part)
-        if word.end() < len(part):
-            return self[word[0]] + self[part[word.end() :]]
-        return np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+        told = json.loads(vocabulary)
+        form = [(n["type"], n.get("pattern"), n.get("content")) for n in (told["normalizer"] or {}).get("normalizers", [])]
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        added = told["added_tokens"]
+        split = {"type": "Split", "behavior": "Removed", "invert": True}
+        bytewise = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        self.known = (
+            form == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+            and len(steps) == 2 and split.items() <= steps[0].items() and "Regex" in steps[0]["pattern"] and bytewise.items() <= steps[1].items()
+            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added) and told["post_processor"] is None
+        )
+        if not self.known:
+            return
+        import regex
+
+        pattern = steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")  # Python's own \s has four separators more
+        self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if added else lambda text: [text]
+        self.find = regex.compile(pattern).findall
+        kind = lambda p: "".join(chr(c) for c in _PLAIN if regex.fullmatch(p, chr(c)))
+        classes = re.sub(r"\\p\{\w+\}", lambda p: re.escape(kind(p[0])), pattern)
+        self.find_plain = None if r"\p" in classes else re.compile(classes).findall
+        as_characters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.characters = {c: as_characters(chr(c))[0][0] for c in _PLAIN}
+        self.normalised, self.model = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
+
+    def _word(self, word: str) -> bytes:
+        if _WIDE(word):
+            return array("I", [t.id for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word) for t in self.model(part)]).tobytes()
+        return array("I", [t.id for t in self.model(word.translate(self.characters))]).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a whole text, without special tokens added, as little-endian unsigned 32-bit numbers."""
+        if not self.known:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for part in self.cut(text):
+            if part in self.special:
+                out.append(self.special[part])
+            elif self.find_plain is not None and (part.isascii() or not _WIDE(part) and unicodedata.is_normalized("NFC", part)):
+                out += map(self.__getitem__, self.find_plain(part.lower()))
+            else:
+                out += map(self.__getitem__, self.find(self.normalised(part)))
+        return b"".join(out)
 
 
 def tokenize(df: DataFrame, vocabulary: bytes, end_id: int, window: int = WINDOW, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens (and ids, if asked for).
 
-    `vocabulary` is the content of a tokenizers file whose normaliser and pre-tokeniser work on each side of a
-    space or line feed alone, and whose special tokens hold neither, so that stretches between these can be encoded once
-    and remembered. A null or empty text is the one token `end_id`. Rows that share a key are documents of their own.
+    `vocabulary` is the content of a tokenizers file. A null or empty text is the one token `end_id`; texts are read whole, whatever their length.
+    Rows that share a key, or their whole text, are documents of their own; an empty table gives no pieces. Other columns are not carried.
     """
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = kept(Stretches, held.value, True)
+        packed = kept(Words, held.value)
         last = np.array([end_id], "<u4").tobytes()
         for batch in common.pieces(batches, "_text"):
             index, starts, lengths, sums, totals, ids = [], [], [], [], [], []
             for i, value in enumerate(batch.column("_text").to_pylist()):
-                data = b"".join(map(packed.__getitem__, (value or "").replace("\n", " ").split(" "))) + last
+                data = packed.ids(value or "") + last
                 for at in range(0, len(data), 4 * window):
                     piece = data[at : at + 4 * window]
                     index.append(i)
@@ -156,10 +179,10 @@ def tokenize(df: DataFrame, vocabulary: bytes, end_id: int, window: int = WINDOW
 def pack(pieces: DataFrame, n_pieces: int, window: int = WINDOW, group: int = GROUP, key: str = "doc_id") -> DataFrame:
     """Adds sequence_id and offset to pieces of at most `window` tokens; `n_pieces`, about, sets the number of groups.
 
-    Ties in length go by key and start, so equal input gives equal sequences. An empty table gives none.
+    Groups are dealt at random but repeatably, so that repeated rows part too; inside one, ties in length go by key and start. An empty table gives none.
     """
     groups = max(1, -(-n_pieces // group))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(key, "start", "length", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(key, "start", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", key, "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
