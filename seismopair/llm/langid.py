@@ -85,44 +85,59 @@ class Model:
         return [self.langs[k] if s else UNKNOWN for k, s in zip(best, seen, strict=True)], np.where(seen, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
 
 
+def bundled(counts: dict[str, np.ndarray], item: np.ndarray) -> dict[str, np.ndarray]:
+    """The sum of each language's n-gram vectors, from its count of each code: whole numbers."""
+    names = list(counts)
+    table = np.array([counts[n] for n in names]).reshape(len(names), -1)
+    codes = np.flatnonzero(table.any(axis=0)) if len(names) else np.zeros(0, int)
+    total = np.zeros((len(names), DIMENSION))
+    for at in range(0, len(codes), 4096):  # n-grams at a time, for bounded memory
+        some = codes[at : at + 4096]
+        total += table[:, some].astype(float) @ vectors(some, item)
+    return dict(zip(names, total.astype(np.int64), strict=True))
+
+
 def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text") -> Model:
     """Prototypes over all texts with a language outside the held-out fold.
 
-    Tasks count trigrams; what reaches the driver is a count for each language and trigram, SYMBOLS^3 a language at most.
+    Tasks count trigrams and bundle their vectors; what reaches the driver is DIMENSION sums for each language. Without such texts there is no language to predict.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~common.held_out(key)).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in common.pieces(batches, "_text"):
-            langs = np.array(batch.column("_lang").to_pylist(), object)
+            names, own = np.unique(np.array(batch.column("_lang").to_pylist(), object).astype(str), return_inverse=True)
             row, code, count = trigrams(batch.column("_text").to_pylist())
-            for name in set(langs):
-                own = (langs == name)[row]
-                total = np.bincount(code[own], count[own], SYMBOLS**3).astype(np.int64)
-                sums[name] = sums.get(name, 0) + total
+            order = np.argsort(own[row], kind="stable")
+            edge = np.searchsorted(own[row][order], np.arange(len(names) + 1))
+            for name, a, b in zip(names.tolist(), edge[:-1], edge[1:], strict=True):
+                if name not in sums:
+                    sums[name] = np.zeros(SYMBOLS**3, np.int64)
+                np.add.at(sums[name], code[order[a:b]], count[order[a:b]])
             if len(sums) > 64:
-                yield from out(sums)
+                yield out(sums)
                 sums = {}
-        yield from out(sums)
+        if sums:
+            yield out(sums)
 
-    def out(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for name, total in sums.items():
-            code = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(total[code], pa.int64())], names=["lang", "code", "n"])
+    def out(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        found = bundled(sums, letters())
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(list(found), DIMENSION), pa.string()), pa.array(np.tile(np.arange(DIMENSION), len(found)), pa.int64()), pa.array(np.concatenate(list(found.values())), pa.int64())], names=["lang", "place", "n"])
 
-    found = common.small_batches(rows).mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).collect()
-    item = letters()
-    langs = sorted({r["lang"] for r in found})
+    found = common.small_batches(rows).mapInArrow(run, "lang string, place bigint, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    langs, own = np.unique(np.array(found["lang"].to_pylist(), str), return_inverse=True)
     prototypes = np.zeros((len(langs), DIMENSION))
-    for k, name in enumerate(langs):
-        own = [(r["code"], r["n"]) for r in found if r["lang"] == name]
-        prototypes[k] = np.array([n for _, n in own], float) @ vectors(np.array([c for c, _ in own]), item)
-    return Model(langs, prototypes)
+    prototypes[own, found["place"].to_numpy()] = found["n"].to_numpy()
+    return Model(langs.tolist(), prototypes)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score (the cosine); a null text and one without letters are UNKNOWN."""
+    """Adds lang_pred and score (the cosine, or 0 where it is less).
+
+    A null text and one without letters are UNKNOWN, with a score of 0; of languages that are equally near the first by name is predicted. Texts are read whole, equal ones
+    alike, and an empty table stays empty. Columns of docs that are named lang_pred or score are replaced, others stay.
+    """
     docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)  # a vector for each language
     columns = docs.columns
