@@ -172,7 +172,7 @@ def similar(left: list[bytes], right: list[bytes]) -> np.ndarray:
 
 def verified(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b) that are similar enough, from the sets of their ends; a staged table."""
-    half = common.stage(pairs.join(of.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a"), "halves")
+    half = pairs.join(of.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     rows = half.join(of.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +180,7 @@ def verified(pairs: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
             value = similar(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value, pa.float64())], names=["a", "b", "similarity"]).filter(pa.array(value >= threshold, pa.bool_()))
 
-    out = common.stage(rows.mapInArrow(run, "a bigint, b bigint, similarity double"), "verified")
-    common.release(half)
-    return out
+    return common.stage(rows.mapInArrow(run, "a bigint, b bigint, similarity double"), "verified")
 
 
 #: Members of a bucket that are compared with one another, or with as many others, at a time.
@@ -269,7 +267,7 @@ def _within(rows: DataFrame, buckets: DataFrame, labels: DataFrame, of: DataFram
     # of buckets with the same members one is enough; two sums of 64 bits and the count stand for the members
     same = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"members{seed}") for seed in (3, 11)]
     seen = marked.groupBy("band").agg(*same, F.first("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    chosen = common.stage(seen.where("low <> high").groupBy("members3", "members11", "n").agg(F.min("band").alias("band")).select("band"), "open-buckets")
+    chosen = seen.where("low <> high").groupBy("members3", "members11", "n").agg(F.min("band").alias("band")).select("band")
     member = common.stage(marked.join(chosen, "band").select("band", "id", "component"), "members")
     sizes = common.stage(member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size")).withColumn("own", F.col("size") >= BLOCK), "sizes")
     pooled = sizes.where("not own").groupBy("band").agg(F.sum("size").alias("pooled"))
@@ -286,7 +284,7 @@ def _within(rows: DataFrame, buckets: DataFrame, labels: DataFrame, of: DataFram
     apart = ids.where("of is not null").join(several, "band", "left_semi").join(other, "band").where("of < of_2")
     pairs = mixed.unionByName(apart).select(F.least("block", "block_2").alias("low"), F.greatest("block", "block_2").alias("high"))
     ends = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-    dealt = common.stage(ends, "block-pairs").join(full.select("block", "members"), "block")
+    dealt = ends.join(full.select("block", "members"), "block")
 
     def run(group: pa.Table) -> pa.Table:
         sides = {row["block"]: [(m["id"], m["component"], m["set"]) for m in row["members"]] for row in group.select(["block", "members"]).to_pylist()}
@@ -295,7 +293,7 @@ def _within(rows: DataFrame, buckets: DataFrame, labels: DataFrame, of: DataFram
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     out = common.stage(dealt.groupBy("low", "high").applyInArrow(run, "a bigint, b bigint"), "links")
-    common.release(marked, chosen, member, sizes, full)
+    common.release(marked, member, sizes, full)
     return out
 
 
@@ -309,20 +307,20 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """
     base = common.stage(sketches(docs, key, text).withColumn("id", F.col(key).cast("bigint")).drop(*([key] if key != "id" else [])), "sketches")
     some = base.where("id is not null and bands is not null")
-    first = common.stage(some.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
+    first = some.groupBy("digest").agg(F.min("id").alias("class_id"))
     classed = common.stage(some.select("id", "digest").join(first, "digest").select("id", "class_id"), "classed")
     heads = common.stage(some.join(first.select(F.col("class_id").alias("id"), "digest"), ["id", "digest"]).select("id", "bands").dropDuplicates(["id", "bands"]), "heads")
     rows = _bucket_rows(heads)
     buckets = common.stage(rows.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     stars = common.stage(rows.join(buckets, "band").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "stars")
-    wanted = common.stage(stars.select(F.col("a").alias(key)).unionAll(stars.select(F.col("b").alias(key))).distinct(), "wanted")
+    wanted = stars.select(F.col("a").alias(key)).unionAll(stars.select(F.col("b").alias(key))).distinct()
     of = common.stage(sets(docs.select(F.col(key).cast("bigint").alias(key), F.col(text)).join(wanted, key).dropDuplicates([key]), key, text), "sets")
     sure = verified(stars, of, threshold)
     links = sure.select("a", "b")
     joined = components(links)
     more = _within(rows, buckets, joined, of, threshold)
     labels = components(links.unionAll(more))
-    common.release(first, heads, buckets, stars, wanted, of, sure, joined, more)
+    common.release(heads, buckets, stars, of, sure, joined, more)
     # copies have their head's component
     found = classed.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     alone = base.where("id is null or bands is null").select("id", F.col("id").alias("class_id"), F.col("id").alias("component_id"))

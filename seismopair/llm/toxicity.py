@@ -22,10 +22,10 @@ from . import common
 #: Bytes of a window that is scored, and of one that trains the toxic dictionary; they end at a space if they can.
 WINDOW, TOXIC_WINDOW = 128, 48
 #: Bytes of the dictionaries, and of the stretches that zstandard picks for them at a time.
-ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_PIECE, TOXIC_PIECE = 262_144, 4096, 128, 16
+ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_PIECE, TOXIC_PIECE = 262_144, 4096, 128, 24
 LEVEL, SHORTEST_MATCH = 7, 4
-#: Part of the toxic documents' windows that is chosen first, what part of those the next choice keeps, how often it is made, and the fewest windows.
-SHARE, SHRINK, ROUNDS, LEAST = 0.1, 0.8, 6, 64
+#: Part of the toxic documents' windows that is chosen, how often it is chosen anew, and the fewest windows.
+SHARE, ROUNDS, LEAST = 0.06, 3, 64
 #: Bytes that a window has to save to be counted by the share of such windows, and how many largest savings are averaged.
 SAVED, LARGEST = 3, 3
 #: Labelled documents of each class that the model is fitted on at most, and their longest text.
@@ -48,9 +48,11 @@ def windows(text: str, size: int = WINDOW) -> list[bytes]:
 
 
 def dictionary(samples: list[bytes], size: int, piece: int) -> bytes:
-    """A dictionary that zstandard trains on the samples; of very few, the samples themselves."""
+    """A dictionary that zstandard trains on the samples; of so few that all fit in, or that it can't be trained, the samples themselves."""
     import zstandard
 
+    if sum(map(len, samples)) + len(samples) <= size:
+        return b" ".join(samples)
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL, k=piece, d=6 if piece < 64 else 8).as_bytes()
     except zstandard.ZstdError:
@@ -76,7 +78,8 @@ def chosen(parts: list[bytes], half: np.ndarray, ordinary: bytes) -> list[bytes]
     plain = lengths(compressor(ordinary), parts)
     n = min(len(parts), max(LEAST, int(SHARE * len(parts))))
     # a compressed window has some bytes whatever its length
-    top = np.argsort(-plain / (np.array([len(w) for w in parts]) + 6), kind="stable")[:n]
+    novelty = plain / (np.array([len(w) for w in parts]) + 6)
+    top = np.argsort(-novelty, kind="stable")[:n]
     for _ in range(ROUNDS):
         saved = np.zeros(len(parts))
         for k in (0, 1):
@@ -85,8 +88,7 @@ def chosen(parts: list[bytes], half: np.ndarray, ordinary: bytes) -> list[bytes]
                 with_toxic = compressor(dictionary(others, TOXIC_BYTES, TOXIC_PIECE) + b" " + ordinary)
                 own = np.flatnonzero(half == k)
                 saved[own] = plain[own] - lengths(with_toxic, [parts[i] for i in own])
-        n = min(len(parts), max(LEAST, int(SHRINK * n)))
-        top = np.argsort(-saved, kind="stable")[:n]
+        top = np.lexsort((-novelty, -saved))[:n]
     return [parts[i] for i in top]
 
 

@@ -87,6 +87,41 @@ def test_blocks_compare_all_pairs():
     assert minhash.compare([(1, 1, b"")], None, 0.8) == []
 
 
+def test_buckets_of_large_components_and_strays(spark, monkeypatch):
+    """Blocks of one component are left out, and no link between components is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    base = [prose(60, 2000 + k) for k in range(2)]
+    shared = prose(60, 77)
+    texts = [shared + " " + edited(base[k % 2], 59 - k % 7, k) for k in range(60)] + [shared + " " + prose(20, k) for k in range(12)]
+    sets = [shingled(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in minhash.groups(df).collect()}
+    row, element, count = minhash.weighted(pa.array(texts))
+    keys = minhash.band_keys(minhash.signatures(row, element, count, len(texts)))
+    assert max(Counter(keys[:, 0].tolist()).values()) > 12
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if root(i) != root(j) and (keys[i] == keys[j]).any() and jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    assert found == {i: root(i) for i in range(len(texts))}
+
+
+def test_similarity_of_many_pairs():
+    texts = [edited(prose(80, 1), 9 + k, k) for k in range(30)] + ["rep " * 50 + prose(9, k) for k in range(4)] + [""]
+    packed = minhash.pack(*minhash.weighted(pa.array(texts)), len(texts))
+    left, right = zip(*((a, b) for a in packed for b in packed))
+    told = minhash.similar(list(left), list(right))
+    assert told == pytest.approx([minhash.similarity(minhash.unpack(a), minhash.unpack(b)) for a, b in zip(left, right)])
+
+
 def test_groups_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert minhash.groups(spark.createDataFrame([], schema)).count() == 0
@@ -149,6 +184,42 @@ def removed(rows):
     return sorted(out, key=str)
 
 
+def test_long_texts_are_gone_through_in_pieces(monkeypatch):
+    import zstandard
+
+    texts = [prose(900, 1).encode(), b"", b"short", ("é" * 500).encode(), prose(300, 1).encode(), b"ab" * 700]
+    packed = (np.arange(6).astype("<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), zstandard.compress(b"".join(texts)))
+
+    def strings(block):
+        found = {}
+        for b, n, h, d in zip(block.begin, block.count, block.hash, block.doc):
+            for at in range(b, b + n):
+                assert at not in found and block.starts[d] <= at and at + 50 <= block.starts[d + 1]
+                found[at] = int(h)
+        return found
+
+    whole = suffix.Block(*packed)
+    every = strings(whole)
+    assert len(every) == sum(max(0, len(t) - 49) for t in texts)
+    monkeypatch.setattr(suffix, "PIECE", 777)
+    pieces = suffix.Block(*packed)
+    assert strings(pieces) == every and len(pieces.begin) > len(whole.begin)
+    single = pieces.alone(np.array(sorted(every)))
+    body = b"".join(texts)
+    names = {}
+    assert all(names.setdefault(body[at : at + 50], h) == h for at, h in zip(sorted(every), single.tolist())) and len(set(names.values())) == len(names)
+
+
+def test_counts_of_hot_hashes_are_whole():
+    def row(block, count):
+        return {"block": block, "part": 0, "hashes": b"hash1", "many": bytes([min(count, suffix.ESCAPE) * 2]), "more": np.array([count] * (count >= suffix.ESCAPE), "<u4").tobytes()}
+
+    for counts, hot in (((126, 127, 70_000), True), ((126, 5000, 14_000), False), ((19_999, 1), False), ((20_000, 1), True)):
+        group = pa.Table.from_pylist([row(i, n) for i, n in enumerate(counts)])
+        told = suffix._repeated(20_000)(group)
+        assert told["again"].to_pylist() == [b"\x80"] * len(counts) and told["hot"].to_pylist() == [b"\x80" if hot else b"\0"] * len(counts)
+
+
 @pytest.mark.parametrize("hot", [20_000, 2])
 def test_removal_is_exact(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
@@ -166,7 +237,8 @@ def test_removal_is_exact(spark, monkeypatch, hot):
 def test_cleaned_texts(spark):
     a, b = "é" * 30, prose(12, 5)
     df = spark.createDataFrame([(1, b, "x", 3), (2, "start " + b + " end", "y", None), (3, "ab" + a, None, 1), (4, "xb" + a[:-2] + "q", "z", 2), (5, None, "n", 5)], "doc_id long, text string, lang string, n_bytes long")
-    found = {r.doc_id: r for r in suffix.clean(df.drop("n_bytes")).collect()}
+    found = {r.doc_id: r for r in suffix.clean(df).collect()}
+    assert {k: r.n_bytes for k, r in found.items()} == {1: 3, 2: None, 3: 1, 4: 2, 5: 5}
     assert found[2].text == "start  end" and found[2].lang == "y" and found[1].text == b and found[5].text == ""
     assert found[4].text == "xq" and found[3].lang is None
     assert suffix.remove(df).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "lang"]
@@ -216,13 +288,84 @@ def test_toxicity(spark):
 
 def test_the_bound_of_windows_is_a_constant(monkeypatch):
     taken = []
-    monkeypatch.setattr(toxicity, "dictionary", lambda samples, size: taken.append(len(samples)) or b"")
+    monkeypatch.setattr(toxicity, "dictionary", lambda samples, size, piece: taken.append((size, len(samples))) or b"")
     texts = [prose(400, i) for i in range(30)]
     every = sum(len(list(toxicity.windows(t))) for i, t in enumerate(texts) if i % 3 != 2 and i % 2)
     for bound in (10 * every, every // 4):
         monkeypatch.setattr(toxicity, "WINDOWS", bound)
+        taken.clear()
         toxicity.fit(texts, [1 - i % 2 for i in range(30)], 0.5)
-    assert taken[0] == every and every // 4 <= taken[-1] < every // 2
+        assert taken[0] == (toxicity.ORDINARY_BYTES, min(every, bound))
+
+
+def test_toxic_scores_by_hand():
+    """Window by window with a compressor made anew for each, and the logistic of the three figures."""
+    bad = ["grumblefish", "snortwhack", "plonkhead"]
+    texts = [prose(60, i) + (" " + bad[i // 2 % 3] + " " + prose(20, 900 + i) + " " + bad[(i // 2 + 1) % 3]) * (i % 2) for i in range(240)]
+    model = toxicity.fit(texts, [i % 2 for i in range(240)], 0.5)
+    some = [*texts[:12], "", None, "x", "é" * 300, prose(4000, 5)]
+    found = model.score(pa.array(some))
+    for text, score in zip(some, found):
+        data, saved = (text or "").lower().encode(), []
+        while data:
+            cut = data[:128]
+            if len(data) > 128 and b" " in cut[1:]:
+                cut = cut[: cut.rindex(b" ") + 1]
+            saved.append(len(toxicity.compressor(model.ordinary)(cut)) - len(toxicity.compressor(model.toxic + b" " + model.ordinary)(cut)))
+            data = data[len(cut) :]
+        three = [sum(saved) / len(saved), sum(sorted(saved)[-3:]) / len(saved[-3:]) / 10, sum(s >= 3 for s in saved) / len(saved)] if saved else [0, 0, 0]
+        assert score == pytest.approx(1 / (1 + np.exp(-(np.dot(three, model.weights[:3]) + model.weights[3]))))
+    assert np.mean([s >= 0.5 for s in model.score(pa.array(texts[1::2]))]) > 0.9 and np.mean(model.score(pa.array(texts[::2])) >= 0.5) < 0.1
+
+
+def test_quality_scores_by_hand():
+    """Ratios, margins and scores from dictionaries of n-grams."""
+    texts = [prose(30, i) if i % 2 else prose(30, i).upper() + "##" for i in range(60)]
+    row, bucket = quality.features(pa.array(texts))
+    rows = [bucket[row == i] for i in range(60)]
+    grams = []
+    for t in texts:
+        data = t.encode()
+        own = set()
+        for n in (2, 3, 4):
+            for i in range(len(data) - n + 1):
+                value = np.array([int.from_bytes(data[i : i + n], "little") + (n << 40)], np.uint64)
+                own.add(int(common.mix(value)[0] >> np.uint64(64 - quality.BITS)))
+        grams.append(own)
+    assert [set(r.tolist()) for r in rows] == grams
+    y = np.arange(60) % 2
+    counts = [Counter(g for own, label in zip(grams, y) if label == k for g in own) for k in (0, 1)]
+    totals = [sum(c.values()) + (1 << quality.BITS) for c in counts]
+    ratio = quality.ratios(rows, y)
+    for g in list(counts[0])[:200] + list(counts[1])[:200]:
+        assert ratio[g] == pytest.approx(np.log((counts[1][g] + 1) / totals[1]) - np.log((counts[0][g] + 1) / totals[0]))
+    model = quality.fit(rows, y, 0.5)
+    for text, score in zip([*texts[:6], "", None], model.score(pa.array([*texts[:6], "", None]))):
+        own = grams[texts.index(text)] if text else set()
+        length = sum(model.ratio[g] ** 2 for g in own) ** 0.5
+        margin = sum(model.ratio[g] * model.weight[g] for g in own) / max(length, 1e-12) + model.weight[-1]
+        assert score == pytest.approx(1 / (1 + np.exp(-(model.line[0] * margin + model.line[1]))))
+
+
+def test_columns_of_the_caller_stay(spark):
+    docs, labels = labelled(spark, lambda i: prose(60, i), lambda i: prose(60, i).replace(" ", "### ").upper())
+    own = docs.selectExpr("*", "0.123D as score", "9 as predicted", "'k' as _label", "1 as _text", "2 as lang_pred")
+    kept = quality.good_rows(own, quality.train(own, labels)).collect()
+    assert 50 < len(kept) < 70 and {(r.score, r.predicted, r._label, r._text, r.lang_pred) for r in kept} == {(0.123, 9, "k", 1, 2)}
+    left = toxicity.ordinary_rows(own, toxicity.Model(b"", b"", None, 0.2))
+    assert left.columns == own.columns and left.count() == 123 and toxicity.ordinary_rows(own, toxicity.Model(b"", b"", None, 0.9)).count() == 0
+    assert langid.identify(own, langid.Model(["xx"], np.ones((1, langid.DIMENSION)))).columns == ["doc_id", "text", "predicted", "_label", "_text", "lang_pred", "score"]
+    mine = docs.selectExpr("*", "-7 as n_bytes", "'mine' as kept", "1 as _text", "2 as _key", "3 as c0", "4 as block")
+    assert {tuple(r)[2:] for r in suffix.clean(mine).collect()} == {(-7, "mine", 1, 2, 3, 4)} and suffix.clean(mine).columns == mine.columns
+
+
+def test_labels_out_of_reach_give_a_warning(spark):
+    docs = spark.createDataFrame([(i, "x" * 40_000) for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    for operator in (quality, toxicity):
+        with pytest.warns(UserWarning, match="no labelled text"):
+            model = operator.train(docs, labels)
+        assert len({r.score for r in operator.classify(docs, model).collect()}) == 1
 
 
 def test_classifiers_without_labels(spark):
@@ -257,6 +400,29 @@ def test_languages(spark):
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
 
 
+def test_prototypes_and_cosines_by_hand(spark):
+    texts = ["Abc abd, bca!", "bad cab", "xyz zyx xyx", "zzy yx x", "abc xyz", "É日本 a"]
+    names = ["p", "p", "q", "q", None, "q"]
+    df = spark.createDataFrame(list(zip(range(1, 7), texts, names)), "doc_id long, text string, lang string").where("doc_id not in (2)")
+    item = langid.letters().astype(float)
+
+    def bundle(text):
+        symbols, total = [0, *(int(langid.symbol_table()[ord(c)]) for c in text.lower()), 0], np.zeros(langid.DIMENSION)
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            if b:
+                total += np.roll(item[a], 2) * np.roll(item[b], 1) * item[c]
+        return total
+
+    learnt = [r for r in df.select("*", common.held_out().alias("h")).collect() if r.lang and not r.h]
+    prototypes = {n: sum(bundle(r.text) for r in learnt if r.lang == n) for n in sorted({r.lang for r in learnt})}
+    model = langid.train(df)
+    assert model.langs == list(prototypes)
+    for r in langid.identify(df, model).collect():
+        own = bundle(r.text)
+        cosine = {n: own @ p / np.linalg.norm(own) / np.linalg.norm(p) for n, p in prototypes.items()}
+        assert r.lang_pred == max(cosine, key=cosine.get) and r.score == pytest.approx(max(0, max(cosine.values())), abs=1e-5)
+
+
 def test_letters_of_all_planes():
     table = langid.symbol_table()
     assert all((table[c] > 0) == chr(c).isalpha() for c in range(128, 0x110000)) and table[0x30000] and table[0x31350]

@@ -66,7 +66,6 @@ def test_packing_loses_and_repeats_nothing(spark, extra):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, "word " * i) for i in range(60)] + extra
     df = spark.createDataFrame(rows, "doc_id long, text string")
     library = Tokenizer.from_str(tokenizer_file("word_bpe_49k.json").decode())
-    library.encode_special_tokens = True
     pieces = packing.tokenize(df, tokenizer_file("word_bpe_49k.json"), 2, window=64, with_ids=True)
     found = packing.pack(pieces, 70, window=64, group=16).collect()
     got: dict[tuple, int] = {}
@@ -90,14 +89,42 @@ def test_packing_loses_and_repeats_nothing(spark, extra):
     assert packing.pack(packing.tokenize(df.limit(0), tokenizer_file("word_bpe_49k.json"), 2), 0).count() == 0
 
 
-def test_ids_are_the_tokenizer_s(spark):
+def test_ids_are_the_tokenizer_s():
     library = Tokenizer.from_str(tokenizer_file("word_bpe_49k.json").decode())
-    library.encode_special_tokens = True
-    own = packing.Stretches(tokenizer_file("word_bpe_49k.json"))
-    assert own.plain
-    for t in ["It's THE end&&& of### x1y2, <|endoftext|> don't!!", "Größe ÜBER\tété x  y", "İstanbul ΣΑΣ ǅ", "'S 'll'", "a\x1cb"]:
-        parts = t.replace("\n", " ").split(" ")
-        assert np.frombuffer(b"".join(own[p] for p in parts), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    own = packing.Words(tokenizer_file("word_bpe_49k.json"))
+    assert own.known and own.find_plain is not None
+    texts = ["It's THE end&&& of### x1y2, <|endoftext|> don't!!", "Größe ÜBER\tété x  y", "İstanbul ΣΑΣ ǅ", "'S 'll'", "a\x1cb - \x1f", "e\u0301 \u0301", "½²٣ ª º × ÷", "", "long" * 5000]
+    signs = [*"aA zZ'sRdßẞİıŁŸÿΣςſ1²½٣é\u0301\t\n\x0b\x1c\x85\xa0\u2028日🙂_-—!?ǅȺ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'ll", "'LL"]
+    draw = random.Random(3)
+    texts += ["".join(draw.choice(signs) for _ in range(draw.randint(0, 40))) for _ in range(2000)]
+    for t in texts:
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_other_files_are_left_to_the_library():
+    content = tokenizer_file("byte_bpe_50k.json")
+    own, library = packing.Words(content), Tokenizer.from_str(content.decode())
+    assert not own.known
+    for t in ["It's THE end", " é <|endoftext|> x"]:
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_memory_is_bounded_by_entries_and_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 1000)
+    asked = []
+    memo = bpe.Memo(lambda k: asked.append(k) or k.upper(), limit=50)
+    for k in range(2000):
+        assert memo[f"{k:020d}"] == f"{k:020d}"
+    assert len(memo) <= 50 and len(memo.before) <= 50 and sum(map(len, [*memo, *memo.before])) <= 2000
+    long = "x" * 5000
+    assert memo[long] == long.upper() == memo[long] and long not in memo and asked.count(long) == 2
+
+
+def test_repeated_rows_are_dealt_to_many_groups(spark):
+    df = spark.range(400).selectExpr("7 as doc_id", "'same words here' as text")
+    pieces = packing.tokenize(df, tokenizer_file("word_bpe_49k.json"), 2, window=64)
+    found = packing.pack(pieces, 400, window=64, group=40).selectExpr("sequence_id >> 32 as g").groupBy("g").count().collect()
+    assert len(found) > 5 and max(r["count"] for r in found) < 100
 
 
 def test_special_tokens_are_the_library_s(spark):
