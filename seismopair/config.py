@@ -106,6 +106,28 @@ class Config:
         return asdict(self)
 
 
+def intervals_of(settings: dict) -> tuple[Interval, ...]:
+    """Intervals from numbered settings: catalog_start_time, catalog_end_time and catalog_url, then the same with _1, _2 and so on; a missing one of the three is open, or the first url."""
+    out = []
+    for n in range(100):
+        end = f"_{n}" if n else ""
+        start, stop, url = (settings.get(f"catalog_{k}{end}") for k in ("start_time", "end_time", "url"))
+        if n and start is stop is url is None:
+            break
+        if not (start is stop is url is None):
+            out.append(Interval(start, stop, url or settings.get("catalog_url")))
+    return tuple(out)
+
+
+def scope(cfg: Config, trace_ids: list[str] | None = None) -> tuple[str, ...]:
+    """The traces that a command works on: those it was given, else those of the settings; each is NET.STA.LOC.CHAN."""
+    found = tuple(trace_ids or cfg.catalog_trace_ids)
+    for t in found:
+        if t.count(".") != 3:
+            raise ValueError(f"not NET.STA.LOC.CHAN: {t!r}")
+    return found
+
+
 #: Former names of settings.
 RENAMED = {"catalog_trace_id": "catalog_trace_ids", "cc_freqmin": "cc_freq_min", "cc_freqmax": "cc_freq_max"}
 

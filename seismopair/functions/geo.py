@@ -31,7 +31,14 @@ def hypocentral_km(horizontal_km: Column, depth_km: Column) -> Column:
     return F.hypot(horizontal_km, F.greatest(depth_km, F.lit(0.0)))
 
 
-def _geodesic(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+def sphere_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """haversine_km on arrays."""
+    p1, p2 = np.radians(lat1), np.radians(lat2)
+    h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(np.asarray(lon2) - lon1) / 2) ** 2
+    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+
+
+def ellipsoid_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
     """Vincenty's inverse formula on WGS84, km; nearly antipodal points take the sphere's distance."""
     a, f = 6378137.0, 1 / 298.257223563
     b = (1 - f) * a
@@ -66,6 +73,6 @@ def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     """Distance on the WGS84 ellipsoid."""
 
     def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series(_geodesic(*(x.to_numpy(float) for x in (a, b, c, d))))
+        return pd.Series(ellipsoid_km(*(x.to_numpy(float) for x in (a, b, c, d))))
 
     return F.pandas_udf(run, "double")(lat1, lon1, lat2, lon2)

@@ -84,21 +84,26 @@ def correlate(a: np.ndarray, b: np.ndarray, lags: int) -> np.ndarray:
 
 
 def peak(cc: np.ndarray, allow_negative: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(lag, value) of the largest correlation, or of the largest absolute one; of equals the lag nearest 0, then the lower."""
+    """(lag, value) of the largest correlation, or of the largest absolute one; of equals (to twelve digits) the lag nearest 0, then the lower."""
     lags = cc.shape[1] // 2
     order = np.array(sorted(range(cc.shape[1]), key=lambda k: (abs(k - lags), k)))
-    size = np.abs(cc) if allow_negative else cc
-    best = order[np.argmax(size[:, order], axis=1)] if len(cc) else np.zeros(0, int)
+    size = (np.abs(cc) if allow_negative else cc)[:, order]
+    best = order[np.argmax(size >= size.max(1, keepdims=True) - 1e-12, axis=1)] if len(cc) else np.zeros(0, int)
     return best - lags, cc[np.arange(len(cc)), best]
 
 
 def mad(cc: np.ndarray) -> np.ndarray:
-    """Median absolute deviation of each row's values above 1e-5 in size, unscaled."""
-    out = np.zeros(len(cc))
-    for i, row in enumerate(cc):
-        row = row[np.abs(row) > 1e-5]
-        out[i] = np.median(np.abs(row - np.median(row))) if len(row) else 0.0
-    return out
+    """Median absolute deviation of each row's values above 1e-5 in size, unscaled; 0 for a row without any."""
+    own = np.abs(cc) > 1e-5
+    n = own.sum(1)
+
+    def median(values: np.ndarray) -> np.ndarray:
+        held = np.sort(np.where(own, values, np.inf), axis=1)
+        low, high = (np.take_along_axis(held, np.maximum(at, 0)[:, None], axis=1)[:, 0] for at in ((n - 1) // 2, n // 2))
+        with np.errstate(invalid="ignore"):
+            return np.where(n > 0, (low + high) / 2, 0.0)
+
+    return median(np.abs(cc - median(cc)[:, None])) if cc.shape[1] else np.zeros(len(cc))
 
 
 def sections(low: float, high: float, rate: float, order: int = 4) -> np.ndarray:
@@ -278,6 +283,11 @@ def mad_of(x: Column) -> Column:
     """Median absolute deviation of an array's values above 1e-5 in size."""
 
     def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else float(mad(np.asarray(v, float)[None])[0]) for v in rows])
+        values = [None if v is None else np.asarray(v, float) for v in rows]
+        out = pd.Series([None] * len(values), dtype=float)
+        for n in {len(v) for v in values if v is not None}:
+            own = [i for i, v in enumerate(values) if v is not None and len(v) == n]
+            out.iloc[own] = mad(np.array([values[i] for i in own]).reshape(len(own), n))
+        return out
 
     return F.pandas_udf(run, "double")(x)

@@ -28,8 +28,9 @@ def slip_cm(mag: Column, cfg: Config | None = None) -> Column:
     if cfg.mag_to_slip_model == "NJ1998":
         value = F.pow(F.lit(10.0), F.lit(-2.36)) * F.pow(moment(mag, "dyne.cm"), F.lit(0.17))
     elif cfg.mag_to_slip_model == "B2001":
-        drop, mu, hardening = cfg.static_stress_drop_MPa * 1e7, cfg.rigidity_GPa * 1e10, cfg.strain_hardening_MPa_cm * 1e7
-        value = drop * (F.pow(moment(mag, "dyne.cm") / drop, F.lit(1 / 3)) / (1.81 * mu) + 1 / hardening)
+        # N.m over MPa is a volume in cubic centimetres
+        drop, mu, hardening = cfg.static_stress_drop_MPa, cfg.rigidity_GPa * 1e3, cfg.strain_hardening_MPa_cm
+        value = drop * (F.pow(moment(mag) / drop, F.lit(1 / 3)) / (1.81 * mu) + 1 / hardening)
     else:
         drop, mu = cfg.static_stress_drop_MPa * 1e6, cfg.rigidity_GPa * 1e9
         radius = F.pow(7 / 16 * moment(mag) / drop, F.lit(1 / 3))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,24 @@ def failures(attempts: DataFrame, base_s: float = 60.0, max_retries: int = 5, ke
     return found.withColumns({"max_retries": F.lit(max_retries), "next_retry_after_ts": due})
 
 
+def failed_again(state: DataFrame, bad: DataFrame, good: DataFrame, now: Column, base_s: float = 60.0, max_retries: int = 5) -> DataFrame:
+    """State after one round of downloads: a failed key counts up and waits twice as long as before, one that worked is cleared, others stay.
+
+    A key is evid, trace_id and the window; `bad` has last_error, `good` evid and trace_id, with the window as req_start and req_end.
+    """
+    window = ["evid", "trace_id", "start_ts", "end_ts"]
+    old = state.join(good.select("evid", "trace_id", F.col("req_start").alias("start_ts"), F.col("req_end").alias("end_ts")), window, "left_anti")
+    new = bad.groupBy(*window).agg(F.max("last_error").alias("_error")).withColumn("_new", F.lit(1))
+    both = old.join(new, window, "full")
+    count = F.coalesce("retry_count", F.lit(0)) + F.coalesce("_new", F.lit(0))
+    wait = F.least(F.lit(base_s) * F.pow(F.lit(2.0), count - 1) * 1e6, F.lit(9e17)).cast("bigint")
+    fresh = F.col("_new").isNotNull()
+    return both.select(
+        *window, count.cast("int").alias("retry_count"), F.when(fresh, F.lit(max_retries)).otherwise(F.col("max_retries")).cast("int").alias("max_retries"), F.coalesce("_error", "last_error").alias("last_error"),
+        F.coalesce("first_failure_ts", F.when(fresh, now)).alias("first_failure_ts"), F.when(fresh, now).otherwise(F.col("last_failure_ts")).alias("last_failure_ts"), F.when(fresh, F.timestamp_micros(F.unix_micros(now) + wait)).otherwise(F.col("next_retry_after_ts")).alias("next_retry_after_ts"),
+    )
+
+
 def skip_reason(now: Column) -> Column:
     """Why a download isn't tried: exhausted (until reset), backoff (until due), or null."""
     return F.when(F.col("retry_count") >= F.col("max_retries"), "exhausted").when(now < F.col("next_retry_after_ts"), "backoff")
@@ -104,30 +125,89 @@ def requests(events: DataFrame, offsets: DataFrame, pre_s: float, length_s: floa
     return rows.select("evid", "trace_id", at(F.col("p_min_s") - pre_s).alias("start_ts"), at(F.col("p_max_s") + length_s).alias("end_ts"))
 
 
+#: A trace's history is cut into stretches of so many spans, or a day, if that is longer.
+SPANS = 24
+
+
+def _openers(starts: list[int], ends: list[int], span: int) -> list[int]:
+    """For each window, in start order, the window that opens the next group if this one opens one; their number if none does."""
+    n, out, at = len(starts), [], 0
+    for i, first in enumerate(starts):
+        at = max(at, i + 1)
+        if ends[i] - first <= span:  # a window longer than the span is a group by itself
+            while at < n and ends[at] - first <= span:
+                at += 1
+            out.append(at)
+        else:
+            out.append(i + 1)
+    return out
+
+
+def _limits(starts: list[int], ends: list[int], span: int) -> list[int]:
+    """The end up to which a group that a window opens takes others in; -2^62 if it takes none."""
+    return [s + span if e - s <= span else -(1 << 62) for s, e in zip(starts, ends, strict=True)]
+
+
 def grouped(windows: DataFrame, max_span_s: float, slot_s: float | None = None) -> DataFrame:
-    """Adds group_id, group_start, group_end: in start order, a window joins its trace's group while the group, from its first start, spans `max_span_s` at most.
+    """trace_id, evid, start_ts, end_ts, group_start, group_end: in start order, a window joins its trace's group while the group, from its first start, spans `max_span_s` at most.
 
-    A group depends on the one before, and so runs through a trace in order. Traces are first cut at gaps longer than the span, where a
-    new group has to begin whatever came before; each stretch between such gaps is folded as an array.
+    A group depends on the one before, and so runs through a trace in order. A trace is cut into stretches of time (`slot_s` seconds, or SPANS spans),
+    a task each. What a stretch does to the group that is open when it begins is a step function of that group's limit, since chains of
+    groups that start close to one another soon run together: each task makes the function, these few numbers of a trace are composed in order, and
+    then each stretch is told its open group. Windows without a trace or a start are left out.
     """
-    seq = Window.partitionBy("trace_id").orderBy("start_ts", "end_ts", "evid")
-    cut = windows.withColumn("_gap", F.coalesce(_seconds(F.col("start_ts")) - _seconds(F.lag("start_ts").over(seq)) > max_span_s, F.lit(True)).cast("int"))
-    cut = cut.withColumn("_stretch", F.sum("_gap").over(seq.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct(F.unix_micros("start_ts").alias("s"), F.unix_micros("end_ts").alias("e"), "evid")
-    kept = cut.groupBy("trace_id", "_stretch").agg(F.sort_array(F.collect_list(item)).alias("w"))
-    zero = F.expr("named_struct('first', cast(null as bigint), 'last', cast(null as bigint), 'starts', cast(array() as array<bigint>))")
-    span = int(max_span_s * 1e6)
-
-    def fold(state: Column, x: Column) -> Column:
-        last = F.greatest(state["last"], x["e"])
-        joins = state["first"].isNotNull() & (last - state["first"] <= span)
-        first = F.when(joins, state["first"]).otherwise(x["s"])
-        return F.struct(first.alias("first"), F.when(joins, last).otherwise(x["e"]).alias("last"), F.array_append(state["starts"], first).alias("starts"))
-
-    told = kept.select("trace_id", F.col("w"), F.aggregate("w", zero, fold)["starts"].alias("firsts"))
-    rows = told.select("trace_id", F.explode(F.arrays_zip("w", "firsts")).alias("z")).select("trace_id", F.col("z.w.evid").alias("evid"), F.col("z.w.s").alias("s"), F.col("z.w.e").alias("e"), F.col("z.firsts").alias("g"))
-    w = Window.partitionBy("trace_id", "g")
-    return rows.select("trace_id", "evid", F.timestamp_micros("s").alias("start_ts"), F.timestamp_micros("e").alias("end_ts"), F.timestamp_micros("g").alias("group_start"), F.timestamp_micros(F.max("e").over(w)).alias("group_end"))
+    span = round(max_span_s * 1e6)
+    slot = max(1, round(slot_s * 1e6) if slot_s is not None else max(SPANS * span, 86_400_000_000))
+    rows = windows.where("trace_id is not null and start_ts is not null").select("trace_id", "evid", F.unix_micros("start_ts").alias("s"), F.unix_micros(F.greatest("start_ts", F.coalesce("end_ts", "start_ts"))).alias("e"))
+    rows = rows.withColumn("slot", F.floor(F.col("s") / F.lit(slot)).cast("bigint"))
+    keys = ("trace_id", "slot")
+
+    def ordered(table: pa.Table) -> tuple[pa.Table, list[int], list[int]]:
+        table = table.sort_by([("s", "ascending"), ("e", "ascending"), ("evid", "ascending")])
+        return table, table["s"].to_pylist(), table["e"].to_pylist()
+
+    def stepped(table: pa.Table) -> pa.Table:
+        _, starts, ends = ordered(table)
+        following, limits = _openers(starts, ends, span), _limits(starts, ends, span)
+        last = [0] * len(starts)
+        for i in reversed(range(len(starts))):
+            last[i] = last[following[i]] if following[i] < len(starts) else i
+        breaks, exits, top = [], [], None
+        for i, e in enumerate(ends):  # below the largest end so far, a window before this one opens the first group
+            if top is None or e > top:
+                if not exits or exits[-1] != limits[last[i]]:
+                    breaks.append(e)
+                    exits.append(limits[last[i]])
+                else:
+                    breaks[-1] = e
+                top = e
+        return pa.table({"trace_id": table["trace_id"][:1], "slot": table["slot"][:1], "breaks": pa.array([breaks], pa.list_(pa.int64())), "exits": pa.array([exits], pa.list_(pa.int64()))})
+
+    def composed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("slot")
+        limit, entries = -(1 << 62), []
+        for breaks, exits in zip(table["breaks"].to_pylist(), table["exits"].to_pylist(), strict=True):
+            entries.append(limit)
+            at = bisect.bisect_right(breaks, limit)
+            limit = exits[at] if at < len(breaks) else limit
+        return pa.table({"trace_id": table["trace_id"], "slot": table["slot"], "entry": pa.array(entries, pa.int64())})
+
+    def told(table: pa.Table, entry: pa.Table) -> pa.Table:
+        table, starts, ends = ordered(table)
+        limit = entry["entry"][0].as_py()
+        group = limit - span
+        firsts = []
+        for s, e in zip(starts, ends, strict=True):
+            if e > limit:
+                group, limit = s, s + span if e - s <= span else -(1 << 62)
+            firsts.append(group)
+        return pa.table({"trace_id": table["trace_id"], "evid": table["evid"], "s": table["s"], "e": table["e"], "g": pa.array(firsts, pa.int64())})
+
+    steps = rows.groupBy(*keys).applyInArrow(stepped, "trace_id string, slot bigint, breaks array<bigint>, exits array<bigint>")
+    entries = steps.groupBy("trace_id").applyInArrow(composed, "trace_id string, slot bigint, entry bigint")
+    found = rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(told, "trace_id string, evid string, s bigint, e bigint, g bigint")
+    end = F.max("e").over(Window.partitionBy("trace_id", "g"))
+    return found.select("trace_id", "evid", F.timestamp_micros("s").alias("start_ts"), F.timestamp_micros("e").alias("end_ts"), F.timestamp_micros("g").alias("group_start"), F.timestamp_micros(end).alias("group_end"))
 
 
 def slow_tasks(tasks: DataFrame, key: str, seconds: str, order: list[str], window: int = 256, least: int = 16, times: float = 10.0) -> DataFrame:
@@ -142,8 +222,28 @@ def slow_tasks(tasks: DataFrame, key: str, seconds: str, order: list[str], windo
 
 
 def decided(wanted: DataFrame, stored: DataFrame, state: DataFrame, now: Column, tolerance_s: float = 10.0) -> DataFrame:
-    """Requests with status: fetched if a stored window covers one, unavailable if its last failure still blocks it, else pending."""
+    """Requests with status: fetched if a stored window covers one, unavailable if a failure whose window covers it still blocks it, else pending.
+
+    A failure's window covers a request by the same rule as a stored one's; a failure without a window blocks its event's trace.
+    """
     found = covering(wanted, stored, tolerance_s)
-    blocked = state.where(skip_reason(now).isNotNull()).select("evid", "trace_id", F.lit(True).alias("_blocked"))
-    rows = found.join(blocked, ["evid", "trace_id"], "left")
+    t = F.expr(f"interval {int(tolerance_s * 1e6)} microseconds")
+    bad = state.where(skip_reason(now).isNotNull()).select(F.col("evid").alias("_e"), F.col("trace_id").alias("_t"), F.col("start_ts").alias("_s") if "start_ts" in state.columns else F.lit(None).cast("timestamp").alias("_s"), F.col("end_ts").alias("_z") if "end_ts" in state.columns else F.lit(None).cast("timestamp").alias("_z"))
+    near = F.col("_s").isNull() | ((F.col("_s") <= F.col("req_start") + t) & (F.col("_z") + t >= F.col("req_end")))
+    blocked = found.join(bad, (F.col("evid") == F.col("_e")) & (F.col("trace_id") == F.col("_t")) & near, "left_semi").select("evid", "trace_id", "req_start", "req_end", F.lit(True).alias("_blocked"))
+    rows = found.join(blocked, ["evid", "trace_id", "req_start", "req_end"], "left")
     return rows.withColumn("status", F.when(F.col("hit_start").isNotNull(), "fetched").when(F.col("_blocked"), "unavailable").otherwise("pending")).drop("_blocked")
+
+
+def pair_failures(pairs: DataFrame, catalog: DataFrame, status: str = "no_waveform", margin_s: float = 3600.0) -> DataFrame:
+    """Failure rows (evid, trace_id, start_ts, end_ts, last_error) for both events of pairs of that status: a window of `margin_s` on either side of the origin time, since the pair doesn't tell which one."""
+    bad = pairs.where(F.col("status") == status)
+    ends = bad.select(F.col("evid1").alias("evid"), "trace_id").unionAll(bad.select(F.col("evid2").alias("evid"), "trace_id")).distinct()
+    at = lambda s: F.timestamp_micros(F.unix_micros("orig_time") + F.lit(int(s * 1e6)))
+    return ends.join(catalog.select("evid", "orig_time"), "evid").select("evid", "trace_id", at(-margin_s).alias("start_ts"), at(margin_s).alias("end_ts"), F.lit(status).alias("last_error"))
+
+
+def readable(cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose trace can be read, one row with the numbers of these and of the others): a row without data, of another number of samples than told, or without a rate is a miss, not an error."""
+    good = F.coalesce((F.size("data") > 0) & (F.col("npts").isNull() | (F.size("data") == F.col("npts"))) & (F.col("sampling_rate") > 0), F.lit(False))
+    return cache.where(good), cache.agg(F.count_if(good).alias("hits"), F.count_if(~good).alias("read_errors"))

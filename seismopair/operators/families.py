@@ -27,21 +27,25 @@ def numbered(members: DataFrame, key: str = "time", origin: tuple[float, float]
     return members.join(ranked, "cluster")
 
 
-def summary(members: DataFrame, cfg: Config | None = None) -> DataFrame:
+def summary(members: DataFrame, cfg: Config | None = None, one_trace: bool = False) -> DataFrame:
     """One row per family: n, mean place, first and last time, duration in years, magnitudes, sums of slip and moment, slip rate.
 
-    The first event's slip is outside the rate, which is null for a duration of 0.
+    The first event's slip is outside the rate, which is null for a duration of 0. A family is valid if its last member is. With `one_trace`
+    a family on more than one trace is an error; else the column one_trace tells.
     """
     rows = members.withColumns({"_slip": slip.slip_cm(F.col("mag"), cfg), "_moment": slip.moment(F.col("mag"))})
     first = F.struct("orig_time", "evid")
     found = rows.groupBy("family_number").agg(
         F.count(F.lit(1)).alias("n"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.avg("depth_km").alias("depth_km"),
         F.min("orig_time").alias("start_time"), F.max("orig_time").alias("end_time"), F.min("mag").alias("mag_min"), F.max("mag").alias("mag_max"),
-        F.sum("_slip").alias("cumul_slip_cm"), F.sum("_moment").alias("cumul_moment"), F.min_by("_slip", first).alias("_first"), F.min("trace_id").alias("trace_id"), F.max("trace_id").alias("_other"), F.bool_and("valid").alias("valid"),
+        F.sum("_slip").alias("cumul_slip_cm"), F.sum("_moment").alias("cumul_moment"), F.min_by("_slip", first).alias("_first"), F.min("trace_id").alias("trace_id"), F.max("trace_id").alias("_other"), F.max_by("valid", first).alias("valid"),
     )
     years = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1e6 / _YEAR_S
     found = found.withColumn("duration_years", years)
     rate = F.try_divide(F.col("cumul_slip_cm") - F.col("_first"), F.when(F.col("duration_years") > 0, F.col("duration_years")))
+    mixed = F.raise_error(F.concat(F.lit("family "), F.col("family_number").cast("string"), F.lit(" has more than one trace: "), F.col("trace_id"), F.lit(" and "), F.col("_other")))
+    if one_trace:
+        found = found.withColumn("trace_id", F.when(F.coalesce(F.col("trace_id") != F.col("_other"), F.lit(False)), mixed).otherwise(F.col("trace_id")))
     return found.withColumn("slip_rate_cm_y", rate).withColumn("one_trace", F.col("trace_id") == F.col("_other")).drop("_first", "_other")
 
 
@@ -54,10 +58,10 @@ def distance_stats(members: DataFrame) -> DataFrame:
 
 
 def global_stats(summaries: DataFrame) -> DataFrame:
-    """One row over all families: their number, and sum, least, median, mean and largest of size and duration, and extreme magnitudes."""
+    """One row over all families: their number, and sum, least, median, mean and largest of size and duration, and extreme magnitudes; also the largest distances, if `summaries` have hdist_max and vdist_max."""
     days = F.col("duration_years") * 365
     return summaries.agg(
-        F.count(F.lit(1)).alias("families"), F.sum("n").alias("events"), F.min("n").alias("n_min"), F.median("n").alias("n_median"), F.avg("n").alias("n_mean"), F.max("n").alias("n_max"),
+        *([F.max(c).alias(c) for c in ("hdist_max", "vdist_max") if c in summaries.columns]), F.count(F.lit(1)).alias("families"), F.sum("n").alias("events"), F.min("n").alias("n_min"), F.median("n").alias("n_median"), F.avg("n").alias("n_mean"), F.max("n").alias("n_max"),
         F.min(days).alias("days_min"), F.median(days).alias("days_median"), F.avg(days).alias("days_mean"), F.max(days).alias("days_max"), F.min("mag_min").alias("mag_min"), F.max("mag_max").alias("mag_max"),
     )
 

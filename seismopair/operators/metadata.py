@@ -63,3 +63,8 @@ def at_time(rows: DataFrame, metadata: DataFrame, time: str = "orig_time") -> Da
     covers = (F.col("_try.id") == F.col("_id")) & (F.col("valid_from") <= F.col(time)) & (F.col("valid_to").isNull() | (F.col(time) < F.col("valid_to")))
     w = Window.partitionBy("_row").orderBy(F.col("_id").isNull(), F.col("_try.k"))
     return tries.join(m, covers, "left").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_row", "_try", "_id", "valid_from", "valid_to")
+
+
+def with_configured(stored: DataFrame, channels: DataFrame, trace_ids: list[str]) -> DataFrame:
+    """Metadata with rows for the configured traces too, whether or not a pair on them ever succeeds: those of the inventory's channels that aren't stored."""
+    return inserted(stored, from_channels(channels).where(F.col("trace_id").isin(trace_ids)).select(*stored.columns))

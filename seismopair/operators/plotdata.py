@@ -53,6 +53,22 @@ def colours(summaries: DataFrame, by: str, low: float | None = None, high: float
     return families.colour_scale(rows, "_shown", low, high).withColumn("shade", F.when(F.col("_shown").isNotNull(), F.col("shade"))).drop("_shown")
 
 
+def duration_colours(summaries: DataFrame) -> DataFrame:
+    """summaries with `duration` in the unit that suits the mean duration, `unit`, and the shade of that value."""
+    unit = families.duration_unit(F.col("_mean"))
+    rows = summaries.crossJoin(F.broadcast(summaries.agg(F.avg("duration_years").alias("_mean"))))  # one row
+    days = F.col("duration_years") * 365
+    value = F.when(F.col("unit") == "years", days / 365).when(F.col("unit") == "months", days / 30).when(F.col("unit") == "days", days).when(F.col("unit") == "hours", days * 24).otherwise(days * 1440)
+    told = rows.withColumn("unit", unit).withColumn("duration", value).drop("_mean")
+    return families.colour_scale(told, "duration")
+
+
+def first_families(members: DataFrame, most: int = 20) -> DataFrame:
+    """Members of the `most` families of smallest number: as many as a figure of traces shows."""
+    shown = members.select("family_number").distinct().orderBy("family_number").limit(most)
+    return members.join(F.broadcast(shown), "family_number", "left_semi")
+
+
 def boundaries(summaries: DataFrame) -> DataFrame:
     """bounds: whole numbers of events from the least to beyond the most, an odd count of them."""
     a, b = F.min("n"), F.max("n") + 1

@@ -2,53 +2,139 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from ..shared import is_small, small
+from ..functions import geo, traveltime
+from ..shared import SMALL, is_small
+
+#: Distances that a task holds at a time, and stations that are sent to all executors as one array at most.
+CELLS, STATIONS = 1 << 21, SMALL
 
 
-def ranked(events: DataFrame, stations: DataFrame, distance=geo.haversine_km) -> DataFrame:
-    """evid, trace_id, distance_km, rank: each event's stations, nearest first; ties go by trace_id.
+def _meeting(events: DataFrame, stations: DataFrame, columns: tuple[str, ...], kernel: Callable, schema: str) -> DataFrame:
+    """Rows that `kernel` makes of some events (a dictionary of arrays) and some stations (trace ids, latitudes, longitudes), for all of both.
 
-    Each event meets all stations. Few stations go to the events as one array, and ranks are made inside it, so nothing
-    is shuffled; many are joined and ranked by a window for each event. Events without a place have no station.
+    Up to STATIONS stations go to every executor once, and events meet them where they are. More are dealt to chunks of that size, events to
+    blocks, and each chunk meets each block in a task of its own.
+    """
+    place = stations.where("lat is not null and lon is not null").select("trace_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    rows = events.where("lat is not null and lon is not null").select(*columns)
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def made(batch, s: tuple) -> Iterator[pa.RecordBatch]:
+        some = max(1, CELLS // max(1, len(s[0])))
+        for at in range(0, batch.num_rows, some):
+            part = batch.slice(at, some)
+            own = {c: (part.column(c).to_numpy() if isinstance(part, pa.Table) else part.column(c).to_numpy(zero_copy_only=False)) for c in columns}
+            yield from kernel(own, *s)
+
+    if is_small(place, STATIONS):
+        table = place.orderBy("trace_id").toArrow()  # STATIONS rows at most
+        held = events.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("trace_id", "lat", "lon")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from made(batch, held.value)
+
+        return rows.mapInArrow(run, schema)
+    chunks = -(-place.count() // STATIONS)
+    blocks = max(1, rows.count() // STATIONS)
+    left = rows.withColumn("_block", F.pmod(F.xxhash64("evid"), F.lit(blocks))).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    right = place.withColumn("_chunk", F.pmod(F.xxhash64("trace_id"), F.lit(chunks)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        two = two.sort_by("trace_id")
+        found = list(made(one, tuple(two[c].to_numpy() for c in ("trace_id", "lat", "lon")))) if one.num_rows and two.num_rows else []
+        kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
+        return pa.Table.from_batches(found) if found else pa.table({n: pa.array([], kinds[x.split(" ")[1]]) for n, x in zip(names, schema.split(", "), strict=True)})
+
+    return left.groupBy("_chunk", "_block").cogroup(right.groupBy("_chunk", "_block")).applyInArrow(meet, schema)
+
+
+def _orders(km: np.ndarray, k: int | None) -> np.ndarray:
+    """The places of each row's k least values (all, if None) in order; ties go to the first."""
+    if k is None or k >= km.shape[1]:
+        return np.argsort(km, axis=1, kind="stable")
+    bound = np.partition(km, k - 1, axis=1)[:, k - 1 : k]
+    # of those at the bound itself the first ones stay
+    own = np.argsort(np.where(km <= bound, km, np.inf), axis=1, kind="stable") if k > 64 else None
+    if own is not None:
+        return own[:, :k]
+    out, left = np.empty((len(km), k), np.int64), km.copy()
+    for i in range(k):
+        out[:, i] = left.argmin(1)
+        left[np.arange(len(km)), out[:, i]] = np.inf
+    return out
+
+
+def rankings(events: DataFrame, stations: DataFrame, k: int | None = None, distance: Callable = geo.ellipsoid_km) -> DataFrame:
+    """evid, trace_ids, distances_km: each event's stations (the k nearest, if given), nearest first; ties go by trace_id.
+
+    Distances are on the WGS84 ellipsoid, or as the function on arrays tells them. Events, and stations, without a place take no part. An
+    event in two rows is ranked twice.
     """
-    if not is_small(stations):
-        s = stations.select("trace_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-        rows = events.where("lat is not null and lon is not null").select("evid", "lat", "lon").crossJoin(s)
-        rows = rows.withColumn("distance_km", distance(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
-        w = Window.partitionBy("evid").orderBy("distance_km", "trace_id")
-        return rows.select("evid", "trace_id", "distance_km", F.row_number().over(w).alias("rank"))
-    near = stations.select(F.struct("trace_id", "lat", "lon").alias("s")).agg(F.collect_list("s").alias("_stations"))  # one row
-    rows = events.where("lat is not null and lon is not null").select("evid", "lat", "lon").crossJoin(F.broadcast(near))
-    told = F.sort_array(F.transform("_stations", lambda s: F.struct(distance(F.col("lat"), F.col("lon"), s["lat"], s["lon"]).alias("distance_km"), s["trace_id"].alias("trace_id"))))
-    return rows.select("evid", F.posexplode(told).alias("rank", "s")).select("evid", "s.trace_id", "s.distance_km", (F.col("rank") + 1).alias("rank"))
 
+    def kernel(event: dict, trace: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> Iterator[pa.RecordBatch]:
+        km = distance(event["lat"].astype(float)[:, None], event["lon"].astype(float)[:, None], lat[None], lon[None])
+        order = _orders(km, k)
+        cut = pa.array(np.arange(len(km) + 1, dtype=np.int32) * order.shape[1])
+        lists = [pa.ListArray.from_arrays(cut, v) for v in (pa.DictionaryArray.from_arrays(pa.array(order.ravel().astype(np.int32)), pa.array(trace, pa.string())).dictionary_decode(), pa.array(np.take_along_axis(km, order, axis=1).ravel()))]
+        yield pa.RecordBatch.from_arrays([pa.array(event["evid"], pa.string()), *lists], names=["evid", "trace_ids", "distances_km"])
+
+    found = _meeting(events, stations, ("evid", "lat", "lon"), kernel, "evid string, trace_ids array<string>, distances_km array<double>")
+    if is_small(stations, STATIONS):
+        return found
+    both = F.arrays_zip(F.col("distances_km").alias("km"), F.col("trace_ids").alias("id"))
+    every = found.groupBy("evid").agg(F.array_sort(F.flatten(F.collect_list(both))).alias("s"))
+    told = every.select("evid", (F.slice("s", 1, k) if k is not None else F.col("s")).alias("s"))
+    return told.select("evid", F.col("s.id").alias("trace_ids"), F.col("s.km").alias("distances_km"))
+
+
+def ranked(events: DataFrame, stations: DataFrame, k: int | None = None, distance: Callable = geo.ellipsoid_km) -> DataFrame:
+    """evid, trace_id, distance_km, rank from 1: `rankings`, a row for each event and station."""
+    told = rankings(events, stations, k, distance)
+    rows = told.select("evid", F.posexplode(F.arrays_zip(F.col("trace_ids").alias("trace_id"), F.col("distances_km").alias("distance_km"))).alias("rank", "s"))
+    return rows.select("evid", "s.trace_id", "s.distance_km", (F.col("rank") + 1).alias("rank"))
 
-def nearest(events: DataFrame, stations: DataFrame) -> DataFrame:
-    return ranked(events, stations).where("rank = 1").drop("rank")
+
+def nearest(events: DataFrame, stations: DataFrame, distance: Callable = geo.ellipsoid_km) -> DataFrame:
+    return ranked(events, stations, 1, distance).drop("rank")
 
 
 def with_fallback(pairs: DataFrame, ranks: DataFrame, waveforms: DataFrame) -> DataFrame:
-    """Each pair with the first event's nearest trace for which both events have a waveform; status no_waveform if there is none."""
-    tried = pairs.join(ranks.select(F.col("evid").alias("evid1"), "trace_id", "rank"), "evid1")
+    """Each pair with the first event's nearest trace for which both events have a waveform; status no_waveform if there is none.
+
+    `ranks` has evid, trace_id, rank. Each event's traces travel as one array, so that a pair is one row throughout.
+    """
     have = waveforms.select("evid", "trace_id").distinct()
-    for k in (1, 2):
-        tried = tried.join(have.withColumnRenamed("evid", f"evid{k}"), [f"evid{k}", "trace_id"], "left_semi")
-    best = tried.groupBy("evid1", "evid2").agg(F.min_by("trace_id", "rank").alias("trace_id"))
-    return pairs.join(best, ["evid1", "evid2"], "left").withColumn("status", F.when(F.col("trace_id").isNull(), "no_waveform").otherwise("ok"))
+    order = have.join(ranks.select("evid", "trace_id", "rank"), ["evid", "trace_id"]).groupBy("evid").agg(F.sort_array(F.collect_list(F.struct("rank", "trace_id"))).alias("s"))
+    first = order.select(F.col("evid").alias("evid1"), F.col("s.trace_id").alias("_one"))
+    second = have.groupBy("evid").agg(F.collect_set("trace_id").alias("_two")).withColumnRenamed("evid", "evid2")
+    both = pairs.join(first, "evid1", "left").join(second, "evid2", "left")
+    found = both.withColumn("trace_id", F.get(F.array_intersect("_one", "_two"), F.lit(0))).drop("_one", "_two")
+    return found.select(*pairs.columns, "trace_id").withColumn("status", F.when(F.col("trace_id").isNull(), "no_waveform").otherwise("ok"))
 
 
 def extremes(events: DataFrame, stations: DataFrame) -> DataFrame:
-    """For each trace the events of least and largest hypocentral distance: near_evid, near_km, far_evid, far_km."""
-    s = stations.select("trace_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    rows = events.where("lat is not null and lon is not null").select("evid", "lat", "lon", "depth_km").crossJoin(small(s))
-    km = geo.hypocentral_km(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), F.coalesce("depth_km", F.lit(0.0)))
-    far = lambda c: F.struct(c, F.col("evid"))
-    rows = rows.withColumn("_km", km)
-    return rows.groupBy("trace_id").agg(F.min(far(F.col("_km"))).alias("a"), F.max(far(F.col("_km"))).alias("b")).select("trace_id", F.col("a.evid").alias("near_evid"), F.col("a._km").alias("near_km"), F.col("b.evid").alias("far_evid"), F.col("b._km").alias("far_km"))
+    """For each trace the events of least and largest hypocentral distance: near_evid, near_km, far_evid, far_km; ties go by evid, the smaller for the nearest, the larger for the furthest."""
+
+    def kernel(event: dict, trace: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(event["evid"].astype(str), kind="stable")
+        evid, lat1, lon1, depth = (event[c][order] for c in ("evid", "lat", "lon", "depth_km"))
+        depth = np.maximum(np.nan_to_num(depth.astype(float)), 0)
+        km = np.hypot(geo.sphere_km(lat1.astype(float)[:, None], lon1.astype(float)[:, None], lat[None], lon[None]), depth[:, None])
+        near, far = km.argmin(0), len(km) - 1 - km[::-1].argmax(0)
+        at = np.arange(len(trace))
+        yield pa.RecordBatch.from_arrays([pa.array(trace, pa.string()), pa.array(evid[near], pa.string()), pa.array(km[near, at]), pa.array(evid[far], pa.string()), pa.array(km[far, at])], names=["trace_id", "near_evid", "near_km", "far_evid", "far_km"])
+
+    some = _meeting(events, stations, ("evid", "lat", "lon", "depth_km"), kernel, "trace_id string, near_evid string, near_km double, far_evid string, far_km double")
+    best = some.groupBy("trace_id").agg(F.min(F.struct("near_km", "near_evid")).alias("a"), F.max(F.struct("far_km", "far_evid")).alias("b"))
+    return best.select("trace_id", "a.near_evid", "a.near_km", "b.far_evid", "b.far_km")
 
 
 def travel_seconds(distance_km: Column, speed_km_s: float) -> Column:
@@ -73,11 +159,33 @@ def table_seconds(distance_km: Column, depth_km: Column, distances: list[float],
     return (1 - b) * ((1 - a) * cell(j, i) + a * cell(j, i + 1)) + b * ((1 - a) * cell(j + 1, i) + a * cell(j + 1, i + 1))
 
 
-def standard_offsets(events: DataFrame, stations: DataFrame, speed_km_s: float = 6.0) -> DataFrame:
-    """trace_id, p_min_s, p_max_s: P times of the nearest and the furthest event."""
+def standard_offsets(events: DataFrame, stations: DataFrame, speed_km_s: float | None = None) -> DataFrame:
+    """trace_id, p_min_s, p_max_s: P times of the nearest and the furthest event, in the ak135 model, or along straight rays if a speed is given. A trace without a P time for either is left out."""
     e = extremes(events, stations)
-    near, far = travel_seconds(F.col("near_km"), speed_km_s), travel_seconds(F.col("far_km"), speed_km_s)
-    return e.select("trace_id", F.least(near, far).alias("p_min_s"), F.greatest(near, far).alias("p_max_s"))
+    if speed_km_s is not None:
+        near, far = travel_seconds(F.col("near_km"), speed_km_s), travel_seconds(F.col("far_km"), speed_km_s)
+    else:
+        place = stations.select("trace_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+        e = e.join(place, "trace_id")
+        for end in ("near", "far"):
+            e = e.join(events.select(F.col("evid").alias(f"{end}_evid"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"), F.coalesce("depth_km", F.lit(0.0)).alias("_z")), f"{end}_evid")
+            degrees = geo.haversine_km(F.col("_la"), F.col("_lo"), F.col("_lat"), F.col("_lon")) / (geo.EARTH_KM * np.pi / 180)
+            e = e.withColumn(f"{end}_s", traveltime.travel_seconds(degrees, F.col("_z"))).drop("_la", "_lo", "_z")
+        near, far = F.col("near_s"), F.col("far_s")
+    told = e.select("trace_id", F.least(near, far).alias("p_min_s"), F.greatest(near, far).alias("p_max_s"))
+    return told.where("p_min_s is not null and p_max_s is not null")
+
+
+def arrivals(rows: DataFrame, stations: DataFrame) -> DataFrame:
+    """rows (evid, trace_id, orig_time, lat, lon, depth_km) with distance_km on WGS84, distance_deg, p_s and s_s after the origin, and p_time and s_time, in the ak135 model; null where a place is missing or out of the model's reach."""
+    place = stations.select("trace_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    met = rows.join(place, "trace_id", "left")
+    degrees = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) / (geo.EARTH_KM * np.pi / 180)
+    depth = F.coalesce("depth_km", F.lit(0.0))
+    told = met.withColumns({"distance_km": geo.geodesic_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), "distance_deg": degrees})
+    told = told.withColumns({"p_s": traveltime.travel_seconds(F.col("distance_deg"), depth, "P"), "s_s": traveltime.travel_seconds(F.col("distance_deg"), depth, "S")})
+    at = lambda s: F.timestamp_micros(F.unix_micros("orig_time") + F.round(s * 1e6).cast("bigint"))
+    return told.withColumns({"p_time": at(F.col("p_s")), "s_time": at(F.col("s_s"))}).drop("_lat", "_lon")
 
 
 def duplicated(stations: DataFrame) -> DataFrame:

@@ -10,17 +10,23 @@ from ..functions import signal, units
 from ..operators import families, graph, pairs, stations, templates
 
 
-def scan_catalog(catalog: DataFrame, waveforms: DataFrame, cfg: Config | None = None, existing: DataFrame | None = None) -> DataFrame:
+def scan_catalog(catalog: DataFrame, waveforms: DataFrame, cfg: Config | None = None, existing: DataFrame | None = None, station_rows: DataFrame | None = None) -> DataFrame:
     """Pairs within the search range, correlated: evid1, evid2, trace_id, lag_samples, cc_x100, sampling_rate_hz, status.
 
     Pairs that are stored already are left out before any waveform is read. Each trace is demeaned, tapered and passed through the
-    band from cc_freq_min to cc_freq_max once, before pairs meet it. `catalog` has the trace that each event is looked up on.
+    band from cc_freq_min to cc_freq_max once, before pairs meet it. `catalog` has the trace that each event is looked up on; with
+    `station_rows` (trace_id, lat, lon) a pair is looked up on the first event's nearest trace that both events have a waveform on.
     """
     cfg = cfg or Config()
-    found = pairs.radius_pairs(catalog, cfg.catalog_search_range, carry=("trace_id",)).withColumnRenamed("trace_id1", "trace_id").drop("trace_id2")
+    carry = ("trace_id",) if station_rows is None else ()
+    found = pairs.radius_pairs(catalog, cfg.catalog_search_range, carry=carry)
+    found = found.withColumnRenamed("trace_id1", "trace_id").drop("trace_id2")
     if existing is not None:
         found = pairs.without_existing(found, existing)
     traces = waveforms.select("evid", "trace_id", "sampling_rate", "data")
+    if station_rows is not None:
+        own = station_rows if not cfg.catalog_trace_ids else station_rows.where(F.col("trace_id").isin(*cfg.catalog_trace_ids))
+        found = stations.with_fallback(found, stations.ranked(catalog, own), traces.where(F.size("data") > 0)).drop("status")
     return correlate(pairs.with_waveforms(found, signal.conditioned_traces(traces, "data", "sampling_rate", cfg.cc_freq_min, cfg.cc_freq_max)), cfg)
 
 
@@ -50,22 +56,37 @@ def build_families(pair_rows: DataFrame, catalog: DataFrame, cfg: Config | None
     return families.numbered(members, cfg.sort_families_by, origin)
 
 
-def build_templates(members: DataFrame, waveforms: DataFrame, lags: int | None = None, cfg: Config | None = None) -> DataFrame:
-    """One stacked template for each family and trace: aligned within `lags` samples, or cc_max_shift seconds, then averaged, with the family's mean place."""
-    rows = members.join(waveforms.select("evid", "trace_id", "sampling_rate", "data"), ["evid", "trace_id"])
-    moved = templates.aligned(rows, lags, cfg=cfg or Config())
-    stack = templates.stacked(moved)
+def build_templates(members: DataFrame, waveforms: DataFrame, lags: int | None = None, cfg: Config | None = None, station_rows: DataFrame | None = None) -> DataFrame:
+    """One stacked template for each family and trace: aligned within `lags` samples, or cc_max_shift seconds, then averaged, with the family's mean place, and the mean P and S times after the traces' starts.
+
+    With `station_rows` a trace's P and S times are those of the ak135 model, and travel_s is the P time from the family's mean place; without, P lies
+    cc_pre_P after a trace's start, where windows are cut, and the others are null.
+    """
+    cfg = cfg or Config()
+    rows = members.join(waveforms.select("evid", "trace_id", "sampling_rate", "data", *([c for c in ("start_ts",) if c in waveforms.columns])), ["evid", "trace_id"])
+    if station_rows is not None and "start_ts" in rows.columns:
+        rows = stations.arrivals(rows, station_rows)
+        after = lambda c: (F.unix_micros(c) - F.unix_micros("start_ts")) / 1e6
+        rows = rows.withColumns({"p_offset_s": F.coalesce(after("p_time"), F.lit(cfg.cc_pre_P)), "s_offset_s": after("s_time")})
+    else:
+        rows = rows.withColumns({"p_offset_s": F.lit(float(cfg.cc_pre_P)), "s_offset_s": F.lit(None).cast("double")})
+    moved = templates.aligned(rows, lags, cfg=cfg)
+    stack = templates.stacked(moved, offsets=("p_offset_s", "s_offset_s"))
     place = members.groupBy("family_number").agg(F.min("trace_id").alias("trace_id"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.avg("depth_km").alias("depth_km"))
-    return stack.join(place, "family_number").withColumn("p_offset_s", F.lit(0.0))
+    told = stack.join(place, "family_number")
+    if station_rows is None:
+        return told.withColumn("travel_s", F.lit(None).cast("double"))
+    far = stations.arrivals(told.withColumn("orig_time", F.lit("1970-01-01").cast("timestamp")), station_rows)
+    return far.withColumn("travel_s", F.col("p_s")).drop("orig_time", "distance_km", "distance_deg", "p_s", "s_s", "p_time", "s_time")
 
 
-def prefetch_plan(catalog: DataFrame, station_rows: DataFrame, cfg: Config | None = None, max_span_s: float = 3600.0, evids: DataFrame | None = None, max_events: int | None = None) -> DataFrame:
-    """Windows to download, grouped into requests of bounded span."""
+def prefetch_plan(catalog: DataFrame, station_rows: DataFrame, cfg: Config | None = None, max_span_s: float = 3600.0, evids: DataFrame | None = None, max_events: int | None = None, speed_km_s: float | None = None) -> DataFrame:
+    """Windows to download, grouped into requests of bounded span; P times are those of the ak135 model, or along straight rays if a speed is given."""
     from ..operators import cache
 
     cfg = cfg or Config()
     chosen = catalog if evids is None else catalog.join(evids, "evid", "left_semi")
     if max_events is not None:
         chosen = chosen.orderBy("orig_time", "evid").limit(max_events)
-    wanted = cache.requests(chosen, stations.standard_offsets(catalog, station_rows), cfg.cc_pre_P, cfg.cc_trace_length)
+    wanted = cache.requests(chosen, stations.standard_offsets(catalog, station_rows, speed_km_s), cfg.cc_pre_P, cfg.cc_trace_length)
     return cache.grouped(wanted, max_span_s)

@@ -70,11 +70,11 @@ def catalog_dedup_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.deduplicated(fx.catalog(spark, sf), ["user_id", "trace_id"], [F.col("orig_time"), F.col("evid")]).select("evid", us("orig_time").alias("t_us"), "trace_id")
 
 
-@query(f"{CAT}, b AS (SELECT *, 1 AS src FROM cat WHERE event_id % 2 = 0 UNION ALL SELECT * REPLACE (orig_time + INTERVAL 1 HOUR AS orig_time), 2 AS src FROM cat WHERE event_id % 3 = 0) SELECT evid, epoch_us(orig_time) AS t_us FROM (SELECT *, row_number() OVER (PARTITION BY evid ORDER BY src, orig_time) AS k FROM b) WHERE k = 1")
+@query(f"{CAT}, b AS (SELECT *, 1 AS src FROM cat WHERE mag >= 2.5 UNION ALL SELECT * REPLACE (orig_time + INTERVAL 1 HOUR AS orig_time), 2 AS src FROM cat) SELECT evid, epoch_us(orig_time) AS t_us FROM (SELECT *, row_number() OVER (PARTITION BY evid ORDER BY src, orig_time) AS k FROM b) WHERE k = 1")
 def catalog_append_existing_wins(spark: SparkSession, sf: str) -> DataFrame:
     c = fx.catalog(spark, sf)
-    new = c.where("event_id % 3 = 0").withColumn("orig_time", F.col("orig_time") + F.expr("interval 1 hour"))
-    return catalog.appended(c.where("event_id % 2 = 0"), new).select("evid", us("orig_time").alias("t_us"))
+    new = c.withColumn("orig_time", F.col("orig_time") + F.expr("interval 1 hour"))
+    return catalog.appended(c.where("mag >= 2.5"), new).select("evid", us("orig_time").alias("t_us"))
 
 
 @query(f"{CAT} SELECT evid, CAST(epoch(date_trunc('second', orig_time)) AS BIGINT) AS t_s, round(lat, 4) AS lat, round(depth_km, 4) AS depth_km, round(mag, 6) AS mag FROM cat")
@@ -131,7 +131,7 @@ def pair_reduction_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{CAT}, {_PAIRS} SELECT evid1, evid2 FROM rp WHERE NOT ((CAST(substr(evid1, 3) AS BIGINT) + CAST(substr(evid2, 3) AS BIGINT)) % 3 = 0)")
 def pair_resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    near = pairs.radius_pairs(fx.catalog(spark, sf), RADIUS).select("evid1", "evid2")
+    near = stage(pairs.radius_pairs(fx.catalog(spark, sf), RADIUS).select("evid1", "evid2"), "near")
     number = lambda c: F.substring(c, 3, 7).cast("bigint")
     done = near.where((number("evid1") + number("evid2")) % 3 == 0).select(F.col("evid2").alias("evid1"), F.col("evid1").alias("evid2"))
     return pairs.without_existing(near, done)
@@ -139,12 +139,14 @@ def pair_resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{CAT}, {fx.STATIONS}, d AS (SELECT cat.evid, sta.trace_id, {km('cat.', 'sta.')} AS km FROM cat, sta WHERE event_id % 97 <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY evid ORDER BY km, trace_id) AS rank FROM d) SELECT evid, trace_id, round(km, 4) AS distance_km FROM k WHERE rank = 1")
 def event_nearest_station(spark: SparkSession, sf: str) -> DataFrame:
-    return stations.nearest(fx.catalog(spark, sf, unlocated=True), fx.stations(spark, sf)).select("evid", "trace_id", r("distance_km").alias("distance_km"))
+    return stations.nearest(fx.catalog(spark, sf, unlocated=True), fx.stations(spark, sf), geo.sphere_km).select("evid", "trace_id", r("distance_km").alias("distance_km"))
 
 
-@query(f"{CAT}, {fx.STATIONS}, d AS (SELECT cat.evid, sta.trace_id, {km('cat.', 'sta.')} AS km FROM cat, sta), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY evid ORDER BY km, trace_id) AS INTEGER) AS rank FROM d) SELECT evid, rank, trace_id FROM k WHERE rank <= 5")
+@query(f"{CAT}, {fx.STATIONS}, d AS (SELECT cat.evid, sta.trace_id, {km('cat.', 'sta.')} AS km FROM cat, sta) SELECT evid, count(*) AS n, arg_min(trace_id, (km, trace_id)) AS nearest, round(max(km), 4) AS furthest_km, md5(string_agg(trace_id, ' ' ORDER BY km, trace_id)) AS ranking FROM d GROUP BY 1")
 def event_station_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    return stations.ranked(fx.catalog(spark, sf), fx.stations(spark, sf)).where("rank <= 5").select("evid", "rank", "trace_id")
+    """All stations of each event in order, as a digest of the whole ranking."""
+    told = stations.rankings(fx.catalog(spark, sf), fx.stations(spark, sf), distance=geo.sphere_km)
+    return told.select("evid", F.size("trace_ids").cast("bigint").alias("n"), F.get("trace_ids", F.lit(0)).alias("nearest"), r(F.element_at("distances_km", -1)).alias("furthest_km"), F.md5(F.array_join("trace_ids", " ").cast("binary")).alias("ranking"))
 
 
 @query(f"{CAT}, {fx.STATIONS}, d AS (SELECT cat.evid, sta.trace_id, sqrt(pow({km('cat.', 'sta.')}, 2) + pow(greatest(depth_km, 0.0), 2)) AS km FROM cat, sta) SELECT trace_id, arg_min(evid, (km, evid)) AS near_evid, round(min(km), 4) AS near_km, arg_max(evid, (km, evid)) AS far_evid, round(max(km), 4) AS far_km FROM d GROUP BY 1")
@@ -202,11 +204,11 @@ def pair_upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.upserted(stored, new).select("evid1", "evid2", "trace_id", "cc_x100")
 
 
-@query(f"{CCSQL} SELECT evid1, evid2, {_X100} AS cc_x100, round({_X100} / 100.0::DOUBLE, 2) AS cc FROM cc WHERE {_X100} >= 28 AND {_X100} <= 40")
+@query(f"{CCSQL} SELECT evid1, evid2, {_X100} AS cc_x100, round({_X100} / 100.0::DOUBLE, 2) AS cc FROM cc WHERE {_X100} >= ceil(0.28::DOUBLE * 100) AND {_X100} <= floor(0.40::DOUBLE * 100)")
 def pair_cc_filter_encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """0.28 * 100 is a little over 28 in double arithmetic, so that its ceiling is 29."""
     coded = correlated(spark, sf).select("evid1", "evid2", units.encode_cc(F.col("cc")).alias("cc_x100"))
-    # 0.28 * 100 is a little over 28 in double arithmetic, and its ceiling 29, so the bound is given a step lower
-    return coded.where(units.cc_between(F.col("cc_x100"), 0.275, 0.40)).select("evid1", "evid2", "cc_x100", F.round(units.decode_cc(F.col("cc_x100")), 2).alias("cc"))
+    return coded.where(units.cc_between(F.col("cc_x100"), 0.28, 0.40)).select("evid1", "evid2", "cc_x100", F.round(units.decode_cc(F.col("cc_x100")), 2).alias("cc"))
 
 
 def viewed(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,10 +318,7 @@ def family_color_scale(spark: SparkSession, sf: str) -> DataFrame:
     return families.colour_scale(families.summary(members(spark, sf)), "duration_years").select("family_number", r("shade", 6).alias("shade"), "shade_class")
 
 
-_M0 = "pow(10.0, 1.5 * (mag + 10.7))"
-
-
-@query(f"{CAT} SELECT evid, round({_SLIP}, 6) AS nj1998, round(3e7 * (pow({_M0} / 3e7, 1.0::DOUBLE / 3) / (1.81 * 3e11) + 1 / 5e6), 6) AS b2001, round(100 * {_MOMENT} / (3e10 * pi() * pow(0.4375 * {_MOMENT} / 3e6, 2.0::DOUBLE / 3)), 6) AS e1957, round(log10({_MOMENT}), 6) AS log_moment FROM cat")
+@query(f"{CAT} SELECT evid, round({_SLIP}, 6) AS nj1998, round(3.0::DOUBLE * (pow({_MOMENT} / 3.0::DOUBLE, 1.0::DOUBLE / 3) / (1.81::DOUBLE * 30000) + 1 / 0.5::DOUBLE), 6) AS b2001, round(100 * {_MOMENT} / (3e10 * pi() * pow(0.4375 * {_MOMENT} / 3e6, 2.0::DOUBLE / 3)), 6) AS e1957, round(log10({_MOMENT}), 6) AS log_moment FROM cat")
 def slip_models(spark: SparkSession, sf: str) -> DataFrame:
     models = {"nj1998": "NJ1998", "b2001": "B2001", "e1957": "E1957"}
     return fx.catalog(spark, sf).select("evid", *(r(slip.slip_cm(F.col("mag"), Config(mag_to_slip_model=m)), 6).alias(n) for n, m in models.items()), r(F.log10(slip.moment(F.col("mag"))), 6).alias("log_moment"))
@@ -337,12 +336,58 @@ def align_to_reference(spark: SparkSession, sf: str) -> DataFrame:
     return templates.aligned(rows, 3).select("family_number", "evid", "shift", r("cc_mean").alias("cc_mean"))
 
 
-@query()
+def _number(v: float) -> str:
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
+
+
+def filter_sql(low: float, high: float, rate: float, n: int = 64) -> str:
+    """Tables tp (tapered traces) and flt (one row for each sample, y filtered): the recursion of second-order sections, all sections a sample."""
+    sos = signal.sections(low, high, rate)
+    weights = ", ".join(_number(float(v)) for v in signal.taper(n))
+    chain, states = "", ""
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+        chain += f", LATERAL (SELECT {_number(b0)} * v{k} + s{k} AS v{k + 1}) l{k}"
+        states += f", {_number(b1)} * v{k} - {_number(a1)} * v{k + 1} + u{k} AS s{k}, {_number(b2)} * v{k} - {_number(a2)} * v{k + 1} AS u{k}"
+    last = f"v{len(sos)}"
+    zeros = "".join(f", CAST(0 AS DOUBLE) AS s{k}, CAST(0 AS DOUBLE) AS u{k}" for k in range(len(sos)))
+    return f"""tp AS (SELECT evid, trace_id, [{weights}] AS w, list_transform(list_zip(d, w), lambda z: z[1] * z[2]) AS x FROM wf),
+ flt AS (SELECT evid, trace_id, 0 AS i, CAST(0 AS DOUBLE) AS y{zeros} FROM tp UNION ALL SELECT evid, trace_id, i, {last} AS y{states} FROM (SELECT flt.* REPLACE (flt.i + 1 AS i), tp.x[flt.i + 1] AS v0 FROM flt JOIN tp USING (evid, trace_id) WHERE flt.i < {n}) f{chain})"""
+
+
+@query(f"WITH RECURSIVE {fx.WAVEFORMS}, {filter_sql(0.05, 0.2, 1.0)} SELECT evid, round(sum(y * y), 6) AS energy FROM flt WHERE i > 0 GROUP BY 1")
 def bandpass_filter(spark: SparkSession, sf: str) -> DataFrame:
     rows = signal.bandpassed(fx.waveforms(spark, sf).select("evid", "data"), "data", 0.05, 0.2, 1.0)
     return rows.select("evid", r(signal.energy(F.col("data")), 6).alias("energy"))
 
 
+#: Traces taken at 100 Hz, from 2 to 30 Hz, and lags of up to 0.2 s: 20 samples.
+FAST = Config(catalog_search_range=100.0, cc_freq_min=2.0, cc_freq_max=30.0, cc_max_shift=0.2)
+_FAST_LAGS = f"""fd AS (SELECT evid, trace_id, list(y ORDER BY i) AS f FROM flt WHERE i > 0 GROUP BY 1, 2), fe AS (SELECT evid, trace_id, list_transform(f, lambda v: v - list_avg(f)) AS d FROM fd),
+ cl AS (SELECT a.evid AS evid1, b.evid AS evid2, a.trace_id, lag, CASE WHEN lag >= 0 THEN list_inner_product(a.d[1 + lag:64], b.d[1:64 - lag]) ELSE list_inner_product(a.d[1:64 + lag], b.d[1 - lag:64]) END / sqrt(list_inner_product(a.d, a.d) * list_inner_product(b.d, b.d)) AS c FROM fe a JOIN fe b ON a.trace_id = b.trace_id AND {{order}}, range(-20, 21) g(lag)),
+ ct AS (SELECT evid1, evid2, trace_id, max(c) AS top FROM cl GROUP BY ALL),
+ cx AS (SELECT evid1, evid2, trace_id, CAST(arg_min(lag, (abs(lag), lag)) AS INTEGER) AS lag_samples, CAST(round_even(max(c) * 100, 0) AS INTEGER) AS cc_x100 FROM cl JOIN ct USING (evid1, evid2, trace_id) WHERE c >= top - 1e-12 GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {fx.WAVEFORMS}, {filter_sql(2.0, 30.0, 100.0)}, {_FAST_LAGS.format(order='a.evid < b.evid')} SELECT * FROM cx")
+def pair_crosscorr_100hz(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of traces at 100 Hz, band-passed, whose best lags lie up to 20 samples off."""
+    rows = fx.waveforms(spark, sf).withColumn("sampling_rate", F.lit(100.0))
+    ready = signal.conditioned_traces(rows.select("evid", "trace_id", "sampling_rate", "data"), "data", "sampling_rate", FAST.cc_freq_min, FAST.cc_freq_max)
+    one, two = (ready.select(F.col("evid").alias(f"evid{k}"), "trace_id", F.col("data").alias(f"data{k}"), F.col("sampling_rate").alias(f"rate{k}")) for k in (1, 2))
+    met = one.join(two, "trace_id").where("evid1 < evid2").withColumns({"status": F.lit("ok"), "sampling_rate_hz": F.col("rate1")})
+    return pipelines.correlate(met, FAST).select("evid1", "evid2", "trace_id", "lag_samples", "cc_x100")
+
+
+@query(f"""WITH RECURSIVE {fx.WAVEFORMS}, {fx.WAVE_EVENTS}, {filter_sql(2.0, 30.0, 100.0)}, {_FAST_LAGS.format(order='a.evid <> b.evid')},
+ rp AS (SELECT a.evid AS evid1, b.evid AS evid2, a.trace_id, a.trace_id = b.trace_id AS same FROM we a JOIN we b ON (a.t < b.t OR (a.t = b.t AND a.evid < b.evid)) WHERE {km()} <= 100.0)
+ SELECT rp.evid1, rp.evid2, rp.trace_id, CASE WHEN same THEN 'ok' ELSE 'no_waveform' END AS status, lag_samples, cc_x100 FROM rp LEFT JOIN cx ON cx.evid1 = rp.evid1 AND cx.evid2 = rp.evid2""")
+def scan_catalog_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole catalog scan at 100 Hz: pairs in range, each trace conditioned once, correlations where both events have the first one's trace."""
+    waves = fx.waveforms(spark, sf).withColumn("sampling_rate", F.lit(100.0))
+    found = pipelines.scan_catalog(fx.wave_events(spark, sf), waves, FAST)
+    return found.select("evid1", "evid2", "trace_id", "status", "lag_samples", "cc_x100")
+
+
 # ---- stored waveforms and downloads ----------------------------------------------
 
 
@@ -356,10 +401,10 @@ def wfcache_top_traces(spark: SparkSession, sf: str) -> DataFrame:
     return cache.top_traces(fx.cache(spark, sf))
 
 
-@query(f"{CAT}, {fx.CACHE}, rq AS (SELECT 'u' || user_id AS evid, trace_id, epoch_us(orig_time) + 5000000 AS q, epoch_us(orig_time) + 55000000 AS z FROM cat WHERE event_id % 3 = 0 GROUP BY ALL) SELECT rq.evid, rq.trace_id, rq.q AS req_start_us, h.s AS hit_start_us, h.e AS hit_end_us FROM rq LEFT JOIN (SELECT rq.evid, rq.trace_id, rq.q, rq.z, min((ca.s <> q OR ca.e <> z, ca.e - ca.s, ca.s, ca.e)) AS o FROM rq JOIN ca ON ca.evid = rq.evid AND ca.trace_id = rq.trace_id AND ca.s <= q + 10000000 AND ca.e + 10000000 >= z GROUP BY ALL) b ON b.evid = rq.evid AND b.trace_id = rq.trace_id AND b.q = rq.q AND b.z = rq.z, LATERAL (SELECT b.o[3] AS s, b.o[4] AS e) h")
+@query(f"{CAT}, {fx.CACHE}, rq AS (SELECT 'u' || user_id AS evid, trace_id, epoch_us(orig_time) + 5000000 AS q, epoch_us(orig_time) + 55000000 AS z FROM cat GROUP BY ALL) SELECT rq.evid, rq.trace_id, rq.q AS req_start_us, h.s AS hit_start_us, h.e AS hit_end_us FROM rq LEFT JOIN (SELECT rq.evid, rq.trace_id, rq.q, rq.z, min((ca.s <> q OR ca.e <> z, ca.e - ca.s, ca.s, ca.e)) AS o FROM rq JOIN ca ON ca.evid = rq.evid AND ca.trace_id = rq.trace_id AND ca.s <= q + 10000000 AND ca.e + 10000000 >= z GROUP BY ALL) b ON b.evid = rq.evid AND b.trace_id = rq.trace_id AND b.q = rq.q AND b.z = rq.z, LATERAL (SELECT b.o[3] AS s, b.o[4] AS e) h")
 def wfcache_covering_lookup(spark: SparkSession, sf: str) -> DataFrame:
     at = lambda s: F.timestamp_micros(F.unix_micros("orig_time") + F.lit(s * 1000000))
-    wanted = fx.catalog(spark, sf).where("event_id % 3 = 0").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("evid"), "trace_id", at(5).alias("req_start"), at(55).alias("req_end")).distinct()
+    wanted = fx.catalog(spark, sf).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("evid"), "trace_id", at(5).alias("req_start"), at(55).alias("req_end")).distinct()
     return cache.covering(wanted, fx.cache(spark, sf)).select("evid", "trace_id", us("req_start").alias("req_start_us"), us("hit_start").alias("hit_start_us"), us("hit_end").alias("hit_end_us"))
 
 
@@ -418,10 +463,22 @@ def template_scan_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("trace_id", us("start").alias("start_us"), F.size(F.filter("data", lambda x: x > 0)).cast("bigint").alias("filled"), signal.total(F.col("data")).alias("total"))
 
 
-@query()
+_STARTS = "CASE WHEN CAST(epoch(ts) AS BIGINT) % 3600 < 600 THEN [CAST(epoch(ts) AS BIGINT) // 3600 * 3600, CAST(epoch(ts) AS BIGINT) // 3600 * 3600 - 3600] ELSE [CAST(epoch(ts) AS BIGINT) // 3600 * 3600] END"
+
+
+@query(f"""{CAT}, ms AS (SELECT trace_id, date_trunc('minute', orig_time) AS ts, CAST(count(*) AS DOUBLE) AS v FROM cat GROUP BY 1, 2), ch AS (SELECT trace_id, unnest({_STARTS}) AS start, CAST(epoch(ts) AS BIGINT) AS t, v FROM ms),
+ dx AS (SELECT s.trace_id, s.start, list(coalesce(ch.v, 0) ORDER BY i) AS x FROM (SELECT DISTINCT trace_id, start FROM ch) s CROSS JOIN range(70) g(i) LEFT JOIN ch ON ch.trace_id = s.trace_id AND ch.start = s.start AND ch.t = s.start + i * 60 GROUP BY 1, 2),
+ da AS (SELECT trace_id, start, list_transform(x, lambda v: v - list_avg(x)) AS a FROM dx),
+ tb AS (SELECT k, list_transform(p, lambda v: v - list_avg(p)) AS b FROM (SELECT k, list_transform(range(70), lambda i: CASE WHEN i >= 25 AND i < 45 AND ((i - 25) * (k + 3)) % 5 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS p FROM range(3) g(k))),
+ cl AS (SELECT trace_id, start, k, lag, CASE WHEN lag >= 0 THEN list_inner_product(a[1 + lag:70], b[1:70 - lag]) ELSE list_inner_product(a[1:70 + lag], b[1 - lag:70]) END / sqrt(list_inner_product(a, a) * list_inner_product(b, b)) AS c FROM da, tb, range(-60, 61) g(lag)),
+ m1 AS (SELECT trace_id, start, k, max(c) AS top, median(c) FILTER (abs(c) > 1e-5) AS m FROM cl GROUP BY ALL), m2 AS (SELECT trace_id, start, k, top, median(abs(c - m)) FILTER (abs(c) > 1e-5) AS mad FROM cl JOIN m1 USING (trace_id, start, k) GROUP BY ALL),
+ pk AS (SELECT trace_id, start, k, top, mad, arg_min(lag, (abs(lag), lag)) AS lag FROM cl JOIN m2 USING (trace_id, start, k) WHERE c >= top - 1e-12 AND mad > 0 AND top / mad > 3.0 GROUP BY ALL),
+ ev AS (SELECT *, (start + (lag + 26) * 60) * 1000000 AS t_us, make_timestamp((start + (lag + 26) * 60) * 1000000) AS orig_time FROM pk),
+ g AS (SELECT *, year(orig_time) AS y, CAST(floor((t_us - epoch_us(make_timestamp(year(orig_time), 1, 1, 0, 0, 0.0))) / 1e6 / (366 * 86400.0::DOUBLE) * 308915775) AS BIGINT) AS v FROM ev)
+SELECT CAST(k AS INTEGER) AS family_number, trace_id, 'reqk' || y || {_LETTER} AS evid, CAST(t_us AS BIGINT) AS t_us, round(top, 4) AS cc_max, round(top / mad, 4) AS mad_ratio FROM g""")
 def template_scan_detections(spark: SparkSession, sf: str) -> DataFrame:
     rows = templates.series(minute_series(spark, sf), 3600.0, 600.0, 60.0)
-    found = templates.scanned(rows, templates_of(spark), 60.0, 4.0)
+    found = templates.scanned(rows, templates_of(spark), 60.0, 3.0, 60)
     return found.select("family_number", "trace_id", "evid", us("orig_time").alias("t_us"), r("cc_max").alias("cc_max"), r("mad_ratio").alias("mad_ratio"))
 
 

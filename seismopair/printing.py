@@ -58,6 +58,27 @@ def _aligned(names: list[str] | None, rows: list[list[str]]) -> Iterator[str]:
         yield "  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip()
 
 
+def sorted_rows(rows: list[dict], column: str, ascending: bool = True) -> list[dict]:
+    """Rows in memory by a column: a missing value comes last in ascending order and first in descending order, ties stay as they are."""
+    return sorted(rows, key=lambda r: (r[column] is None, r[column] if r[column] is not None else 0), reverse=not ascending)
+
+
+class Pages:
+    """Pages of a table in a total order, told by `page(offset, limit)` as a frame; one query brings AHEAD pages, which are held until another stretch is asked for."""
+
+    AHEAD = 5
+
+    def __init__(self, page, size: int = 50):
+        self.page, self.size, self.start, self.rows = page, size, 0, None
+
+    def __getitem__(self, n: int) -> list[dict]:
+        first = n * self.size
+        if self.rows is None or not self.start <= first < self.start + self.AHEAD * self.size:
+            self.start = first
+            self.rows = [r.asDict() for r in self.page(first, self.AHEAD * self.size).collect()]  # a few pages
+        return self.rows[first - self.start : first - self.start + self.size]
+
+
 def show(df: DataFrame, form: str = "simple", headers: bool = True) -> None:
     for line in lines(df, form, headers):
         print(line)

@@ -9,38 +9,37 @@ from ..functions.ids import evid_from_uri, fdsn_line, generate_evid
 from ..schemas import CATALOG
 
 TEXT_FIELDS = ("evid", "orig_time", "lat", "lon", "depth_km", "author", "catalog", "contributor", "contributor_id", "mag_type", "mag", "mag_author", "location_name")
-#: Names that headers go by, for each logical field.
+#: The spellings of column names that are accepted for each logical field. A space may stand for an underscore.
 GUESSES = {
-    "evid": ("evid", "event_id", "eventid", "id"),
-    "orig_time": ("orig_time", "origin_time", "datetime", "date_time", "time", "date"),
-    "year": ("year", "yr"),
-    "month": ("month", "mon"),
-    "day": ("day",),
-    "hour": ("hour", "hr"),
+    "evid": ("evid", "event_id", "eventid", "id", "evidid"),
+    "orig_time": ("time", "orig_time", "origin_time", "origin_time_utc", "origin_time_iso"),
+    "year": ("year", "yr", "yyyy"),
+    "month": ("month", "mon", "mo", "mm"),
+    "day": ("day", "dy", "dd"),
+    "hour": ("hour", "hr", "h", "hh"),
     "minute": ("minute", "min"),
-    "seconds": ("seconds", "second", "sec"),
-    "lon": ("longitude", "lon"),
-    "lat": ("latitude", "lat"),
-    "depth_km": ("depth_km", "depth", "dep"),
-    "mag": ("magnitude", "mag"),
-    "mag_type": ("magnitude_type", "mag_type", "magtype"),
+    "seconds": ("seconds", "second", "sec", "s", "ss"),
+    "lat": ("lat", "latitude"),
+    "lon": ("lon", "longitude"),
+    "depth_km": ("depth", "depth_km"),
+    "mag": ("mag", "magnitude"),
+    "mag_type": ("mag_type", "magnitude_type"),
 }
 
 
 def match_score(field: str, guesses: tuple[str, ...]) -> int:
     """999 for a guess itself, else the length of the longest guess that the field contains."""
     name = field.lower().strip()
-    return 999 if name in guesses else max((len(g) for g in guesses if g in name), default=0)
+    spelled = {v for g in guesses for v in (g, g.replace("_", " "))}
+    return 999 if name in spelled else max((len(g) for g in spelled if g in name), default=0)
 
 
 def guess_fields(header: list[str], guesses: dict[str, tuple[str, ...]] | None = None) -> dict[str, str]:
-    """Logical field to header name: each header takes the field that it matches best, and of several headers the best match stays."""
-    best: dict[str, tuple[int, str]] = {}
-    for name in header:
-        score, field = max(((match_score(name, g), f) for f, g in (guesses or GUESSES).items()), key=lambda x: x[0])
-        if score > best.get(field, (0, ""))[0]:
-            best[field] = (score, name)
-    return {field: name for field, (_, name) in best.items()}
+    """Logical field to header name: a field takes the header that matches it best (the first of equals), and a header that several fields take stays with the one it matches best."""
+    scores = {f: [(match_score(name, g), name) for name in header] for f, g in (guesses or GUESSES).items()}
+    best = {f: max(s, key=lambda x: x[0], default=(0, "")) for f, s in scores.items()}
+    claims = [(score, name, f) for f, (score, name) in best.items() if score]
+    return {f: name for score, name, f in claims if score == max(s for s, n, _ in claims if n == name)}
 
 
 def _number(c: Column, kind: str = "double") -> Column:
@@ -72,12 +71,9 @@ def write_text(catalog: DataFrame, path: str) -> None:
 
 
 def sniff(lines: list[str]) -> str:
-    """The delimiter of a file's first lines: comma or semicolon if there are five of it, else a space."""
+    """The delimiter of a file's first five lines: a comma if there are five, else a semicolon if there are five, else a space."""
     head = "\n".join(lines[:5])
-    comma, semicolon = head.count(","), head.count(";")
-    if max(comma, semicolon) < 5:
-        return " "
-    return "," if comma >= semicolon else ";"
+    return next((c for c in ",;" if head.count(c) >= 5), " ")
 
 
 def read_delimited(spark: SparkSession, path: str, depth_in_m: bool = False) -> DataFrame:
@@ -89,6 +85,8 @@ def read_delimited(spark: SparkSession, path: str, depth_in_m: bool = False) ->
         head = [c for r in spark.read.option("encoding", encoding).csv(path, sep="\u0001").limit(5).collect() for c in r if c]
     rows = spark.read.options(header=True, sep=sniff(head), encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path)
     found = guess_fields(rows.columns)
+    if "orig_time" not in found and not {"year", "month", "day", "hour", "minute", "seconds"} <= set(found):
+        raise ValueError(f"no time among the columns {rows.columns}")
     col = lambda f: F.col(f"`{found[f]}`") if f in found else F.lit(None).cast("string")
     if "orig_time" in found:
         time = F.coalesce(col("orig_time").try_cast("timestamp"), F.try_to_timestamp(F.rpad(F.translate(col("orig_time"), ".", ""), 14, "0"), F.lit("yyyyMMddHHmmss")))

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import clean_trace_id
 from .catalogs import guess_fields, sniff
 
-#: Names that headers go by, for each logical field.
+#: The spellings of column names that are accepted for each logical field, and a sampling rate's besides.
 GUESSES = {
-    "net": ("network", "net"),
-    "sta": ("station", "sta"),
-    "loc": ("location", "loc"),
-    "chan": ("channel", "chan", "cha"),
-    "lon": ("longitude", "lon"),
+    "net": ("network", "net", "netw"),
+    "sta": ("station", "sta", "stat", "name"),
+    "loc": ("location", "loc", "locat"),
+    "chan": ("channel", "chan", "ch"),
+    "lon": ("longitude", "lon", "long"),
     "lat": ("latitude", "lat"),
-    "elevation": ("elevation", "elev"),
-    "local_depth": ("depth",),
+    "elevation": ("elevation", "elev", "elevat"),
+    "local_depth": ("depth", "dep"),
     "sampling_rate_hz": ("sampling_rate", "samplerate", "sample_rate"),
 }
 
@@ -42,3 +45,40 @@ def read_station_xml(spark: SparkSession, path: str) -> DataFrame:
     number = lambda f: F.col(f"c.{f}").try_cast("double")
     time = lambda f: F.col(f"c.{f}").try_cast("timestamp")
     return rows.select(clean_trace_id(F.col("net"), F.col("sta"), F.col("c._locationCode"), F.col("c._code")).alias("trace_id"), time("_startDate").alias("valid_from"), time("_endDate").alias("valid_to"), number("Latitude").alias("lat"), number("Longitude").alias("lon"), number("Elevation").alias("elevation"), number("Depth").alias("local_depth"), number("SampleRate").alias("sampling_rate_hz"))
+
+
+STATION = "trace_id string, valid_from timestamp, valid_to timestamp, lat double, lon double, elevation double, local_depth double, sampling_rate_hz double"
+
+
+def read_service(spark: SparkSession, url: str, trace_ids: list[str], start: str | None = None, end: str | None = None, timeout: float = 60.0) -> DataFrame:
+    """Channels of these traces from a station web service that answers in bar-separated text at channel level: a request for each trace, a task each."""
+    from urllib.parse import urlencode
+    from urllib.request import urlopen
+
+    asked = []
+    for t in trace_ids:
+        net, sta, loc, chan = t.split(".")
+        terms = {"level": "channel", "format": "text", "network": net, "station": sta, "location": loc or "--", "channel": chan or "*", **({"starttime": start} if start else {}), **({"endtime": end} if end else {})}
+        asked.append((f"{url}?{urlencode(terms)}",))
+
+    def run(batches):
+        for batch in batches:
+            lines = []
+            for one in batch.column("url").to_pylist():
+                with urlopen(one, timeout=timeout) as answer:
+                    lines += [x for x in answer.read().decode("utf-8", "replace").splitlines() if x.strip() and not x.startswith("#")]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    rows = spark.createDataFrame(asked, "url string").repartition(max(1, len(asked))).mapInArrow(run, "value string")
+    at = lambda i: F.trim(F.get(F.split("value", r"\|"), F.lit(i)))
+    number = lambda i: at(i).try_cast("double")
+    return rows.select(clean_trace_id(at(0), at(1), at(2), at(3)).alias("trace_id"), at(15).try_cast("timestamp").alias("valid_from"), at(16).try_cast("timestamp").alias("valid_to"), number(4).alias("lat"), number(5).alias("lon"), number(6).alias("elevation"), number(7).alias("local_depth"), number(14).alias("sampling_rate_hz"))
+
+
+def first_source(*sources: Callable[[], DataFrame | None]) -> DataFrame:
+    """The stations of the first source that has any: a file, the stored metadata, then a web service, as functions, so that a later one isn't asked without need."""
+    for source in sources:
+        found = source()
+        if found is not None and not found.isEmpty():
+            return found
+    raise LookupError("no source has stations")

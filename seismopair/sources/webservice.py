@@ -39,7 +39,7 @@ class Request(InputPartition):
 
 
 class Reader(DataSourceReader):
-    """One request for each interval. A bound that the service applies is applied by Spark too, since services differ on open ends."""
+    """One request for each interval start/end, or start/end/url where it has a service of its own. A bound that the service applies is applied by Spark too, since services differ on open ends."""
 
     def __init__(self, options: dict):
         self.options, self.sent = options, {}
@@ -58,9 +58,9 @@ class Reader(DataSourceReader):
             raise ValueError("the option url is missing")
         found = []
         for interval in self.options.get("intervals", "/").split(","):
-            start, _, end = interval.partition("/")
+            start, end, url = (*interval.split("/", 2), "", "")[:3]
             own = {k: v for k, v in (("starttime", start), ("endtime", end)) if v}
-            found.append(Request(self.options["url"] + "?" + urlencode({"format": "text", **self.sent, **own})))
+            found.append(Request((url or self.options["url"]) + "?" + urlencode({"format": "text", **self.sent, **own})))
         return found
 
     def read(self, partition: Request) -> Iterator[tuple]:

@@ -20,17 +20,10 @@ def stream_series(samples: DataFrame, chunk_s: float, overlap_s: float, step_s:
     """trace_id, start, data of a stream (trace_id, ts, value): a chunk is told once, when the watermark has passed its end; later samples are dropped."""
     rows = samples.withWatermark("ts", f"{late_s} seconds")
     span, step = f"{int((chunk_s + overlap_s) * 1e6)} microseconds", f"{int(chunk_s * 1e6)} microseconds"
-    got = rows.groupBy("trace_id", F.window("ts", span, step).alias("w")).agg(F.collect_list(F.struct("ts", "value")).alias("s"))
-    n = int(round((chunk_s + overlap_s) / step_s))
+    got = rows.groupBy("trace_id", F.window("ts", span, step).alias("w")).agg(F.collect_list(F.struct("ts", F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"))).alias("s"))
     start = F.unix_micros(F.col("w.start"))
-    at = F.transform("s", lambda x: F.struct(F.floor((F.unix_micros(x["ts"]) - start) / F.lit(step_s * 1e6)).cast("int").alias("at"), x["value"].alias("v")))
-    held = got.select("trace_id", F.col("w.start").alias("start"), at.alias("s"))
-
-    def mean(i):
-        own = F.filter("s", lambda x: x["at"] == i)
-        return F.coalesce(F.try_divide(F.aggregate(own, F.lit(0.0), lambda a, x: a + x["v"]), F.size(own)), F.lit(0.0))
-
-    return held.select("trace_id", "start", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), mean).alias("data"))
+    at = F.transform("s", lambda x: F.floor((F.unix_micros(x["ts"]) - start) / F.lit(step_s * 1e6)).cast("int"))
+    return T.filled(got.select("trace_id", F.col("w.start").alias("start"), at.alias("at"), F.col("s.value").alias("value")), int(round((chunk_s + overlap_s) / step_s)))
 
 
 def scan(samples: DataFrame, templates: DataFrame, chunk_s: float, overlap_s: float, step_s: float, late_s: float, ratio: float) -> DataFrame:

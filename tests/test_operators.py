@@ -127,9 +127,14 @@ def test_template_is_found_where_it_was_put(spark):
     pattern, noise = rng.standard_normal(40), 0.1 * rng.standard_normal(600)
     noise[200:240] += pattern
     rows = spark.createDataFrame([("t", at(0), noise.tolist())], "trace_id string, start timestamp, data array<double>")
-    known = spark.createDataFrame([(3, "t", pattern.tolist(), 5.0)], "family_number int, trace_id string, data array<double>, p_offset_s double")
+    known = spark.createDataFrame([(3, "t", pattern.tolist(), 5.0, 10.0)], "family_number int, trace_id string, data array<double>, p_offset_s double, travel_s double")
     (hit,) = templates.scanned(rows, known, 1.0, 8.0).collect()
-    assert hit.family_number == 3 and hit.orig_time == at(195) and hit.cc_max > 0.95
+    assert hit.family_number == 3 and hit.orig_time == at(195) and 0.9 < hit.cc_max < 0.96  # both energies are those of the whole chunk
+    assert templates.scanned(rows, known.drop("travel_s"), 1.0, 8.0).first().orig_time == at(205)
+    # told again on the stretch around the P time
+    (cut,) = templates.scanned(rows, known, 1.0, 5.0, cfg=Config(cc_freq_min=0.05, cc_freq_max=0.4, cc_pre_P=5.0, cc_trace_length=39.0)).collect()
+    assert cut.orig_time == at(195) and cut.cc_max > 0.97
+    assert templates.scanned(rows.limit(0), known, 1.0, 8.0).count() == 0 and templates.scanned(rows, known.limit(0), 1.0, 8.0).count() == 0
     x = np.stack([np.roll(np.r_[np.zeros(30), pattern, np.zeros(30)], s) for s in (0, 3, -2)])
     _, shift, mean = templates.align(x, 5)
     assert shift.tolist() == [0, -3, 2] and mean > 0.99
@@ -146,7 +151,7 @@ def test_catalog_files(spark, tmp_path):
     with pytest.raises(Exception, match="not a catalog line"):
         catalogs.read_text(spark, str(bad)).collect()
     table = tmp_path / "c.csv"
-    table.write_text("Event_ID,Year,Month,Day,Hour,Min,Sec,Latitude,Longitude,Depth,Magnitude,MagType\nx,2020,1,2,3,4,5.5,1,2,3,4,nan\n,2020,1,2,3,4,6,1,2,,4,Ml\n")
+    table.write_text("Event_ID,Year,Month,Day,Hour,Min,Sec,Latitude,Longitude,Depth,Magnitude,Mag_Type\nx,2020,1,2,3,4,5.5,1,2,3,4,nan\n,2020,1,2,3,4,6,1,2,,4,Ml\n")
     rows = catalogs.read(spark, str(table)).orderBy("orig_time").collect()
     assert rows[0].evid == "x" and rows[0].mag_type == "M" and rows[0].orig_time.microsecond == 500000
     assert rows[1].evid.startswith("reqk2020") and rows[1].depth_km is None
