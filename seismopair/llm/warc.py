@@ -135,8 +135,8 @@ def _header_ok(head: bytes) -> bool:
     return bool(re.match(rb"WARC/\d\.\d\r\n[A-Za-z][\w-]*:", head))
 
 
-def members(source: _Bytes, start: int, end: int) -> Iterator[bytes]:
-    """Inflated WARC members of which the first byte lies in [start, end)."""
+def members(source: _Bytes, start: int, end: int, strict: bool = False) -> Iterator[bytes]:
+    """Inflated WARC members of which the first byte lies in [start, end); one that breaks off after a valid header is an error if `strict`."""
     at = start
     buffer, base = b"", start
     while at < end:
@@ -151,7 +151,7 @@ def members(source: _Bytes, start: int, end: int) -> Iterator[bytes]:
         at = base + found
         if at >= end:
             return
-        whole = _inflate(source, at, buffer[found:])
+        whole = _inflate(source, at, buffer[found:], strict)
         if whole is None:
             at += 1
         else:
@@ -159,7 +159,7 @@ def members(source: _Bytes, start: int, end: int) -> Iterator[bytes]:
             yield data
 
 
-def _inflate(source: _Bytes, at: int, data: bytes) -> tuple[bytes, int] | None:
+def _inflate(source: _Bytes, at: int, data: bytes, strict: bool = False) -> tuple[bytes, int] | None:
     """The member at a position and the position after it; None if the candidate is no WARC member."""
     inflater, parts, checked, size, position = zlib.decompressobj(31), [], False, 0, at
     try:
@@ -175,17 +175,19 @@ def _inflate(source: _Bytes, at: int, data: bytes) -> tuple[bytes, int] | None:
                 return b"".join(parts), position - len(inflater.unused_data)
             data = source.at(position, _READ)
             if not data:
-                return None  # cut off
-    except zlib.error:
+                raise zlib.error("cut off")
+    except zlib.error as e:
+        if strict and checked:
+            raise ValueError(f"the member at byte {at} is damaged: {e}") from e
         return None
 
 
-def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = True, strict: bool = False) -> DataFrame:
     """One row per record of the archives under `path`.
 
     record_id, record_type, target_uri, refers_to, payload_bytes and payload_digest of the full payload, digest_ok
     (the block's own digest agrees, or there is no payload to hold it against) and, if asked for, payload (null for a
-    revisit) and headers. A truncated member and bytes that are no WARC member are passed over.
+    revisit) and headers. Bytes that are no WARC member are passed over; a member that breaks off is too, or is an error if `strict`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes))).alias("start")).repartition(common.partitions(files), "path", "start")
@@ -202,7 +204,7 @@ def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_pa
             for uri, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 rows, held = [], 0
                 with _Bytes(uri) as source:
-                    for data in members(source, start, start + split_bytes):
+                    for data in members(source, start, start + split_bytes, strict):
                         for headers, block in parse(data):
                             rows.append(_row(headers, block, with_payload))
                             held += len(block) if with_payload else 0

@@ -61,3 +61,16 @@ def test_a_member_of_16_mb(spark):
     warc.write(df, path)
     (row,) = warc.read(spark, path).collect()
     assert row.payload_bytes == 17 << 20 and row.digest_ok
+
+
+def test_a_member_that_breaks_off(tmp_path):
+    whole = [gzip.compress(warc.record("response", f"urn:page:{i}", "u", "2020-01-01T00:00:00Z", bytes(range(256)) * 20)) for i in range(2)]
+    file = tmp_path / "a.warc.gz"
+    file.write_bytes(whole[0] + whole[1][:-200])
+    with warc._Bytes(str(file)) as source:
+        assert len(list(warc.members(source, 0, 1 << 20))) == 1
+        with pytest.raises(ValueError, match="damaged"):
+            list(warc.members(source, 0, 1 << 20, strict=True))
+    file.write_bytes(whole[0] + b"\x1f\x8b\x08 nonsense")
+    with warc._Bytes(str(file)) as source:
+        assert len(list(warc.members(source, 0, 1 << 20, strict=True))) == 1
