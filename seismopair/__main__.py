@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="seismopair", description=__doc__)
     p.add_argument("root", help="folder of the stored tables")
     p.add_argument("-c", "--config", help="settings as JSON")
+    p.add_argument("--freq-band", nargs=2, type=float, metavar=("LOW", "HIGH"), help="band in Hz, in place of the settings'")
     p.add_argument("-f", "--format", choices=FORMATS, default="simple")
     verbs = p.add_subparsers(dest="verb", required=True)
     verbs.add_parser("sample_config")
@@ -102,6 +103,8 @@ def main(argv: list[str] | None = None) -> None:
             cfg, unknown = migrate(json.load(f))
         for name in unknown:
             print(f"no such setting: {name}")
+    if a.freq_band:
+        cfg = cfg.with_(cc_freq_min=a.freq_band[0], cc_freq_max=a.freq_band[1])
     if a.verb == "update_config" and a.config:
         os.replace(a.config, f"{a.config}.bak")
         with open(a.config, "w") as f:

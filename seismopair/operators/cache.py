@@ -125,6 +125,12 @@ def requests(events: DataFrame, offsets: DataFrame, pre_s: float, length_s: floa
     return rows.select("evid", "trace_id", at(F.col("p_min_s") - pre_s).alias("start_ts"), at(F.col("p_max_s") + length_s).alias("end_ts"))
 
 
+def event_windows(arrivals: DataFrame, pre_s: float, length_s: float) -> DataFrame:
+    """Windows around each event's own P time (evid, trace_id, p_time): from `pre_s` before it, `length_s` long; a row without a P time has none."""
+    at = lambda s: F.timestamp_micros(F.unix_micros("p_time") + F.lit(round(s * 1e6)))
+    return arrivals.where("p_time is not null").select("evid", "trace_id", at(-pre_s).alias("start_ts"), at(length_s - pre_s).alias("end_ts"))
+
+
 #: A trace's history is cut into stretches of so many spans, or a day, if that is longer.
 SPANS = 24
 

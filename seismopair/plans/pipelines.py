@@ -59,7 +59,7 @@ def build_families(pair_rows: DataFrame, catalog: DataFrame, cfg: Config | None
 def build_templates(members: DataFrame, waveforms: DataFrame, lags: int | None = None, cfg: Config | None = None, station_rows: DataFrame | None = None) -> DataFrame:
     """One stacked template for each family and trace: aligned within `lags` samples, or cc_max_shift seconds, then averaged, with the family's mean place, and the mean P and S times after the traces' starts.
 
-    With `station_rows` a trace's P and S times are those of the ak135 model, and travel_s is the P time from the family's mean place; without, P lies
+    With `station_rows` a trace's P and S times are those of the ak135 model, and travel_s, distance_km and distance_deg are those from the family's mean place; without, P lies
     cc_pre_P after a trace's start, where windows are cut, and the others are null.
     """
     cfg = cfg or Config()
@@ -75,9 +75,9 @@ def build_templates(members: DataFrame, waveforms: DataFrame, lags: int | None =
     place = members.groupBy("family_number").agg(F.min("trace_id").alias("trace_id"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.avg("depth_km").alias("depth_km"))
     told = stack.join(place, "family_number")
     if station_rows is None:
-        return told.withColumn("travel_s", F.lit(None).cast("double"))
+        return told.withColumns({c: F.lit(None).cast("double") for c in ("travel_s", "distance_km", "distance_deg")})
     far = stations.arrivals(told.withColumn("orig_time", F.lit("1970-01-01").cast("timestamp")), station_rows)
-    return far.withColumn("travel_s", F.col("p_s")).drop("orig_time", "distance_km", "distance_deg", "p_s", "s_s", "p_time", "s_time")
+    return far.withColumn("travel_s", F.col("p_s")).drop("orig_time", "p_s", "s_s", "p_time", "s_time")
 
 
 def prefetch_plan(catalog: DataFrame, station_rows: DataFrame, cfg: Config | None = None, max_span_s: float = 3600.0, evids: DataFrame | None = None, max_events: int | None = None, speed_km_s: float | None = None) -> DataFrame:

@@ -118,16 +118,27 @@ def read_quakeml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A catalog file in whichever of the formats its first lines show."""
+    """A catalog file in the first format that it can be read in: QuakeML, bar-separated text without a bad line, a delimited file with a header."""
     head = [r[0].strip() for r in spark.read.text(path).limit(5).collect()]  # five lines
-    body = [x for x in head if x and not x.startswith("#")]
-    if not body and not head:
+    if not any(head):
         raise ValueError(f"{path} is empty")
-    if any(x.startswith("<") for x in body):
-        return read_quakeml(spark, path)
-    if body and body[0].count("|") == 12:
+    if any(x.lstrip("\ufeff").startswith("<") for x in head):
+        found = read_quakeml(spark, path)
+        if not found.isEmpty():
+            return found
+    first = next((x for x in head if x and not x.startswith("#")), "")
+    if first.count("|") >= 12 and _bad_lines(spark, path).isEmpty():
         return conformed(read_text(spark, path))
-    return read_delimited(spark, path)
+    try:
+        return read_delimited(spark, path)
+    except ValueError as e:
+        raise ValueError(f"{path} is in no format that is read: {e}") from e
+
+
+def _bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')")
+    parts = F.split("value", r"\|")
+    return lines.where((F.size(parts) < 13) | (F.trim(F.get(parts, F.lit(0))) == "") | F.trim(F.get(parts, F.lit(1))).try_cast("timestamp").isNull())
 
 
 def union(*catalogs: DataFrame) -> DataFrame:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
+from collections.abc import Iterator
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Places in the header: floats from byte 0, whole numbers from 280, texts from 440 (8 bytes each, the second 16).
 _FLOATS = {"delta": 0, "b": 5, "e": 6, "a": 8, "t0": 10, "evla": 35, "evlo": 36, "evdp": 38}
@@ -58,3 +63,32 @@ def write_templates(templates: DataFrame, folder: str, delta: float) -> int:
             f.write(content)
         n += 1
     return n
+
+
+def read_templates(spark: SparkSession, folder: str, user_file: str | None = None) -> DataFrame:
+    """Templates out of template{family}.{trace}.sac files under a folder: family_number, trace_id, delta, lat, lon, depth_km, p_offset_s, data; a user's own file gets the number after the largest.
+
+    A file that isn't read is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                name = re.fullmatch(r"template(\d+)\..*\.sac", unquote(path.rsplit("/", 1)[-1]))
+                try:
+                    one = decode(content)
+                except (ValueError, struct.error):
+                    continue
+                out.append((int(name[1]) if name else None, one["trace_id"], one.get("delta"), one.get("evla"), one.get("evlo"), one.get("evdp"), one.get("a"), one["data"]))
+            kinds = (pa.int32(), pa.string(), *[pa.float64()] * 5, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["family_number", "trace_id", "delta", "lat", "lon", "depth_km", "p_offset_s", "data"])
+
+    schema = "family_number int, trace_id string, delta double, lat double, lon double, depth_km double, p_offset_s double, data array<double>"
+    read = lambda path: spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    own = read(f"{folder.rstrip('/')}/template*.sac").where("family_number is not null")
+    if user_file is None:
+        return own
+    last = own.agg(F.coalesce(F.max("family_number"), F.lit(-1)).alias("_last"))  # one row
+    more = read(user_file).crossJoin(F.broadcast(last)).withColumn("family_number", (F.col("_last") + 1).cast("int")).drop("_last")
+    return own.unionByName(more)

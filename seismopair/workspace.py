@@ -13,7 +13,7 @@ from .shared import stage
 from .sources import catalogs
 from .sources import waveforms as waveform_files
 
-TABLES = {"catalog": schemas.CATALOG, "pairs": schemas.PAIRS, "families": schemas.FAMILIES, "detections": schemas.DETECTIONS, "trace_metadata": schemas.TRACE_METADATA, "waveforms": schemas.WAVEFORMS, "failures": schemas.FAILURES, "templates": "family_number int, trace_id string, n long, lat double, lon double, depth_km double, p_offset_s double, s_offset_s double, travel_s double, data array<double>", "values": "key string, value string"}
+TABLES = {"catalog": schemas.CATALOG, "pairs": schemas.PAIRS, "families": schemas.FAMILIES, "detections": schemas.DETECTIONS, "trace_metadata": schemas.TRACE_METADATA, "waveforms": schemas.WAVEFORMS, "failures": schemas.FAILURES, "templates": "family_number int, trace_id string, n long, lat double, lon double, depth_km double, p_offset_s double, s_offset_s double, travel_s double, distance_km double, distance_deg double, data array<double>", "values": "key string, value string"}
 #: Version of the tables' columns; a workspace of another one isn't opened.
 SCHEMA_VERSION = "2"
 

@@ -363,3 +363,45 @@ def test_append_keeps_the_stored(spark):
     old = spark.createDataFrame([("a", at(0), "t")], "evid string, orig_time timestamp, trace_id string")
     new = spark.createDataFrame([("a", at(5), "t"), ("b", at(6), "t"), ("b", at(4), "t")], "evid string, orig_time timestamp, trace_id string")
     assert {r.evid: r.orig_time for r in catalog.appended(old, new).collect()} == {"a": at(0), "b": at(4)}
+
+
+def test_formats_are_tried_in_turn(spark, tmp_path):
+    bars = "|".join(["e1", "2020-01-01T00:00:00", "1", "2", "3", "", "", "", "", "Mw", "4", "", ""])
+    good, bad, table, none = (tmp_path / n for n in ("good.txt", "bad.txt", "table.csv", "none.txt"))
+    good.write_text(f"# header\n{bars}\n")
+    bad.write_text(f"{bars}\ne2|no time|1\n")
+    table.write_text("evid,time,lat,lon,mag,x\ne3,2020-01-02T00:00:00,1,2,3,4\n")
+    none.write_text("\n\n")
+    assert catalogs.read(spark, str(good)).first().evid == "e1" and catalogs.read(spark, str(table)).first().evid == "e3"
+    with pytest.raises(ValueError, match="no format"):
+        catalogs.read(spark, str(bad))
+    with pytest.raises(ValueError, match="empty"):
+        catalogs.read(spark, str(none))
+
+
+def test_template_files(spark, tmp_path):
+    known = spark.createDataFrame([(2, "XX.A.00.BHZ", 40.0, 10.0, 5.0, 1.5, [1.0, 2.0, 3.0])], "family_number int, trace_id string, lat double, lon double, depth_km double, p_offset_s double, data array<double>")
+    assert sac.write_templates(known, f"{tmp_path}/t", 0.1) == 1
+    (tmp_path / "t" / "template09.bad.sac").write_bytes(b"short")
+    (tmp_path / "own.sac").write_bytes(sac.encode(np.arange(4.0), 0.5, at(0), "XX.Q..BHZ"))
+    rows = {r.family_number: r for r in sac.read_templates(spark, f"{tmp_path}/t", str(tmp_path / "own.sac")).collect()}
+    assert set(rows) == {2, 3} and rows[2].data == [1, 2, 3] and rows[2].p_offset_s == 1.5 and rows[2].delta == pytest.approx(0.1) and rows[3].trace_id == "XX.Q..BHZ" and rows[3].p_offset_s is None
+
+
+def test_windows_around_p_and_templates_with_stations(spark, workspace):
+    near = spark.createDataFrame([("XX.A.00.BHZ", 40.0, 10.2)], "trace_id string, lat double, lon double")
+    told = stations.arrivals(workspace.table("catalog").select("evid", "trace_id", "orig_time", "lat", "lon", "depth_km"), near)
+    one = cache.event_windows(told, 1.0, 4.0).where("evid = 'e0'").first()
+    p = told.where("evid = 'e0'").first()
+    assert one.start_ts == p.p_time - timedelta(seconds=1) and one.end_ts == p.p_time + timedelta(seconds=3)
+    r = np.random.default_rng(4)
+    base = r.standard_normal(200)
+    rows = [(f"e{k}", "XX.A.00.BHZ", (p.p_time + timedelta(seconds=600 * k - 2)), 20.0, np.roll(base, 4 * k).tolist()) for k in range(2)]
+    waves = spark.createDataFrame(rows, "evid string, trace_id string, start_ts timestamp, sampling_rate double, data array<double>")
+    members = workspace.table("catalog").where("evid in ('e0', 'e1')").withColumn("family_number", F.lit(0))
+    (t,) = pipelines.build_templates(members, waves, None, Config(cc_freq_min=1.0, cc_freq_max=8.0), near).collect()
+    assert t.n == 2 and len(t.data) == 200 and t.distance_km == pytest.approx(17.1, abs=0.5) and t.travel_s == pytest.approx(p.p_s, abs=0.1)
+    # the second trace was moved back by 4 samples, and its P time with it
+    assert t.p_offset_s == pytest.approx(2.0 + (told.where("evid = 'e1'").first().p_s - p.p_s) / 2 - 0.1, abs=0.02) and t.s_offset_s > t.p_offset_s
+    plain = pipelines.build_templates(members, waves.drop("start_ts"), None, Config(cc_freq_min=1.0, cc_freq_max=8.0)).first()
+    assert plain.p_offset_s == pytest.approx(5.0 - 0.1) and plain.travel_s is None
