@@ -98,6 +98,24 @@ ORACLES: dict[str, str] = {
     "op1_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
  d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS f FROM p)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to FROM d""",
+    "op3_minhash": """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(lower(text), '[0-9a-z[:^ascii:]]+') AS w FROM documents WHERE text IS NOT NULL),
+ h AS MATERIALIZED (SELECT text, any_value(w) AS w, min(doc_id) AS id FROM d WHERE len(w) > 0 GROUP BY text),
+ g AS MATERIALIZED (SELECT id, s, CAST(count(*) AS DOUBLE) AS n FROM (SELECT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM h) GROUP BY ALL),
+ t AS (SELECT id, sum(n) AS total FROM g GROUP BY 1),
+ c AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.s = b.s AND a.id < b.id JOIN t x ON x.id = a.id JOIN t y ON y.id = b.id GROUP BY a.id, b.id HAVING sum(a.n) >= 0.8 * any_value(x.total) - 1e-9 AND sum(b.n) >= 0.8 * any_value(y.total) - 1e-9),
+ e AS MATERIALIZED (SELECT c.a, c.b, k.s, coalesce(u.n, 0) AS u, coalesce(v.n, 0) AS v FROM c JOIN (SELECT DISTINCT c.a, c.b, g.s FROM c JOIN g ON g.id IN (c.a, c.b)) k ON k.a = c.a AND k.b = c.b LEFT JOIN g u ON u.id = c.a AND u.s = k.s LEFT JOIN g v ON v.id = c.b AND v.s = k.s),
+ q AS (SELECT *, u / v AS r FROM e WHERE u > 0 AND v > 0),
+ j AS (SELECT q.a, q.b, q.s, 1 / sum(greatest(e.u / q.u, e.v / q.v)) AS part FROM q JOIN e ON e.a = q.a AND e.b = q.b GROUP BY ALL),
+ l AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, sum(part) AS p FROM j GROUP BY ALL) WHERE p >= 0.8 - 1e-12), b AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ r AS (SELECT a AS id, a AS c FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.id), m AS (SELECT id, min(c) AS c FROM r GROUP BY 1)
+SELECT o.doc_id, coalesce(h.id, o.doc_id) AS class_id, coalesce(m.c, h.id, o.doc_id) AS component_id, coalesce(m.c, h.id, o.doc_id) = o.doc_id AS kept FROM documents o LEFT JOIN h ON h.text = o.text LEFT JOIN m ON m.id = h.id""",
+    "op6_suffix": """WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ p AS MATERIALIZED (SELECT doc_id, i, substr(h, 2 * i - 1, 2) AS b, CASE WHEN 2 * i + 98 <= length(h) THEN substr(h, 2 * i - 1, 100) END AS x FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM d)),
+ m AS (SELECT x, min(doc_id) AS first FROM p WHERE x IS NOT NULL GROUP BY 1),
+ c AS (SELECT p.doc_id, p.i, p.b, max(CASE WHEN m.first < p.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM p LEFT JOIN m ON m.x = p.x),
+ e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c),
+ r AS (SELECT doc_id, count(*) AS n, sum(gone) AS removed, count(*) FILTER (gone = 1 AND before = 0) AS spans, string_agg(b, '' ORDER BY i) FILTER (gone = 0) AS kept FROM e GROUP BY 1)
+SELECT d.doc_id, coalesce(r.n, 0) AS n_bytes, CAST(coalesce(r.removed, 0) AS BIGINT) AS n_removed, coalesce(r.spans, 0) AS n_spans, sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256 FROM d LEFT JOIN r ON r.doc_id = d.doc_id""",
     "op9_covertree": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
  u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_inner_product(e, e) > 0),
  l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
