@@ -472,14 +472,15 @@ _STARTS = "CASE WHEN CAST(epoch(ts) AS BIGINT) % 3600 < 600 THEN [CAST(epoch(ts)
  tb AS (SELECT k, list_transform(p, lambda v: v - list_avg(p)) AS b FROM (SELECT k, list_transform(range(70), lambda i: CASE WHEN i >= 25 AND i < 45 AND ((i - 25) * (k + 3)) % 5 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS p FROM range(3) g(k))),
  cl AS (SELECT trace_id, start, k, lag, CASE WHEN lag >= 0 THEN list_inner_product(a[1 + lag:70], b[1:70 - lag]) ELSE list_inner_product(a[1:70 + lag], b[1 - lag:70]) END / sqrt(list_inner_product(a, a) * list_inner_product(b, b)) AS c FROM da, tb, range(-60, 61) g(lag)),
  m1 AS (SELECT trace_id, start, k, max(c) AS top, median(c) FILTER (abs(c) > 1e-5) AS m FROM cl GROUP BY ALL), m2 AS (SELECT trace_id, start, k, top, median(abs(c - m)) FILTER (abs(c) > 1e-5) AS mad FROM cl JOIN m1 USING (trace_id, start, k) GROUP BY ALL),
- pk AS (SELECT trace_id, start, k, top, mad, arg_min(lag, (abs(lag), lag)) AS lag FROM cl JOIN m2 USING (trace_id, start, k) WHERE c >= top - 1e-12 AND mad > 0 AND top / mad > 3.0 GROUP BY ALL),
+ pk AS (SELECT trace_id, start, k, top, mad, arg_min(lag, (abs(lag), lag)) AS lag FROM cl JOIN m2 USING (trace_id, start, k) WHERE c >= top - 1e-12 AND mad > 0 AND top / mad > 3.0000001 GROUP BY ALL),
  ev AS (SELECT *, (start + (lag + 26) * 60) * 1000000 AS t_us, make_timestamp((start + (lag + 26) * 60) * 1000000) AS orig_time FROM pk),
  g AS (SELECT *, year(orig_time) AS y, CAST(floor((t_us - epoch_us(make_timestamp(year(orig_time), 1, 1, 0, 0, 0.0))) / 1e6 / (366 * 86400.0::DOUBLE) * 308915775) AS BIGINT) AS v FROM ev)
-SELECT CAST(k AS INTEGER) AS family_number, trace_id, 'reqk' || y || {_LETTER} AS evid, CAST(t_us AS BIGINT) AS t_us, round(top, 4) AS cc_max, round(top / mad, 4) AS mad_ratio FROM g""")
+SELECT CAST(k AS INTEGER) AS family_number, trace_id, 'reqk' || y || {_LETTER} AS evid, CAST(t_us AS BIGINT) AS t_us, round(top + 1e-7, 4) AS cc_max, round(top / mad + 1e-7, 4) AS mad_ratio FROM g""")
 def template_scan_detections(spark: SparkSession, sf: str) -> DataFrame:
     rows = templates.series(minute_series(spark, sf), 3600.0, 600.0, 60.0)
-    found = templates.scanned(rows, templates_of(spark), 60.0, 3.0, 60)
-    return found.select("family_number", "trace_id", "evid", us("orig_time").alias("t_us"), r("cc_max").alias("cc_max"), r("mad_ratio").alias("mad_ratio"))
+    # the counts give simple fractions: a little more than nothing keeps bounds and halves apart from them
+    found = templates.scanned(rows, templates_of(spark), 60.0, 3.0000001, 60)
+    return found.select("family_number", "trace_id", "evid", us("orig_time").alias("t_us"), r(F.col("cc_max") + 1e-7).alias("cc_max"), r(F.col("mad_ratio") + 1e-7).alias("mad_ratio"))
 
 
 @query(f"{CAT} SELECT CAST(user_id % 20 AS INTEGER) AS family_number, trace_id, count(*) AS n, epoch_us(min(orig_time)) AS first_us, epoch_us(max(orig_time)) AS last_us, round(avg(value / 500.0), 6) AS cc_mean, round(max(value / 500.0), 6) AS cc_max FROM cat GROUP BY 1, 2")
