@@ -19,12 +19,13 @@ def _contracted(links: DataFrame, parent: DataFrame) -> DataFrame:
     return stage(ordered.distinct(), "links")
 
 
-def components(links: DataFrame, jumps: int = 2) -> DataFrame:
+def components(links: DataFrame, jumps: int = 1) -> DataFrame:
     """(id, component): the smallest id reachable, for each id in the links (a, b), given in either direction.
 
     Each round points every node at its smallest neighbour, shortens the pointers and contracts the links;
     stars end in a round, and any graph in a number of rounds about the logarithm of its longest path. Nothing
-    reaches the driver but whether links are left. A round writes three tables, and they go once the next round's stand.
+    reaches the driver but whether links are left. A round's tables go once the next round's stand; pointers are a table
+    before each jump, so that both sides of its join are plain exchanges and the rows of a hot node part.
     """
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = stage(ordered, "links")
@@ -32,11 +33,11 @@ def components(links: DataFrame, jumps: int = 2) -> DataFrame:
     more = True
     while more:
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.least("a", F.min("b")).alias("up")).withColumnRenamed("a", "id")
+        parent = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("up")).withColumnRenamed("a", "id"), "parents")
         for _ in range(jumps):
-            over = parent.select(F.col("id").alias("up"), F.col("up").alias("_over"))
-            parent = parent.join(over, "up", "left").select("id", F.coalesce("_over", "up").alias("up"))
-        parent = stage(parent, "parents")
+            old, over = parent, parent.select(F.col("id").alias("up"), F.col("up").alias("_over"))
+            parent = stage(parent.join(over, "up", "left").select("id", F.coalesce("_over", "up").alias("up")), "parents")
+            release(old)
         to = parent.select(F.col("id").alias("component"), "up")
         old = labels, left, parent
         labels = stage(labels.join(to, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "labels")
