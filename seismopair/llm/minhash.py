@@ -270,11 +270,20 @@ def _within(rows: DataFrame, buckets: DataFrame, labels: DataFrame, of: DataFram
     chosen = seen.where("low <> high").groupBy("members3", "members11", "n").agg(F.min("band").alias("band")).select("band")
     member = common.stage(marked.join(chosen, "band").select("band", "id", "component"), "members")
     sizes = common.stage(member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size")).withColumn("own", F.col("size") >= BLOCK), "sizes")
-    pooled = sizes.where("not own").groupBy("band").agg(F.sum("size").alias("pooled"))
-    placed = member.join(sizes, ["band", "component"]).join(pooled, "band", "left")
+    band = sizes.groupBy("band").agg(F.coalesce(F.sum(F.when(~F.col("own"), F.col("size"))), F.lit(0)).alias("pooled"), F.bool_or("own").alias("any_own"))
+    placed = member.join(sizes, ["band", "component"]).join(band, "band").withColumn("one", ~F.col("any_own") & (F.col("pooled") <= BLOCK))
+
+    def alone(group: pa.Table) -> pa.Table:
+        return told(compare(list(zip(*(group[c].to_pylist() for c in ("id", "component", "set")), strict=True)), None, threshold))
+
+    def told(links: list[tuple[int, int]]) -> pa.Table:
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    # a bucket of one block is compared where its members meet
+    within = placed.where("one").select("band", "id", "component").join(of, "id").groupBy("band").applyInArrow(alone, "a bigint, b bigint")
     many = F.ceil(F.when(F.col("own"), F.col("size")).otherwise(F.col("pooled")) / BLOCK).cast("int")
     part = F.pmod(F.when(F.col("own"), F.xxhash64("id", "band")).otherwise(F.xxhash64("component", "band")), many).cast("int")
-    placed = placed.select("band", "id", "component", F.when(F.col("own"), F.col("component")).alias("of"), part.alias("part"))
+    placed = placed.where("not one").select("band", "id", "component", F.when(F.col("own"), F.col("component")).alias("of"), part.alias("part"))
     made = placed.join(of, "id").groupBy("band", "of", "part").agg(F.collect_list(F.struct("id", "component", "set")).alias("members"))
     full = common.stage(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
     ids = full.select("band", "of", "block")
@@ -289,10 +298,9 @@ def _within(rows: DataFrame, buckets: DataFrame, labels: DataFrame, of: DataFram
     def run(group: pa.Table) -> pa.Table:
         sides = {row["block"]: [(m["id"], m["component"], m["set"]) for m in row["members"]] for row in group.select(["block", "members"]).to_pylist()}
         low, high = group["low"][0].as_py(), group["high"][0].as_py()
-        links = compare(sides[low], None if low == high else sides[high], threshold)
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+        return told(compare(sides[low], None if low == high else sides[high], threshold))
 
-    out = common.stage(dealt.groupBy("low", "high").applyInArrow(run, "a bigint, b bigint"), "links")
+    out = common.stage(within.unionByName(dealt.groupBy("low", "high").applyInArrow(run, "a bigint, b bigint")), "links")
     common.release(marked, member, sizes, full)
     return out
 
@@ -307,20 +315,21 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """
     base = common.stage(sketches(docs, key, text).withColumn("id", F.col(key).cast("bigint")).drop(*([key] if key != "id" else [])), "sketches")
     some = base.where("id is not null and bands is not null")
-    first = some.groupBy("digest").agg(F.min("id").alias("class_id"))
+    first = common.stage(some.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")  # a table, so that copies of a hot text part in the joins
     classed = common.stage(some.select("id", "digest").join(first, "digest").select("id", "class_id"), "classed")
     heads = common.stage(some.join(first.select(F.col("class_id").alias("id"), "digest"), ["id", "digest"]).select("id", "bands").dropDuplicates(["id", "bands"]), "heads")
     rows = _bucket_rows(heads)
     buckets = common.stage(rows.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     stars = common.stage(rows.join(buckets, "band").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.col("a").alias(key)).unionAll(stars.select(F.col("b").alias(key))).distinct()
+    # a table, whose size the planner knows: while its ids are few they go to the texts, and not the texts to them
+    wanted = common.stage(stars.select(F.col("a").alias(key)).unionAll(stars.select(F.col("b").alias(key))).distinct(), "wanted")
     of = common.stage(sets(docs.select(F.col(key).cast("bigint").alias(key), F.col(text)).join(wanted, key).dropDuplicates([key]), key, text), "sets")
     sure = verified(stars, of, threshold)
     links = sure.select("a", "b")
     joined = components(links)
     more = _within(rows, buckets, joined, of, threshold)
     labels = components(links.unionAll(more))
-    common.release(heads, buckets, stars, of, sure, joined, more)
+    common.release(first, heads, buckets, stars, wanted, of, sure, joined, more)
     # copies have their head's component
     found = classed.join(labels.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     alone = base.where("id is null or bands is null").select("id", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
