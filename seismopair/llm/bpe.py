@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries, and bytes of keys, of a worker's memory of encoded matches, of which it holds twice as many at most; a longer key isn't remembered.
-MEMORY, MEMORY_BYTES, LONGEST_KEY = 120_000, 4 << 20, 256
+MEMORY, MEMORY_BYTES, LONGEST_KEY = 250_000, 8 << 20, 256
 #: Up to so many bytes a string is encoded by the plain merge loop.
 LEAF = 8
 #: The rank of a pair that doesn't merge.

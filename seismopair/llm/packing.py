@@ -27,6 +27,8 @@ from .bpe import Memo, kept
 WINDOW = 4096
 #: Pieces of a group, about: large enough that the windows left open at its end weigh little.
 GROUP = 4096
+#: Words that a worker remembers, and twice as many at most.
+WORDS = 120_000
 
 
 class Tree:
@@ -96,7 +98,7 @@ class Words(Memo):
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__(self._word)
+        super().__init__(self._word, WORDS)
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
         told = json.loads(vocabulary)
         form = [(n["type"], n.get("pattern"), n.get("content")) for n in (told["normalizer"] or {}).get("normalizers", [])]
