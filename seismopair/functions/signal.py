@@ -92,6 +92,55 @@ def peak(cc: np.ndarray, allow_negative: bool = False) -> tuple[np.ndarray, np.n
     return best - lags, cc[np.arange(len(cc)), best]
 
 
+class Matched:
+    """Correlations, as `correlate` tells them, of every row of `a` with every row of `b`; rows of the shorter traces have zeros on both sides."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, lags: int):
+        self.n, self.lags = max(a.shape[1], b.shape[1]), lags
+        if not (a.shape[1] and b.shape[1]):
+            return
+        a, b = (np.pad(t, ((0, 0), ((self.n - t.shape[1]) // 2, self.n - t.shape[1] - (self.n - t.shape[1]) // 2))) for t in (a, b))
+        self.a, self.b = (np.ascontiguousarray(t - t.mean(1, keepdims=True)) for t in (a, b))
+        self.energy = [(t * t).sum(1) for t in (self.a, self.b)]
+        if lags > 64:
+            self.size = 1 << int(np.ceil(np.log2(max(2 * self.n, 2))))
+            self.spectra = np.fft.rfft(self.a, self.size), np.conj(np.fft.rfft(self.b, self.size))
+
+    def correlations(self, one: slice, two: slice) -> np.ndarray:
+        """A matrix for each lag from -lags to lags."""
+        a, b, n = self.a[one], self.b[two], self.n
+        norm = np.sqrt(self.energy[0][one][:, None] * self.energy[1][two][None])
+        scale = 1 / np.where(norm > 0, norm, 1)
+        out = np.zeros((2 * self.lags + 1, len(a), len(b)))
+        lags = np.arange(-min(self.lags, n - 1), min(self.lags, n - 1) + 1)
+        if self.lags > 64:
+            for i, row in enumerate(self.spectra[0][one]):
+                some = max(1, SAMPLES // self.size)
+                for at in range(0, len(b), some):
+                    whole = np.fft.irfft(row * self.spectra[1][two][at : at + some], self.size)
+                    out[lags + self.lags, i, at : at + some] = whole[:, lags % self.size].T
+        else:
+            for lag in lags:
+                x, y = (a[:, lag:], b[:, : n - lag]) if lag >= 0 else (a[:, : n + lag], b[:, -lag:])
+                np.matmul(x, y.T, out=out[lag + self.lags])
+        out *= scale
+        return out
+
+
+def peak_of_lags(cc: np.ndarray, allow_negative: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """`peak` of correlations that have a matrix for each lag."""
+    lags = len(cc) // 2
+    order = sorted(range(len(cc)), key=lambda k: (abs(k - lags), k))
+    size = np.abs(cc) if allow_negative else cc
+    least = size.max(0) - 1e-12
+    lag, value = np.zeros(least.shape, np.int32), cc[lags].copy()
+    for k in reversed(order):
+        best = size[k] >= least
+        np.copyto(lag, k - lags, where=best, casting="unsafe")
+        np.copyto(value, cc[k], where=best)
+    return lag, value
+
+
 def mad(cc: np.ndarray) -> np.ndarray:
     """Median absolute deviation of each row's values above 1e-5 in size, unscaled; 0 for a row without any."""
     own = np.abs(cc) > 1e-5

@@ -119,12 +119,14 @@ def greedy(pairs: DataFrame, events: DataFrame) -> DataFrame:
         for a, b in zip(group["a"], group["b"], strict=True):
             near.setdefault(a, {a}).add(b)
         families: list[set[str]] = []
+        first: dict[str, int] = {}  # the first family that an event is in
         for _, a in sorted(set(zip(group["t"], group["a"], strict=True))):
-            home = next((f for f in families if f & near[a]), None)
-            if home is None:
-                families.append(set(near[a]))
-            else:
-                home |= near[a]
+            home = min((first[e] for e in near[a] if e in first), default=len(families))
+            if home == len(families):
+                families.append(set())
+            families[home] |= near[a]
+            for e in near[a]:
+                first[e] = min(first.get(e, home), home)
         name = group["component"].iloc[0]
         found = [(e, f"{name}#{k}") for k, f in enumerate(families) for e in sorted(f)]
         return pd.DataFrame(found, columns=["evid", "cluster"])
