@@ -48,3 +48,8 @@ def test_status_by_blocks(spark, monkeypatch):
     found = told(pairs.waveform_status(events, have))
     assert found == told(pairs.with_waveforms(one.join(two, "trace_id").where("evid1 < evid2"), have))
     assert {r[3] for r in found} == {"ok", "no_waveform", "dt_mismatch"}
+
+
+def test_status_query_looks_up_no_waveform_for_a_pair(spark, sf, monkeypatch):
+    monkeypatch.delattr(pairs, "with_waveforms")
+    assert registry.QUERIES["pair_missing_waveform_status"](spark, sf).count() > 1000
