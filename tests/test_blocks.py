@@ -53,3 +53,22 @@ def test_status_by_blocks(spark, monkeypatch):
 def test_status_query_looks_up_no_waveform_for_a_pair(spark, sf, monkeypatch):
     monkeypatch.delattr(pairs, "with_waveforms")
     assert registry.QUERIES["pair_missing_waveform_status"](spark, sf).count() > 1000
+
+
+def test_greedy_looks_at_no_family_but_the_first_that_it_overlaps(spark):
+    """Against the rule as it is written, on a dense random graph."""
+    rng = np.random.default_rng(5)
+    names = [f"e{i:03}" for i in range(80)]
+    links = sorted({(names[min(i, j)], names[max(i, j)]) for i, j in rng.integers(0, 80, (110, 2)) if i != j})
+    ev = spark.createDataFrame([(e, i * 37 % 80) for i, e in enumerate(names)], "evid string, t long").selectExpr("evid", "timestamp_seconds(t) AS orig_time")
+    near = {e: {e} | {b for a, b in links if a == e} | {a for a, b in links if b == e} for e in names}
+    want = []
+    for e in sorted((e for e in names if len(near[e]) > 1), key=lambda e: (names.index(e) * 37 % 80, e)):
+        home = next((f for f in want if f & near[e]), None)
+        if home is None:
+            want.append(home := set())
+        home |= near[e]
+    found = {}
+    for r in graph.greedy(spark.createDataFrame(links, "evid1 string, evid2 string"), ev).collect():
+        found.setdefault(r.cluster, set()).add(r.evid)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want))
