@@ -72,3 +72,12 @@ def test_greedy_looks_at_no_family_but_the_first_that_it_overlaps(spark):
     for r in graph.greedy(spark.createDataFrame(links, "evid1 string, evid2 string"), ev).collect():
         found.setdefault(r.cluster, set()).add(r.evid)
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want))
+
+
+@pytest.mark.parametrize("name", ["family_summary"])
+def test_family_queries_store_links_only(spark, sf, monkeypatch, name):
+    stored = []
+    monkeypatch.setattr(registry, "stage", lambda df, name, real=registry.stage: stored.append(real(df, name)) or stored[-1])
+    assert registry.QUERIES[name](spark, sf).count()
+    assert stored[0].where("cc_x100 >= 38").count() == registry.correlated(spark, sf).where("bround(cc * 100) >= 38").count()
+    assert stored[0].where("cc_x100 < 36").count() == 0
