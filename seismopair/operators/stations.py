@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,18 +17,18 @@ from ..shared import SMALL, is_small
 CELLS, STATIONS = 1 << 21, SMALL
 
 
-def _meeting(events: DataFrame, stations: DataFrame, columns: tuple[str, ...], kernel: Callable, schema: str) -> DataFrame:
+def _meeting(events: DataFrame, stations: DataFrame, columns: tuple[str, ...], kernel: Callable, schema: str, whole: bool = False) -> DataFrame:
     """Rows that `kernel` makes of some events (a dictionary of arrays) and some stations (trace ids, latitudes, longitudes), for all of both.
 
     Up to STATIONS stations go to every executor once, and events meet them where they are. More are dealt to chunks of that size, events to
-    blocks, and each chunk meets each block in a task of its own.
+    blocks, and each chunk meets each block in a task of its own. A kernel that takes a batch `whole` bounds its own memory.
     """
     place = stations.where("lat is not null and lon is not null").select("trace_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     rows = events.where("lat is not null and lon is not null").select(*columns)
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def made(batch, s: tuple) -> Iterator[pa.RecordBatch]:
-        some = max(1, CELLS // max(1, len(s[0])))
+        some = max(1, batch.num_rows if whole else CELLS // max(1, len(s[0])))
         for at in range(0, batch.num_rows, some):
             part = batch.slice(at, some)
             own = {c: (part.column(c).to_numpy() if isinstance(part, pa.Table) else part.column(c).to_numpy(zero_copy_only=False)) for c in columns}
@@ -72,6 +73,56 @@ def _orders(km: np.ndarray, k: int | None) -> np.ndarray:
     return out
 
 
+def _xyz(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    p, q = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)], axis=1)
+
+
+def _nearest(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each first place the nearest second one, the first of equals, and its distance on the sphere: told exactly among those that inner products, with some to spare for rounding, can't tell apart."""
+    near = _xyz(lat1, lon1) @ _xyz(lat2, lon2).T
+    i, j = np.nonzero(~(near < near.max(1, keepdims=True) - 1e-13))
+    km = geo.sphere_km(lat1[i], lon1[i], lat2[j], lon2[j])
+    order = np.lexsort((j, km, i))
+    first = order[np.unique(i[order], return_index=True)[1]]
+    return j[first], km[first]
+
+
+def _placed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """events (those with a place) with _place, and each place once, as evid, lat, lon."""
+    lat, lon = (F.col(c).cast("double") + F.lit(0.0) for c in ("lat", "lon"))  # no -0.0
+    rows = events.where("lat is not null and lon is not null").withColumn("_place", F.concat_ws(" ", lat.cast("string"), lon.cast("string")))
+    return rows, rows.select(F.col("_place").alias("evid"), lat.alias("lat"), lon.alias("lon")).distinct()
+
+
+def ranking_digests(events: DataFrame, stations: DataFrame, distance: Callable = geo.ellipsoid_km) -> DataFrame:
+    """evid, n, nearest, furthest_km, ranking: of `rankings` of all stations the size, the ends, and the MD5 of the ids with spaces between. A place is ranked once for all its events."""
+    rows, places = _placed(events)
+    if not is_small(stations, STATIONS):
+        told = rankings(places, stations, distance=distance)
+        found = told.select("evid", F.size("trace_ids").cast("bigint").alias("n"), F.get("trace_ids", F.lit(0)).alias("nearest"), F.element_at("distances_km", -1).alias("furthest_km"), F.md5(F.array_join("trace_ids", " ").cast("binary")).alias("ranking"))
+    else:
+
+        def kernel(event: dict, trace: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> Iterator[pa.RecordBatch]:
+            km = distance(event["lat"].astype(float)[:, None], event["lon"].astype(float)[:, None], lat[None], lon[None])
+            if not len(trace):
+                return
+            names, told = np.array([str(t).encode() for t in trace], object), []
+            for row in km:
+                order = np.argsort(row)
+                held = row[order]
+                if not (held[1:] > held[:-1]).all():  # ties
+                    order = np.argsort(row, kind="stable")
+                told.append((trace[order[0]], row[order[-1]], hashlib.md5(b" ".join(names[order].tolist())).hexdigest()))
+            nearest, furthest, digest = zip(*told, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(event["evid"], pa.string()), pa.array([len(trace)] * len(told), pa.int64()), pa.array(nearest, pa.string()), pa.array(furthest, pa.float64()), pa.array(digest, pa.string())], names=["evid", "n", "nearest", "furthest_km", "ranking"])
+
+        # a place is some work, whose rows are few bytes
+        spread = places.repartition(max(1, places.sparkSession.sparkContext.defaultParallelism) * 4, "evid")
+        found = _meeting(spread, stations, ("evid", "lat", "lon"), kernel, "evid string, n bigint, nearest string, furthest_km double, ranking string")
+    return rows.select("evid", "_place").join(found.withColumnRenamed("evid", "_place"), "_place").drop("_place")
+
+
 def rankings(events: DataFrame, stations: DataFrame, k: int | None = None, distance: Callable = geo.ellipsoid_km) -> DataFrame:
     """evid, trace_ids, distances_km: each event's stations (the k nearest, if given), nearest first; ties go by trace_id.
 
@@ -80,6 +131,12 @@ def rankings(events: DataFrame, stations: DataFrame, k: int | None = None, dista
     """
 
     def kernel(event: dict, trace: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if k == 1 and distance is geo.sphere_km and len(lat):
+            at, km = _nearest(event["lat"].astype(float), event["lon"].astype(float), lat, lon)
+            cut = pa.array(np.arange(len(km) + 1, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(cut, v) for v in (pa.array(trace, pa.string()).take(pa.array(at)), pa.array(km))]
+            yield pa.RecordBatch.from_arrays([pa.array(event["evid"], pa.string()), *lists], names=["evid", "trace_ids", "distances_km"])
+            return
         km = distance(event["lat"].astype(float)[:, None], event["lon"].astype(float)[:, None], lat[None], lon[None])
         order = _orders(km, k)
         cut = pa.array(np.arange(len(km) + 1, dtype=np.int32) * order.shape[1])
@@ -103,7 +160,10 @@ def ranked(events: DataFrame, stations: DataFrame, k: int | None = None, distanc
 
 
 def nearest(events: DataFrame, stations: DataFrame, distance: Callable = geo.ellipsoid_km) -> DataFrame:
-    return ranked(events, stations, 1, distance).drop("rank")
+    """evid, trace_id, distance_km of each event's nearest station; a place is looked up once for all its events."""
+    rows, places = _placed(events)
+    found = ranked(places.repartition(max(1, places.sparkSession.sparkContext.defaultParallelism) * 4, "evid"), stations, 1, distance).drop("rank")
+    return rows.select("evid", "_place").join(found.withColumnRenamed("evid", "_place"), "_place").select("evid", "trace_id", "distance_km")
 
 
 def with_fallback(pairs: DataFrame, ranks: DataFrame, waveforms: DataFrame) -> DataFrame:
@@ -123,16 +183,48 @@ def with_fallback(pairs: DataFrame, ranks: DataFrame, waveforms: DataFrame) -> D
 def extremes(events: DataFrame, stations: DataFrame) -> DataFrame:
     """For each trace the events of least and largest hypocentral distance: near_evid, near_km, far_evid, far_km; ties go by evid, the smaller for the nearest, the larger for the furthest."""
 
+    depth = F.greatest(F.coalesce(F.nanvl(F.col("depth_km").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    rows, _ = _placed(events)
+    # of a place only the shallowest and the deepest event count
+    ends = rows.groupBy("_place").agg(F.first(F.col("lat").cast("double")).alias("lat"), F.first(F.col("lon").cast("double")).alias("lon"), F.min(F.struct(depth.alias("z"), "evid")).alias("a"), F.max(F.struct(depth.alias("z"), "evid")).alias("b"))
+    places = ends.select(F.col("_place").alias("evid"), "lat", "lon", F.col("a.z").alias("high"), F.col("a.evid").alias("high_evid"), F.col("b.z").alias("low"), F.col("b.evid").alias("low_evid"))
+
     def kernel(event: dict, trace: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(event["evid"].astype(str), kind="stable")
-        evid, lat1, lon1, depth = (event[c][order] for c in ("evid", "lat", "lon", "depth_km"))
-        depth = np.maximum(np.nan_to_num(depth.astype(float)), 0)
-        km = np.hypot(geo.sphere_km(lat1.astype(float)[:, None], lon1.astype(float)[:, None], lat[None], lon[None]), depth[:, None])
-        near, far = km.argmin(0), len(km) - 1 - km[::-1].argmax(0)
-        at = np.arange(len(trace))
-        yield pa.RecordBatch.from_arrays([pa.array(trace, pa.string()), pa.array(evid[near], pa.string()), pa.array(km[near, at]), pa.array(evid[far], pa.string()), pa.array(km[far, at])], names=["trace_id", "near_evid", "near_km", "far_evid", "far_km"])
-
-    some = _meeting(events, stations, ("evid", "lat", "lon", "depth_km"), kernel, "trace_id string, near_evid string, near_km double, far_evid string, far_km double")
+        lat1, lon1, high, low = (event[c].astype(float) for c in ("lat", "lon", "high", "low"))
+        ends = [(high, event["high_evid"], 1), (low, event["low_evid"], -1)]
+        ranks = [sign * np.unique(names.astype(str), return_inverse=True)[1] for _, names, sign in ends]
+        # of each station the best so far: distance (negative for the furthest), rank of the name, event
+        best = [(np.full(len(trace), np.inf), np.zeros(len(trace), np.int64), np.zeros(len(trace), np.int64)) for _ in ends]
+        one, two = _xyz(lat, lon), _xyz(lat1, lon1)
+        some = max(1, CELLS // max(1, len(trace)))
+        for at in range(0, len(lat1), some):
+            # squares of distances but for a metre; what they can't tell apart is told exactly
+            about = one @ two[at : at + some].T
+            np.clip(about, -1, 1, out=about)
+            np.arccos(about, out=about)
+            about *= geo.EARTH_KM
+            about *= about
+            for (z, _, sign), rank, (had_km, had_rank, had) in zip(ends, ranks, best, strict=True):
+                own = about + (z * z)[None, at : at + some]
+                if sign > 0:
+                    limit = np.minimum(np.sqrt(own.min(1)), had_km) + 1e-3
+                    s, e = np.nonzero(own <= (limit * limit)[:, None])
+                else:
+                    limit = np.maximum(np.maximum(np.sqrt(own.max(1)), -had_km) - 1e-3, 0)
+                    s, e = np.nonzero(own >= (limit * limit)[:, None])
+                e += at
+                km = sign * np.hypot(geo.sphere_km(lat1[e], lon1[e], lat[s], lon[s]), z[e])
+                order = np.lexsort((rank[e], km, s))
+                first = order[np.unique(s[order], return_index=True)[1]]
+                s, e, km = s[first], e[first], km[first]
+                better = (km < had_km[s]) | ((km == had_km[s]) & (rank[e] < had_rank[s]))
+                s, e, km = s[better], e[better], km[better]
+                had_km[s], had_rank[s], had[s] = km, rank[e], e
+        made = [v for (_, names, sign), (km, _, e) in zip(ends, best, strict=True) for v in (pa.array(names[e], pa.string()), pa.array(sign * km))]
+        yield pa.RecordBatch.from_arrays([pa.array(trace, pa.string()), *made], names=["trace_id", "near_evid", "near_km", "far_evid", "far_km"])
+
+    spread = places.repartition(max(1, places.sparkSession.sparkContext.defaultParallelism) * 2, "evid")
+    some = _meeting(spread, stations, ("evid", "lat", "lon", "high", "high_evid", "low", "low_evid"), kernel, "trace_id string, near_evid string, near_km double, far_evid string, far_km double", whole=True)
     best = some.groupBy("trace_id").agg(F.min(F.struct("near_km", "near_evid")).alias("a"), F.max(F.struct("far_km", "far_evid")).alias("b"))
     return best.select("trace_id", "a.near_evid", "a.near_km", "b.far_evid", "b.far_km")
 
