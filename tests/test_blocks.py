@@ -74,7 +74,7 @@ def test_greedy_looks_at_no_family_but_the_first_that_it_overlaps(spark):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want))
 
 
-@pytest.mark.parametrize("name", ["family_summary", "family_selection", "family_distance_stats", "family_global_stats", "family_color_scale", "family_cumulative"])
+@pytest.mark.parametrize("name", ["family_summary", "family_selection", "family_distance_stats", "family_global_stats", "family_color_scale", "family_cumulative", "family_flag_update"])
 def test_family_queries_store_links_only(spark, sf, monkeypatch, name):
     stored = []
     monkeypatch.setattr(registry, "stage", lambda df, name, real=registry.stage: stored.append(real(df, name)) or stored[-1])
