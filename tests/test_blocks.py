@@ -81,3 +81,9 @@ def test_family_queries_store_links_only(spark, sf, monkeypatch, name):
     assert registry.QUERIES[name](spark, sf).count()
     assert stored[0].where("cc_x100 >= 38").count() == registry.correlated(spark, sf).where("bround(cc * 100) >= 38").count()
     assert stored[0].where("cc_x100 < 36").count() == 0
+
+
+@pytest.mark.parametrize("name", ["pair_mad_ratio", "pair_crosscorr_abs", "pair_crosscorr_100hz"])
+def test_correlation_queries_make_no_pair_row_with_samples(spark, sf, monkeypatch, name):
+    monkeypatch.delattr(signal, "correlated")
+    assert registry.QUERIES[name](spark, sf).columns[:2] == ["evid1", "evid2"]
