@@ -18,16 +18,15 @@ def scan_catalog(catalog: DataFrame, waveforms: DataFrame, cfg: Config | None =
     `station_rows` (trace_id, lat, lon) a pair is looked up on the first event's nearest trace that both events have a waveform on.
     """
     cfg = cfg or Config()
-    carry = ("trace_id",) if station_rows is None else ()
-    found = pairs.radius_pairs(catalog, cfg.catalog_search_range, carry=carry)
-    found = found.withColumnRenamed("trace_id1", "trace_id").drop("trace_id2")
-    if existing is not None:
-        found = pairs.without_existing(found, existing)
     traces = waveforms.select("evid", "trace_id", "sampling_rate", "data")
-    if station_rows is not None:
-        own = station_rows if not cfg.catalog_trace_ids else station_rows.where(F.col("trace_id").isin(*cfg.catalog_trace_ids))
-        found = stations.with_fallback(found, stations.ranked(catalog, own), traces.where(F.size("data") > 0)).drop("status")
-    return correlate(pairs.with_waveforms(found, signal.conditioned_traces(traces, "data", "sampling_rate", cfg.cc_freq_min, cfg.cc_freq_max)), cfg)
+    ready = signal.conditioned_traces(traces, "data", "sampling_rate", cfg.cc_freq_min, cfg.cc_freq_max)
+    if station_rows is None:
+        told = pairs.correlated_in_range(catalog, ready, cfg.catalog_search_range, float(cfg.cc_max_shift), cfg.cc_allow_negative, existing)
+        return told.select("evid1", "evid2", "trace_id", "lag_samples", units.encode_cc(F.col("cc")).alias("cc_x100"), "sampling_rate_hz", "status")
+    found = pairs.radius_pairs(catalog, cfg.catalog_search_range, existing=existing).drop("distance_km")
+    own = station_rows if not cfg.catalog_trace_ids else station_rows.where(F.col("trace_id").isin(*cfg.catalog_trace_ids))
+    found = stations.with_fallback(found, stations.ranked(catalog, own), traces.where(F.size("data") > 0)).drop("status")
+    return correlate(pairs.with_waveforms(found, ready), cfg)
 
 
 def correlate(rows: DataFrame, cfg: Config) -> DataFrame:
