@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal
 from ..shared import small
+from . import graph
 
 #: Rows, and samples, of a block, about; pairs whose correlations are held at a time, over all lags.
 ROWS, SAMPLES, HELD = 1024, 1 << 20, 1 << 18
@@ -61,6 +62,26 @@ def correlated(traces: DataFrame, lags: int, allow_negative: bool = False, with_
     return dealt(traces.select("evid", "trace_id", F.col("data").cast("array<double>").alias("data")), "data").groupBy("trace_id", "_low", "_high").applyInArrow(run, schema)
 
 
+def packed(traces: DataFrame, part: DataFrame, lags: int, allow_negative: bool = False) -> DataFrame:
+    """Correlations in hundredths of each two traces of one trace_id whose events are in one component of part (id, component), as rows of `graph.packed`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        low, high = (group[c][0].as_py() for c in ("_low", "_high"))
+        own, component = group["_own"].to_numpy(), group["component"][0].as_py()
+        sides = [_by_length(group.filter(pa.array(own == k))) for k in ((low,) if low == high else (low, high))]
+        for one, two in [(sides[0], sides[-1])] + ([(sides[1], sides[0])] if low < high else []):
+            for a in one:
+                for b in two:
+                    for names, others, i, j, _, cc, _ in _found(*a, *b, lags, allow_negative, False, None):
+                        if cc is not None:
+                            yield graph.packed(component, pa.array(names, pa.string()), pa.array(others, pa.string()), i, j, np.rint(cc * 100).astype(np.int64))
+
+    own = traces.join(part.withColumnRenamed("id", "evid"), "evid").withColumn("trace_id", F.to_json(F.struct("component", "trace_id")))
+    met = dealt(own.select("evid", "trace_id", "component", F.col("data").cast("array<double>").alias("data")), "data")
+    return met.groupBy("trace_id", "_low", "_high").applyInArrow(run, graph._PACKED)
+
+
 def _by_length(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     """Names in order and traces of each length; null traces have none."""
     names = rows["evid"].to_numpy(zero_copy_only=False) if rows.num_rows else np.array([], object)
@@ -78,10 +99,19 @@ def _by_length(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _met(trace: str, names: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, lags: int, allow_negative: bool, with_mad: bool, keep: Callable | None) -> Iterator[pa.RecordBatch]:
     """Pairs of a name and a larger one of `others`, both in order."""
+    b = pa.array(others, pa.string())
+    for own, _, i, j, lag, value, spread in _found(names, x, others, y, lags, allow_negative, with_mad, keep):
+        made = [pa.nulls(len(i), pa.int32() if k == 0 else pa.float64()) if v is None else pa.array(v) for k, v in enumerate((lag, value, spread)[: 2 + with_mad])]
+        name = pa.array(own, pa.string())
+        yield pa.RecordBatch.from_arrays([name.take(pa.array(i)), b.take(pa.array(j)), pa.repeat(pa.scalar(trace, pa.string()), len(i)), *made], names=["evid1", "evid2", "trace_id", "lag_samples", "cc"] + ["cc_mad"] * with_mad)
+
+
+def _found(names: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, lags: int, allow_negative: bool, with_mad: bool, keep: Callable | None) -> Iterator[tuple]:
+    """Some names, all others, and of pairs of these their places, lags, correlations and spreads; the last three are None without a result."""
     empty = not (x.shape[1] and y.shape[1])
     if empty and keep is not None:
         return
-    a, b = signal.Matched(x, y, lags), pa.array(others, pa.string())
+    a = signal.Matched(x, y, lags)
     some = max(1, HELD // ((2 * lags + 1) * max(1, len(others))))
     for at in range(0, len(names), some):
         own = names[at : at + some]
@@ -91,17 +121,13 @@ def _met(trace: str, names: np.ndarray, x: np.ndarray, others: np.ndarray, y: np
         # of each row the place of its first larger name
         starts = np.searchsorted(others, own, side="right") - first
         wanted = np.arange(len(others) - first) >= starts[:, None]
-        if empty:
-            i, j = np.nonzero(wanted)
-            made = [pa.nulls(len(i), pa.int32())] + [pa.nulls(len(i), pa.float64())] * (1 + with_mad)
-        else:
+        lag = value = spread = None
+        if not empty:
             cc = a.correlations(slice(at, at + some), slice(first, None))
             lag, value = signal.peak_of_lags(cc, allow_negative)
             spread = signal.mad(cc.reshape(len(cc), -1).T).reshape(value.shape) if with_mad else value
             if keep is not None:
-                wanted &= keep(value, spread)
-            i, j = np.nonzero(wanted)
-            made = [pa.array(v[i, j]) for v in (lag, value, spread)[: 2 + with_mad]]
+                wanted &= keep(np.where(wanted, value, np.nan), spread)
+        i, j = np.nonzero(wanted)
         if len(i):
-            name = pa.array(own, pa.string())
-            yield pa.RecordBatch.from_arrays([name.take(pa.array(i)), b.take(pa.array(j + first)), pa.repeat(pa.scalar(trace, pa.string()), len(i)), *made], names=["evid1", "evid2", "trace_id", "lag_samples", "cc"] + ["cc_mad"] * with_mad)
+            yield own, others, i, j + first, *(None if v is None else v[i, j] for v in (lag, value, spread))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import release, stage
+from ..shared import release, small, stage
+
+#: Pairs that are packed together, and events whose components may be sent to every executor.
+HELD = 1 << 19
 
 
 def _contracted(links: DataFrame, parent: DataFrame) -> DataFrame:
@@ -54,54 +62,135 @@ def adjacency(pairs: DataFrame, order: str = "seq") -> DataFrame:
     return last.unionAll(last.select(F.col("b").alias("a"), F.col("a").alias("b"), "cc"))
 
 
-def average_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
-    """Cluster of each item by average linkage, merges up to height `cut` included; ties go to the pair that stands first."""
-    n = len(distance)
-    size, alive = np.ones(n), np.ones(n, bool)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
-    for _ in range(n - 1):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if d[i, j] > cut:
+def average_linkage(sums: np.ndarray, n: int, cut: float) -> np.ndarray:
+    """Cluster of each of n items, as its first item, by average linkage, merges up to height `cut` included; ties go to the pair that stands first.
+
+    `sums` are the distances above the diagonal, row by row; those of clusters are added up in them, so that whole numbers stay exact. A row's nearest is looked up anew only when its turn comes:
+    as averages lie between those they are made of, what is known of it can't be too large.
+    """
+    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    row = np.arange(n, dtype=np.int64)
+    base = row * n - row * (row + 1) // 2 - row - 1  # the place of (i, j) is base[i] + j
+    near, height, known = np.zeros(n, np.int64), np.full(n, np.inf), np.ones(n, bool)
+    top, most = float(np.abs(sums).max(initial=0)), 1.0
+
+    def look(i: int) -> None:
+        height[i], known[i] = np.inf, True
+        if i + 1 < n:
+            mean = sums[base[i] + i + 1 : base[i] + n] / np.where(alive[i + 1 :], size[i] * size[i + 1 :], np.nan)
+            mean[~alive[i + 1 :]] = np.inf
+            near[i] = i + 1 + np.argmin(mean)
+            height[i] = mean[near[i] - i - 1]
+
+    for i in range(n):
+        look(i)
+    while n > 1:
+        i = int(np.argmin(height))
+        if not height[i] <= cut:
             break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        merged[~alive] = np.inf
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
+        if not known[i]:
+            look(i)
+            continue
+        j = int(near[i])
+        most = max(most, size[i] + size[j])
+        if sums.dtype == np.int32 and top * most * most >= 2**31:
+            sums = sums.astype(np.int64)
+        sums[base[:i] + i] += sums[base[:i] + j]
+        sums[base[i] + i + 1 : base[i] + j] += sums[base[i + 1 : j] + j]
+        sums[base[i] + j + 1 : base[i] + n] += sums[base[j] + j + 1 : base[j] + n]
         size[i] += size[j]
-        alive[j] = False
+        alive[j], height[j] = False, np.inf
         label[label == j] = i
+        known &= ~((near == i) | (near == j))
+        look(i)
     return label
 
 
-def upgma(pairs: DataFrame, cc_min: float) -> DataFrame:
+_PACKED = "component string, one array<string>, two array<string>, n bigint, hundredths boolean, pairs binary"
+
+
+def packed(component: str, one: pa.Array, two: pa.Array, i: np.ndarray, j: np.ndarray, cc: np.ndarray) -> pa.RecordBatch:
+    """A row for pairs of names, by their places: `cc` are whole hundredths, or doubles."""
+    body = b"".join(np.diff(x, prepend=0).astype("<i4").tobytes() for x in (i, j)) + cc.astype("<i2" if cc.dtype.kind == "i" else "<f8").tobytes()
+    lists = [pa.array([x.to_pylist()], pa.list_(pa.string())) for x in (one, two)]
+    return pa.RecordBatch.from_arrays([pa.array([component], pa.string()), *lists, pa.array([len(i)], pa.int64()), pa.array([cc.dtype.kind == "i"]), pa.array([zlib.compress(body, 1)], pa.binary())], names=["component", "one", "two", "n", "hundredths", "pairs"])
+
+
+def _packed_rows(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs within a component, many to a row; components travel to pairs where that is possible."""
+    one, two = (small(part.select(F.col("id").alias(f"evid{k}"), F.col("component").alias(f"c{k}")), HELD) for k in (1, 2))
+    rows = pairs.join(one, "evid1").join(two, "evid2").where("c1 = c2").select("c1", "evid1", "evid2", "cc")
+
+    def told(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        name = pc.dictionary_encode(whole["c1"].combine_chunks())
+        code = name.indices.to_numpy()
+        for k, c in enumerate(name.dictionary.to_pylist()):
+            own = whole.take(pa.array(np.flatnonzero(code == k)))
+            a, b = (pc.dictionary_encode(own[f"evid{x}"].combine_chunks()) for x in (1, 2))
+            yield packed(c, a.dictionary, b.dictionary, a.indices.to_numpy().astype(np.int64), b.indices.to_numpy().astype(np.int64), _hundredths(own["cc"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                yield from told(held)
+                held, n = [], 0
+        if n:
+            yield from told(held)
+
+    return rows.mapInArrow(run, _PACKED)
+
+
+def _hundredths(cc: np.ndarray) -> np.ndarray:
+    """cc in whole hundredths, if it is in such."""
+    whole = np.rint(cc * 100)
+    return whole.astype(np.int64) if np.array_equal(whole / 100, cc) and np.abs(whole).max(initial=0) < 2**15 else cc
+
+
+def _clustered(least: float, cc_min: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        names = pc.unique(pa.chunked_array([x.column(c).flatten() for x in held for c in ("one", "two")]))
+        names = names.take(pc.array_sort_indices(names))
+        n = len(names)
+        whole = _hundredths(np.array([least])).dtype.kind == "i" and all(pc.all(x.column("hundredths")).as_py() in (True, None) for x in held)
+        scale = 100 if whole else 1
+        sums = np.full(n * (n - 1) // 2, scale - round(scale * least) if whole else 1 - least, np.int32 if whole else float)
+        while held:  # what is read may go
+            batch = held.pop()
+            for one, two, m, is_whole, blob in zip(*(batch.column(c) for c in ("one", "two", "n", "hundredths", "pairs")), strict=True):
+                body, m = zlib.decompress(blob.as_py()), m.as_py()
+                cc = np.frombuffer(body[8 * m :], "<i2" if is_whole.as_py() else "<f8")
+                if is_whole.as_py() and not whole:
+                    cc = cc / 100
+                at = [np.asarray(pc.index_in(x.values, value_set=names)).astype(np.int64)[np.cumsum(np.frombuffer(body[4 * m * k : 4 * m * (k + 1)], "<i4"))] for k, x in enumerate((one, two))]
+                i, j = np.minimum(*at), np.maximum(*at)
+                sums[i * n - i * (i + 1) // 2 + j - i - 1] = scale - cc.astype(sums.dtype)
+            del batch
+        pa.default_memory_pool().release_unused()
+        label = average_linkage(sums, n, scale * (1 - cc_min) + (1e-9 if whole else 1e-12))
+        own = np.flatnonzero(np.bincount(label, minlength=n)[label] > 1)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(x)) for x in (own, label[own])], names=["evid", "cluster"])
+
+    return run
+
+
+def upgma(pairs: DataFrame, cc_min: float, whole: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(evid, cluster) of clusters of two events or more, by average linkage on 1 - cc, cut at 1 - cc_min; a missing pair has the least cc of all.
 
     A merge below the cut takes a pair with cc >= cc_min, so clusters lie within components of such pairs and
-    each component is clustered alone, on all the pairs inside it. cluster is the smallest evid.
+    each component is clustered alone, on all the pairs inside it. cluster is the smallest evid. Pairs inside components travel `packed`; where `pairs` has but those of cc_min or more,
+    and one of the least cc, `whole` makes all that are inside from (id, component).
     """
     least = pairs.agg(F.min("cc")).first()[0]
     if least is None:
         return pairs.select(F.col("evid1").alias("evid"), F.col("evid1").alias("cluster")).limit(0)
     part = stage(components(pairs.where(F.col("cc") >= cc_min).select(F.col("evid1").alias("a"), F.col("evid2").alias("b"))), "parts")
-    one, two = (part.select(F.col("id").alias(f"evid{k}"), F.col("component").alias(f"c{k}")) for k in (1, 2))
-    inner = pairs.join(one, "evid1").join(two, "evid2").where("c1 = c2")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(group["evid1"]) | set(group["evid2"]))
-        at = {v: i for i, v in enumerate(names)}
-        d = np.full((len(names), len(names)), 1 - least)
-        for x, y, cc in zip(group["evid1"], group["evid2"], group["cc"], strict=True):
-            d[at[x], at[y]] = d[at[y], at[x]] = 1 - cc
-        label = average_linkage(d, 1 - cc_min + 1e-12)
-        found = pd.DataFrame({"evid": names, "label": label})
-        found = found[found.groupby("label")["evid"].transform("size") > 1]
-        return pd.DataFrame({"evid": found["evid"], "cluster": found.groupby("label")["evid"].transform("min")})
-
-    return inner.groupBy("c1").applyInPandas(run, "evid string, cluster string")
+    inner = _packed_rows(pairs, part) if whole is None else whole(part)
+    return inner.groupBy("component").applyInArrow(_clustered(least, cc_min), "evid string, cluster string")
 
 
 def greedy(pairs: DataFrame, events: DataFrame) -> DataFrame:

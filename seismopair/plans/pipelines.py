@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +41,13 @@ def correlate(rows: DataFrame, cfg: Config) -> DataFrame:
     return told.select("evid1", "evid2", "trace_id", "lag_samples", units.encode_cc(F.col("cc")).alias("cc_x100"), "sampling_rate_hz", "status")
 
 
-def build_families(pair_rows: DataFrame, catalog: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """Members of families of two events or more, numbered; `pair_rows` have cc_x100."""
+def build_families(pair_rows: DataFrame, catalog: DataFrame, cfg: Config | None = None, whole: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Members of families of two events or more, numbered; `pair_rows` have cc_x100. `whole`: as in `graph.upgma`."""
     cfg = cfg or Config()
     seen = pair_rows.where(F.col("cc_x100").isNotNull())
     edges = seen.where(units.cc_between(F.col("cc_x100"), cfg.cc_min))
     if cfg.clustering_algorithm == "UPGMA":
-        groups = graph.upgma(seen.select("evid1", "evid2", units.decode_cc(F.col("cc_x100")).alias("cc")), cfg.cc_min)
+        groups = graph.upgma(seen.select("evid1", "evid2", units.decode_cc(F.col("cc_x100")).alias("cc")), cfg.cc_min, whole)
     elif cfg.clustering_algorithm == "shared":
         groups = graph.greedy(edges, catalog)
     else:
