@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from ..functions import geo, traveltime
 from ..shared import SMALL, is_small
 
-#: Distances that a task holds at a time, and stations that are sent to all executors as one array at most.
-CELLS, STATIONS = 1 << 21, SMALL
+#: Distances that a task holds at a time; stations that are sent to all executors as one array at most, and such that are ranked there.
+CELLS, STATIONS, RANKED = 1 << 21, SMALL, 1 << 20
 
 
-def _meeting(events: DataFrame, stations: DataFrame, columns: tuple[str, ...], kernel: Callable, schema: str, whole: bool = False) -> DataFrame:
+def _meeting(events: DataFrame, stations: DataFrame, columns: tuple[str, ...], kernel: Callable, schema: str, whole: bool = False, most: int | None = None, block: int | None = None) -> DataFrame:
     """Rows that `kernel` makes of some events (a dictionary of arrays) and some stations (trace ids, latitudes, longitudes), for all of both.
 
-    Up to STATIONS stations go to every executor once, and events meet them where they are. More are dealt to chunks of that size, events to
-    blocks, and each chunk meets each block in a task of its own. A kernel that takes a batch `whole` bounds its own memory.
+    Up to STATIONS stations (or `most`) go to every executor once, and events meet them where they are. More are dealt to chunks of that size, events to
+    blocks (of STATIONS, or `block`), and each chunk meets each block in a task of its own, which holds what it tells. A kernel that takes a batch `whole` bounds its own memory.
     """
     place = stations.where("lat is not null and lon is not null").select("trace_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     rows = events.where("lat is not null and lon is not null").select(*columns)
@@ -34,8 +34,8 @@ def _meeting(events: DataFrame, stations: DataFrame, columns: tuple[str, ...], k
             own = {c: (part.column(c).to_numpy() if isinstance(part, pa.Table) else part.column(c).to_numpy(zero_copy_only=False)) for c in columns}
             yield from kernel(own, *s)
 
-    if is_small(place, STATIONS):
-        table = place.orderBy("trace_id").toArrow()  # STATIONS rows at most
+    if is_small(place, most or STATIONS):
+        table = place.orderBy("trace_id").toArrow()  # so many rows at most
         held = events.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("trace_id", "lat", "lon")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def _meeting(events: DataFrame, stations: DataFrame, columns: tuple[str, ...], k
 
         return rows.mapInArrow(run, schema)
     chunks = -(-place.count() // STATIONS)
-    blocks = max(1, rows.count() // STATIONS)
+    blocks = max(1, rows.count() // (block or STATIONS))
     left = rows.withColumn("_block", F.pmod(F.xxhash64("evid"), F.lit(blocks))).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     right = place.withColumn("_chunk", F.pmod(F.xxhash64("trace_id"), F.lit(chunks)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
 
@@ -95,31 +95,75 @@ def _placed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rows.select(F.col("_place").alias("evid"), lat.alias("lat"), lon.alias("lon")).distinct()
 
 
+def _digests(places: DataFrame, stations: DataFrame, distance: Callable) -> DataFrame:
+    """evid, n, nearest, furthest_km, ranking of `places` and any number of stations: pairs are sorted by Spark, which spills, and a task reads each ranking as it comes."""
+
+    def kernel(event: dict, trace: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> Iterator[pa.RecordBatch]:
+        km = distance(event["lat"].astype(float)[:, None], event["lon"].astype(float)[:, None], lat[None], lon[None])
+        one, two = (pa.array(x.ravel()) for x in np.indices(km.shape))
+        yield pa.RecordBatch.from_arrays([pa.array(event["evid"], pa.string()).take(one), pa.array(km.ravel()), pa.array(trace, pa.string()).take(two)], names=["evid", "km", "trace_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, told = None, []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([x | {"ranking": x["ranking"].hexdigest()} for x in told], pa.schema([("evid", pa.string()), ("n", pa.int64()), ("nearest", pa.string()), ("furthest_km", pa.float64()), ("ranking", pa.string())]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            evid = batch["evid"].dictionary_encode()
+            code = evid.indices.to_numpy()
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1])).tolist()
+            for a, b in zip(starts, [*starts[1:], len(code)], strict=True):
+                some = batch.slice(a, b - a)
+                names = " ".join(t for t in some["trace_id"].to_pylist() if t is not None).encode()
+                name = evid[a].as_py()
+                if not told or name != at:
+                    if len(told) >= 1000:
+                        yield made()
+                        told = []
+                    at = name
+                    told.append({"evid": at, "n": 0, "nearest": some["trace_id"][0].as_py(), "ranking": hashlib.md5(names)})
+                else:
+                    told[-1]["ranking"].update(b" " + names)
+                told[-1] |= {"n": told[-1]["n"] + b - a, "furthest_km": some["km"][b - a - 1].as_py()}
+        if told:
+            yield made()
+
+    met = _meeting(places, stations, ("evid", "lat", "lon"), kernel, "evid string, km double, trace_id string", block=max(1, CELLS // STATIONS))
+    return met.repartition("evid").sortWithinPartitions("evid", "km", "trace_id").mapInArrow(run, "evid string, n bigint, nearest string, furthest_km double, ranking string")
+
+
 def ranking_digests(events: DataFrame, stations: DataFrame, distance: Callable = geo.ellipsoid_km) -> DataFrame:
-    """evid, n, nearest, furthest_km, ranking: of `rankings` of all stations the size, the ends, and the MD5 of the ids with spaces between. A place is ranked once for all its events."""
+    """evid, n, nearest, furthest_km, ranking: of `rankings` of all stations the size, the ends, and the MD5 of the ids with spaces between. A place is ranked once for all its events.
+
+    Up to RANKED stations go to every executor, and a task holds one ranking at a time; more are ranked by `_digests`.
+    """
     rows, places = _placed(events)
-    if not is_small(stations, STATIONS):
-        told = rankings(places, stations, distance=distance)
-        found = told.select("evid", F.size("trace_ids").cast("bigint").alias("n"), F.get("trace_ids", F.lit(0)).alias("nearest"), F.element_at("distances_km", -1).alias("furthest_km"), F.md5(F.array_join("trace_ids", " ").cast("binary")).alias("ranking"))
+    if not is_small(stations, RANKED):
+        found = _digests(places, stations, distance)
     else:
 
         def kernel(event: dict, trace: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> Iterator[pa.RecordBatch]:
-            km = distance(event["lat"].astype(float)[:, None], event["lon"].astype(float)[:, None], lat[None], lon[None])
             if not len(trace):
                 return
-            names, told = np.array([str(t).encode() for t in trace], object), []
-            for row in km:
+            names, told = pa.array([None if t is None else f"{t} " for t in trace], pa.large_string()), []
+            for one in zip(event["lat"].astype(float), event["lon"].astype(float), strict=True):
+                row = distance(*(np.array([v]) for v in one), lat, lon)
                 order = np.argsort(row)
                 held = row[order]
                 if not (held[1:] > held[:-1]).all():  # ties
                     order = np.argsort(row, kind="stable")
-                told.append((trace[order[0]], row[order[-1]], hashlib.md5(b" ".join(names[order].tolist())).hexdigest()))
+                _, ends, text = names.take(pa.array(order)).buffers()
+                size = int(np.frombuffer(ends, np.int64)[len(order)])
+                told.append((trace[order[0]], row[order[-1]], hashlib.md5(memoryview(text)[: max(0, size - 1)] if text is not None else b"").hexdigest()))
             nearest, furthest, digest = zip(*told, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(event["evid"], pa.string()), pa.array([len(trace)] * len(told), pa.int64()), pa.array(nearest, pa.string()), pa.array(furthest, pa.float64()), pa.array(digest, pa.string())], names=["evid", "n", "nearest", "furthest_km", "ranking"])
 
         # a place is some work, whose rows are few bytes
         spread = places.repartition(max(1, places.sparkSession.sparkContext.defaultParallelism) * 4, "evid")
-        found = _meeting(spread, stations, ("evid", "lat", "lon"), kernel, "evid string, n bigint, nearest string, furthest_km double, ranking string")
+        found = _meeting(spread, stations, ("evid", "lat", "lon"), kernel, "evid string, n bigint, nearest string, furthest_km double, ranking string", whole=True, most=RANKED)
     return rows.select("evid", "_place").join(found.withColumnRenamed("evid", "_place"), "_place").drop("_place")
 
 
@@ -143,7 +187,7 @@ def rankings(events: DataFrame, stations: DataFrame, k: int | None = None, dista
         lists = [pa.ListArray.from_arrays(cut, v) for v in (pa.DictionaryArray.from_arrays(pa.array(order.ravel().astype(np.int32)), pa.array(trace, pa.string())).dictionary_decode(), pa.array(np.take_along_axis(km, order, axis=1).ravel()))]
         yield pa.RecordBatch.from_arrays([pa.array(event["evid"], pa.string()), *lists], names=["evid", "trace_ids", "distances_km"])
 
-    found = _meeting(events, stations, ("evid", "lat", "lon"), kernel, "evid string, trace_ids array<string>, distances_km array<double>")
+    found = _meeting(events, stations, ("evid", "lat", "lon"), kernel, "evid string, trace_ids array<string>, distances_km array<double>", block=max(1, CELLS // STATIONS) if k is None else None)
     if is_small(stations, STATIONS):
         return found
     both = F.arrays_zip(F.col("distances_km").alias("km"), F.col("trace_ids").alias("id"))
